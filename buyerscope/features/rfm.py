@@ -12,7 +12,7 @@ from buyerscope.functions.expressions import (
     at_least, flag, lookup, row_mean, row_std, row_sum, smoothed_ratio,
 )
 from buyerscope.operators.base import JsonEstimator, JsonModel
-from buyerscope.operators.binning import cut, cut_index, quantile_edges
+from buyerscope.operators.binning import cut, cut_index, label_at, quantile_edges
 from buyerscope.operators.onehot import dummies, fit_vocabulary
 from buyerscope.operators.quantiles import medians
 from buyerscope.operators.transform import (
@@ -147,7 +147,6 @@ def fitted_columns(df: DataFrame, mids: dict[str, float], edges: dict[str, list[
         c = bin_specs()[name][0]
         return cut_index(c, edges[name], clamp=True)
 
-    tiers = F.array(*[F.lit(x) for x in VALUE_LABELS])
     out = df.withColumns(
         {
             "Wine_And_Meat": flag(above("MntWines") & above("MntMeatProducts")),
@@ -157,7 +156,7 @@ def fitted_columns(df: DataFrame, mids: dict[str, float], edges: dict[str, list[
             "R_Score": F.lit(4) - score("R_Score"),
             "F_Score": score("F_Score"),
             "M_Score": score("M_Score"),
-            "Customer_Value": F.element_at(tiers, score("Customer_Value") + 1),
+            "Customer_Value": label_at(score("Customer_Value"), VALUE_LABELS),
             "Education_Ordinal": lookup("Education", order, -1),
         }
     )

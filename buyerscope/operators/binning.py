@@ -31,8 +31,15 @@ def cut(c: str | Column, edges: Sequence[float], labels: Sequence[str], **option
     """Label of the bin that holds the value; outside is null."""
     if len(labels) != len(edges) - 1:
         raise ValueError("one label per bin")
-    index = cut_index(c, edges, **options)
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), index + 1)
+    return label_at(cut_index(c, edges, **options), labels)
+
+
+def label_at(index: Column, labels: Sequence[str]) -> Column:
+    """The label at a 0-based index; null stays null."""
+    out = F
+    for i, name in enumerate(labels):
+        out = out.when(index == i, name)
+    return out
 
 
 def quantile_edges(

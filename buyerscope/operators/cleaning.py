@@ -165,6 +165,7 @@ class CleanerModel(JsonModel):
             # Without a known order any fixed order will do: that of the other columns.
             known = self.opt("order") or _present(df, [POSITION])
             out = keep_first(out, [key], known or [c for c in out.columns if c != key])
+        out = out.drop(POSITION)
         return fill_remaining(out, self.state().get("residual", {}))
 
     def audit(self, df: DataFrame) -> DataFrame:

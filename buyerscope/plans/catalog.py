@@ -6,8 +6,10 @@ results can be compared with those of another engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,19 +20,33 @@ from buyerscope.features.rfm import RfmFeatures
 from buyerscope.features.variants import CompactFeatures, LeanFeatures
 from buyerscope.functions import dates as D
 from buyerscope.functions.expressions import hash_unit, lookup, quoted
+from buyerscope.models.learners import AtThreshold, Learner, learner
+from buyerscope.models.selection import (
+    importance_table, linear_attribution, permutation_importance, recursive_elimination,
+)
+from buyerscope.models.stacking import fit_stack, fit_vote, meta_learner, stack_out_of_fold
+from buyerscope.models.validation import (
+    SPACES, cross_validated_search, draw_from_grid, draw_from_space, expand_grid, out_of_fold, score_with,
+)
 from buyerscope.operators import metrics as M
 from buyerscope.operators import profile as P
 from buyerscope.operators import quality as Q
 from buyerscope.operators.binning import cut, cut_index, quantile_edges
 from buyerscope.operators.cleaning import Cleaner, clamp, keep_first, to_binary
 from buyerscope.operators.correlation import correlation_extremes, correlation_matrix, target_correlations
+from buyerscope.operators.ensemble import best_subset, best_weight, soft_vote, subset_search, weight_grid
+from buyerscope.operators.neighbours import classify, nearest_neighbours
 from buyerscope.operators.onehot import OneHot
 from buyerscope.operators.quantiles import exact_quantiles
+from buyerscope.operators.smote import oversample
 from buyerscope.operators.splits import down_sample, stratified_folds, stratified_split
 from buyerscope.operators.transform import FillMissing, PowerTransform, StandardScale
 from buyerscope.sources.sinks import fill_template, prediction_table
 from buyerscope.sources.wide import CUTOFF, TABLES, customer_360, table
-from buyerscope.storage import write_once
+from buyerscope.plans.jobs import (
+    Prepared, balanced, benchmark, load_scorer, prepare, save_scorer, score, train_final,
+)
+from buyerscope.storage import shared_root, write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -433,6 +449,209 @@ def cv_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+# --- neighbours, oversampling, voting ----------------------------------------------------------
+
+KNN_COLUMNS = ["Income", "Recency", "TotalSpend", "TotalPurchases", "Age"]
+
+
+def knn_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest other vectors of every embedding."""
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")
+    )
+    return nearest_neighbours(rows, rows, 5, skip_same_id=True)
+
+
+def scaled_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, label, v): five standardized columns, rounded so that distances do not depend on
+    the order of summation in the fitted means."""
+    df = explored(spark, folder).select("ID", S.LABEL, *KNN_COLUMNS)
+    scaled = StandardScale(columns=KNN_COLUMNS).fit(df).transform(df)
+    return scaled.select(
+        F.col("ID").alias("id"),
+        F.col(S.LABEL).alias("label"),
+        F.array(*[F.floor(F.col(c) * 1e4 + 0.5) / 1e4 for c in KNN_COLUMNS]).alias("v"),
+    )
+
+
+def _knn(weights: str, p: int) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = scaled_vectors(spark, folder)
+        folds = stratified_split(rows, "id", "label")
+        base = folds.where("split = 'train'")
+        asked = folds.where("split = 'test'")
+        return classify(asked, base, k=7, weights=weights, p=p).withColumnRenamed("query_id", "ID")
+
+    return run
+
+
+def smote(spark: SparkSession, folder: str) -> DataFrame:
+    columns = [f"x{i}" for i in range(len(KNN_COLUMNS))]
+    rows = scaled_vectors(spark, folder)
+    wide_rows = rows.select("id", "label", *[F.col("v")[i].alias(c) for i, c in enumerate(columns)])
+    return oversample(wide_rows, columns, "id", "label")
+
+
+def _wide_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_table(spark, folder)
+
+
+MODELS = ["recent", "often", "noise"]
+
+
+def best_vote(spark: SparkSession, folder: str) -> DataFrame:
+    return best_subset(subset_search(_wide_scores(spark, folder), MODELS))
+
+
+# --- models -------------------------------------------------------------------------------------
+
+_prepared: dict[tuple[str, str], Prepared] = {}
+
+
+def prepared(spark: SparkSession, folder: str) -> Prepared:
+    """Cleaned and assembled training table of the wide record, with its fitted stages."""
+    slot = (spark.sparkContext.applicationId, folder)
+    if slot not in _prepared:
+        _prepared[slot] = prepare(wide(spark, folder), as_of=CUTOFF)
+    return _prepared[slot]
+
+
+def _model_split(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stratified_split(prepared(spark, folder).train, "key", "label")
+    return stratified_folds(rows, "key", "label", k=3)
+
+
+model_split = stored("model_split", _model_split)
+
+
+def training(spark: SparkSession, folder: str) -> DataFrame:
+    return model_split(spark, folder).where("split = 'train'")
+
+
+def held_out(spark: SparkSession, folder: str) -> DataFrame:
+    return model_split(spark, folder).where("split = 'test'")
+
+
+def fitted(kind: str, **params) -> Query:
+    """Fit on the training part, score the held-out part."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        model = learner(kind, **params).fit(training(spark, folder))
+        return score_with(model, kind, held_out(spark, folder), ["key", "label"])
+
+    return run
+
+
+FEW_TREES = {"n_estimators": 10, "max_depth": 3}
+
+
+def _bases() -> list[Learner]:
+    return [learner("logistic_regression"), learner("decision_tree", max_depth=4), learner("random_forest", **FEW_TREES)]
+
+
+def grid_search(spark: SparkSession, folder: str) -> DataFrame:
+    grid = expand_grid({"C": [0.01, 1.0], "class_weight": [None, "balanced"]})
+    return cross_validated_search(training(spark, folder), learner("logistic_regression"), grid)[2]
+
+
+def random_search(spark: SparkSession, folder: str) -> DataFrame:
+    grid = {"max_depth": [3, 5], "min_samples_split": [2, 10], "criterion": ["gini", "entropy"]}
+    return cross_validated_search(training(spark, folder), learner("decision_tree"), draw_from_grid(grid, 3))[2]
+
+
+SMALL_SPACES = {
+    "lightgbm": {**SPACES["lightgbm"], "n_estimators": ("int", 3, 6), "max_depth": ("int", 2, 3)},
+    "xgboost": {**SPACES["xgboost"], "n_estimators": ("int", 3, 6), "max_depth": ("int", 2, 3)},
+    "catboost": {**SPACES["catboost"], "iterations": ("int", 3, 6), "depth": ("int", 2, 3)},
+}
+
+
+def space_search(spark: SparkSession, folder: str) -> DataFrame:
+    points = draw_from_space(SMALL_SPACES["catboost"], 2)
+    return cross_validated_search(training(spark, folder), learner("catboost"), points)[2]
+
+
+def model_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    grids = {
+        "logistic_regression": {"C": [0.1, 1.0]},
+        "decision_tree": {"max_depth": [3, 5]},
+        "random_forest": {"n_estimators": [10], "max_depth": [5]},
+    }
+    return benchmark(prepared(spark, folder).train, grids=grids, folds=3).table
+
+
+def model_oof(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics over all out-of-fold scores of each base model."""
+    scored = out_of_fold(training(spark, folder), _bases())
+    return M.binary_metrics(scored, by=["model"])
+
+
+def cv_oversampled(spark: SparkSession, folder: str) -> DataFrame:
+    scored = out_of_fold(training(spark, folder), [learner("logistic_regression")], resample=balanced)
+    return M.score_spread(M.fold_scores(scored))
+
+
+def stack(spark: SparkSession, folder: str) -> DataFrame:
+    model = fit_stack(training(spark, folder), _bases(), meta_learner())
+    return score_with(model, "stack", held_out(spark, folder), ["key", "label"])
+
+
+def stack_mlp(spark: SparkSession, folder: str) -> DataFrame:
+    meta = meta_learner("mlp", "stack", max_iter=30)
+    model = fit_stack(training(spark, folder), _bases()[:2], meta)
+    return score_with(model, "stack", held_out(spark, folder), ["key", "label"])
+
+
+def stack_oof(spark: SparkSession, folder: str) -> DataFrame:
+    scored = stack_out_of_fold(training(spark, folder), _bases()[:2], meta_learner(), inner_folds=2)
+    return M.cv_metrics(scored)
+
+
+def model_vote(spark: SparkSession, folder: str) -> DataFrame:
+    """Equal vote of a margin classifier and boosted trees."""
+    model = fit_vote(training(spark, folder), [learner("svm", kernel="linear"), learner("lightgbm", **FEW_TREES)])
+    return score_with(model, "vote", held_out(spark, folder), ["key", "label"])
+
+
+def model_importance(spark: SparkSession, folder: str) -> DataFrame:
+    model = learner("random_forest", n_estimators=20, max_depth=5).fit(training(spark, folder))
+    return importance_table(model, prepared(spark, folder).names, spark)
+
+
+def model_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    train = training(spark, folder)
+    return linear_attribution(learner("logistic_regression").fit(train), train, prepared(spark, folder).names)
+
+
+def perm_importance(spark: SparkSession, folder: str) -> DataFrame:
+    model = learner("decision_tree", "m", max_depth=4).fit(training(spark, folder))
+    return permutation_importance(model, "m", held_out(spark, folder), prepared(spark, folder).names, repeats=2)
+
+
+def rfe(spark: SparkSession, folder: str) -> DataFrame:
+    names = prepared(spark, folder).names
+    _, table = recursive_elimination(
+        training(spark, folder), learner("decision_tree", max_depth=4), names, step=len(names) // 3
+    )
+    return table.select("n_features", "mean", "std")
+
+
+def score_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw records through one stored scorer: features, model and decision."""
+    model = learner("logistic_regression").fit(training(spark, folder))
+    scorer = PipelineModel(
+        [*prepared(spark, folder).stages, model, AtThreshold(name="logistic_regression", threshold=0.5)]
+    )
+    path = f"{shared_root(spark)}/scorer-{uuid.uuid4().hex}"
+    save_scorer(scorer, path)
+    return score(load_scorer(path), wide(spark, folder))
+
+
+def final_train(spark: SparkSession, folder: str) -> DataFrame:
+    done = train_final(prepared(spark, folder), trials=1, n_features=20, spaces=SMALL_SPACES, folds=2)
+    return score(done.scorer, wide(spark, folder))
+
+
 def _queries() -> dict[str, Query]:
     return {
         "customer_360": customer_360,
@@ -523,6 +742,43 @@ def _queries() -> dict[str, Query]:
         "oof_metrics": lambda s, d: M.cv_metrics(scores(s, d)),
         "eval_summary": eval_summary,
         "score_hist": lambda s, d: M.score_histogram(scores(s, d)),
+        "knn_embeddings": knn_embeddings,
+        "knn_classify": _knn("uniform", 2),
+        "knn_classify_distance": _knn("distance", 1),
+        "smote": smote,
+        "soft_vote": lambda s, d: soft_vote(long_scores(s, d), {m: 1.0 for m in MODELS}),
+        "weighted_vote": lambda s, d: soft_vote(
+            long_scores(s, d), {"recent": 0.6, "often": 0.2, "noise": 0.2}
+        ),
+        "weight_grid": lambda s, d: weight_grid(_wide_scores(s, d), "recent", "often"),
+        "best_weight": lambda s, d: best_weight(weight_grid(_wide_scores(s, d), "recent", "often")),
+        "subset_search": lambda s, d: subset_search(_wide_scores(s, d), MODELS),
+        "best_subset": best_vote,
+        "lr": fitted("logistic_regression", class_weight="balanced"),
+        "rf": fitted("random_forest", n_estimators=20, max_depth=5),
+        "gbt": fitted("gradient_boosting", n_estimators=10, max_depth=3),
+        "xgb_preset": fitted("xgboost", scale_pos_weight="balanced", colsample_bytree=0.8, **FEW_TREES),
+        "dt": fitted("decision_tree", max_depth=5, criterion="entropy"),
+        "svc_linear": fitted("svm", kernel="linear"),
+        "svc_rbf": fitted("svm", kernel="rbf", dims=64),
+        "knn_model": fitted("knn", n_neighbors=7),
+        "mlp": fitted("mlp", max_iter=30),
+        "grid_search": grid_search,
+        "random_search": random_search,
+        "space_search": space_search,
+        "benchmark": model_benchmark,
+        "model_oof": model_oof,
+        "cv_oversampled": cv_oversampled,
+        "stack": stack,
+        "stack_mlp": stack_mlp,
+        "stack_oof": stack_oof,
+        "model_vote": model_vote,
+        "importance": model_importance,
+        "attribution": model_attribution,
+        "perm_importance": perm_importance,
+        "rfe": rfe,
+        "score_batch": score_batch,
+        "final_train": final_train,
         "prediction_summary": lambda s, d: M.prediction_summary(scores(s, d)),
     }
 

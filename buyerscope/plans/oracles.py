@@ -758,6 +758,104 @@ def _kde() -> str:
     )
 
 
+# Neighbours, oversampling, voting --------------------------------------------------------------
+
+KNN_COLUMNS = ["Income", "Recency", "TotalSpend", "TotalPurchases", "Age"]
+part(
+    "kv",
+    ["ed"],
+    "SELECT ID AS id, Target AS label, "
+    + ", ".join(
+        f"FLOOR((CAST({c} AS DOUBLE) - (SELECT AVG({c}) FROM ed)) / (SELECT STDDEV_POP({c}) FROM ed) * 1e4 + 0.5::DOUBLE) / 1e4 AS x{i}"
+        for i, c in enumerate(KNN_COLUMNS)
+    )
+    + f", {md5_order('ID', 42)} AS h FROM ed",
+)
+part(
+    "ks",
+    ["kv"],
+    """SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY h, id) <= ROUND(0.2 * COUNT(*) OVER (PARTITION BY label))
+    AS test FROM kv""",
+)
+_dims = range(len(KNN_COLUMNS))
+
+
+def gap(p: int) -> str:
+    if p == 1:
+        return "(" + " + ".join(f"ABS(a.x{i} - b.x{i})" for i in _dims) + ")"
+    return "SQRT(" + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in _dims) + ")"
+
+
+def knn_vote(weights: str, p: int) -> str:
+    w = "1.0::DOUBLE"
+    if weights == "distance":
+        w = "CASE WHEN MIN(d) OVER (PARTITION BY q) = 0 THEN (CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END) ELSE 1 / d END"
+    return sql(
+        ["ks"],
+        f"""SELECT q AS ID, {r6('SUM(w * label) / SUM(w)', 'p')}, {flag('SUM(w * label) / SUM(w) > 0.5')} AS prediction
+        FROM (SELECT q, label, {w} AS w FROM (SELECT a.id AS q, b.label, {gap(p)} AS d, ROW_NUMBER() OVER (PARTITION BY a.id
+        ORDER BY {gap(p)}, b.id) AS rn FROM ks a, ks b WHERE a.test AND NOT b.test) WHERE rn <= 7) GROUP BY q""",
+    )
+
+
+def smote_query() -> str:
+    def unit(*parts: str) -> str:
+        text = " || '-' || ".join(parts)
+        return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+    part("rare", ["kv"], "SELECT * FROM kv WHERE label = 1")
+    part(
+        "near",
+        ["rare"],
+        f"""SELECT * FROM (SELECT a.id AS q, b.id AS n, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY {gap(2)}, b.id) AS rn
+        FROM rare a, rare b WHERE a.id <> b.id) WHERE rn <= 5""",
+    )
+    pick = unit("CAST(id AS VARCHAR)", "CAST(s AS VARCHAR)", "'pick'", "'42'")
+    step = unit("CAST(id AS VARCHAR)", "CAST(s AS VARCHAR)", "'step'", "'42'")
+    part(
+        "copies",
+        ["kv", "rare"],
+        f"""SELECT *, CAST(FLOOR({pick} * 5) + 1 AS INTEGER) AS rn, {step} AS step FROM (SELECT id, UNNEST(range(1,
+        CAST(c + CASE WHEN r <= e THEN 1 ELSE 0 END + 1 AS BIGINT))) AS s FROM (SELECT id, ROW_NUMBER() OVER (ORDER BY h, id) AS r,
+        (m - n) // n AS c, (m - n) % n AS e FROM rare, (SELECT COUNT(*) FILTER (label = 1) AS n,
+        COUNT(*) FILTER (label = 0) AS m FROM kv)))""",
+    )
+    old = ", ".join(r6(f"x{i}", f"x{i}") for i in _dims)
+    new = ", ".join(r6(f"a.x{i} + step * (b.x{i} - a.x{i})", f"x{i}") for i in _dims)
+    return sql(
+        ["copies", "near"],
+        f"""SELECT id, CAST(0 AS BIGINT) AS synthetic, label, {old} FROM kv UNION ALL
+        SELECT c.id, c.s, 1, {new} FROM copies c JOIN near n ON c.id = n.q AND c.rn = n.rn
+        JOIN rare a ON a.id = c.id JOIN rare b ON b.id = n.n""",
+    )
+
+
+def vote(weights: dict[str, float]) -> str:
+    p = "(" + " + ".join(f"p_{m} * {w!r}::DOUBLE" for m, w in weights.items()) + f") / {sum(weights.values())!r}::DOUBLE"
+    return sql(["sw"], f"SELECT key, label, {r6(p, 'p')}, {flag(f'{p} > 0.5')} AS prediction FROM sw")
+
+
+def weight_areas() -> str:
+    part(
+        "wg",
+        ["sw"],
+        """SELECT key, label, weight, p_recent * weight + p_often * (1.0::DOUBLE - weight) AS p FROM sw,
+        (SELECT UNNEST([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS weight)""",
+    )
+    return f"SELECT {r6('weight', 'weight')}, {r6('auc', 'roc_auc')} FROM ({auc_by_ranks('wg', ['weight'])})"
+
+
+def subset_areas() -> str:
+    tried = [("recent", "often"), ("recent", "noise"), ("often", "noise"), ("recent", "often", "noise")]
+    rows = [
+        f"SELECT {i} AS position, '{'+'.join(c)}' AS models, label, "
+        f"({' + '.join(f'p_{m} * 1.0::DOUBLE' for m in c)}) / {float(len(c))!r}::DOUBLE AS p FROM sw"
+        for i, c in enumerate(tried)
+    ]
+    part("ss", ["sw"], union(rows))
+    return f"SELECT position, models, {r6('auc', 'roc_auc')} FROM ({auc_by_ranks('ss', ['position', 'models'])})"
+
+
 def oracle_sql() -> dict[str, str]:
     """{query name: DuckDB statement}."""
     from buyerscope.plans.catalog import RFM_SETS
@@ -1004,6 +1102,20 @@ def oracle_sql() -> dict[str, str]:
             {r6('MIN(p)', 'min_p')}, {r6('MAX(p)', 'max_p')}, {r6('AVG(p)', 'mean_p')} FROM sc""",
         ),
     }
+    out["knn_embeddings"] = f"""SELECT query_id, rank, base_id, {r6('d', 'distance')} FROM (SELECT a.vec_id AS query_id,
+        b.vec_id AS base_id, d, CAST(ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS INTEGER) AS rank
+        FROM embeddings a, embeddings b, LATERAL (SELECT list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d)
+        WHERE a.vec_id <> b.vec_id) WHERE rank <= 5"""
+    out["knn_classify"] = knn_vote("uniform", 2)
+    out["knn_classify_distance"] = knn_vote("distance", 1)
+    out["smote"] = smote_query()
+    out["soft_vote"] = vote({"recent": 1.0, "often": 1.0, "noise": 1.0})
+    out["weighted_vote"] = vote({"recent": 0.6, "often": 0.2, "noise": 0.2})
+    areas, groups = weight_areas(), subset_areas()
+    out["weight_grid"] = sql(["wg"], areas)
+    out["best_weight"] = sql(["wg"], f"SELECT * FROM ({areas}) ORDER BY roc_auc DESC, weight LIMIT 1")
+    out["subset_search"] = sql(["ss"], groups)
+    out["best_subset"] = sql(["ss"], f"SELECT * FROM ({groups}) ORDER BY roc_auc DESC, position LIMIT 1")
     scaled = scaled_query()
     # Power columns use refined lambdas, which SQL does not search for: only the scaled columns have an oracle.
     out["eval_summary"] = _summary()

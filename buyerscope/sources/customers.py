@@ -72,9 +72,10 @@ def read_dated(
     with_label: bool = True,
     date_column: str = "Dt_Customer",
     formats: Sequence[str] = DEFAULT_FORMATS,
+    **options,
 ) -> DataFrame:
-    """Typed scan whose date column is parsed, with the short list of missing tokens."""
-    df = read_customers(spark, path, with_label, null_tokens=["", "Unknown", "NA"])
+    """``read_customers`` with the date column parsed by the first fitting format."""
+    df = read_customers(spark, path, with_label, **options)
     return df.withColumn(date_column, parse_dates(date_column, formats))
 
 
