@@ -220,6 +220,7 @@ class Learner(JsonEstimator):
             elasticNetParam=0.0,
             standardization=False,
             maxIter=params.get("max_iter", 100),
+            tol=params.get("tol", 1e-4),
             **self.columns(),
         )
         if weight:

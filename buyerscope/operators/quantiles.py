@@ -1,10 +1,10 @@
 """Exact quantiles with linear interpolation, on tables of any size.
 
 Spark's ``percentile`` keeps every distinct value of the column in one task. That is fine
-up to a few million rows, so the row count is checked first. Beyond it a bounded sketch
-brackets the wanted order statistics, one pass counts the rows below and inside each
-bracket, and only the values inside are looked at. The counts prove the bracket right, so
-the result is exact whatever the sketch says.
+up to a few million values, so their number is checked first. Beyond it a bounded sketch
+brackets each wanted quantile, one pass counts the rows below and inside all brackets, and
+only the values inside are looked at, again in one pass. The counts prove the brackets
+right, so the result is exact whatever the sketch says.
 """
 
 from __future__ import annotations
@@ -16,35 +16,43 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 2_000_000
+# Rows times columns that ``percentile`` may hold at once.
+DIRECT_VALUES = 2_000_000
+# Rows of one bracket that may be sorted in one task.
+BRACKET_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
 
 @dataclass
 class _Bracket:
-    """Order statistic ``rank`` (0-based) of ``column``, known to lie in [low, high]."""
+    """The order statistics ``first`` and ``last`` (0-based, neighbours) lie in [low, high]."""
 
     column: Column
-    rank: int
+    first: int
+    last: int
+    inside: int
+    share: float
+    below: int = 0
     low: float | None = None
     high: float | None = None
-    below: int = 0
-    inside: int = 0
-    value: float | None = None
+    values: tuple[float, float] | None = None
 
     def member(self) -> Column:
         keep = self.column.isNotNull()
         if self.low is not None:
-            keep = keep & (self.column >= self.low)
-        if self.high is not None:
-            keep = keep & (self.column <= self.high)
+            keep = keep & self.column.between(self.low, self.high)
         return keep
 
+    def result(self) -> float:
+        a, b = self.values
+        return a + (b - a) * self.share
+
 
 def exact_quantiles(
     df: DataFrame,
     specs: dict[str, tuple[Column | str, Sequence[float]]],
-    direct_rows: int = DIRECT_ROWS,
+    direct_values: int = DIRECT_VALUES,
+    bracket_rows: int = BRACKET_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Quantiles of several columns: {name: (column, [q, ...])} -> {name: [value, ...]}.
@@ -57,62 +65,48 @@ def exact_quantiles(
         n: ((F.col(c) if isinstance(c, str) else c).cast("double"), list(qs))
         for n, (c, qs) in specs.items()
     }
-    if df.count() <= direct_rows:
-        row = df.agg(
-            *[
-                F.percentile(c, F.array(*[F.lit(float(q)) for q in qs])).alias(f"q{i}")
-                for i, (c, qs) in enumerate(columns.values())
-            ]
-        ).first()
-        return {
-            n: (list(row[i]) if row[i] is not None else [None] * len(qs))
-            for i, (n, (_, qs)) in enumerate(columns.items())
-        }
-    return _bracketed(df, columns, direct_rows, accuracy)
+    if df.count() * len(columns) > direct_values:
+        return _bracketed(df, columns, bracket_rows, accuracy)
+    row = df.agg(
+        *[
+            F.percentile(c, F.array(*[F.lit(float(q)) for q in qs])).alias(f"q{i}")
+            for i, (c, qs) in enumerate(columns.values())
+        ]
+    ).first()
+    return {
+        n: (list(row[i]) if row[i] is not None else [None] * len(qs))
+        for i, (n, (_, qs)) in enumerate(columns.items())
+    }
 
 
-def _bracketed(df, columns, direct_rows, accuracy):
+def _bracketed(
+    df: DataFrame, columns: dict[str, tuple[Column, list[float]]], bracket_rows: int, accuracy: int
+) -> dict[str, list[float | None]]:
     sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, (c, _) in enumerate(columns.values())]).first()
-    wanted: dict[tuple[str, int], _Bracket] = {}
-    for i, (name, (column, qs)) in enumerate(columns.items()):
-        if sizes[i]:
-            for q in qs:
-                position = q * (sizes[i] - 1)
-                for rank in {math.floor(position), math.ceil(position)}:
-                    wanted[name, rank] = _Bracket(column, rank, inside=sizes[i])
-    while open_ones := [b for b in wanted.values() if b.value is None]:
-        narrow = [b for b in open_ones if b.inside > direct_rows]
-        if narrow:
-            _narrow(df, narrow, accuracy, direct_rows)
-        for b in open_ones:
-            if b.value is None and b.inside <= direct_rows:
-                b.value = _pick(df, b, direct_rows)
-    out: dict[str, list[float | None]] = {}
-    for i, (name, (_, qs)) in enumerate(columns.items()):
-        values = []
-        for q in qs:
-            if not sizes[i]:
-                values.append(None)
-                continue
-            position = q * (sizes[i] - 1)
-            low, high = wanted[name, math.floor(position)].value, wanted[name, math.ceil(position)].value
-            values.append(low + (high - low) * (position - math.floor(position)))
-        out[name] = values
-    return out
-
-
-def _narrow(
-    df: DataFrame, brackets: list[_Bracket], accuracy: int, direct_rows: int
-) -> None:
-    """Shrink each bracket to the sketch's neighbourhood of its rank, then count to check it."""
+    wanted: dict[tuple[str, float], _Bracket] = {}
+    for n, (name, (column, qs)) in zip(sizes, columns.items()):
+        for q in qs if n else ():
+            at = q * (n - 1)
+            wanted[name, q] = _Bracket(column, math.floor(at), math.ceil(at), n, at - math.floor(at))
+    while wide := [b for b in wanted.values() if b.values is None and b.inside > bracket_rows]:
+        _narrow(df, wide, accuracy)
+    _pick(df, [b for b in wanted.values() if b.values is None])
+    return {
+        name: [wanted[name, q].result() if (name, q) in wanted else None for q in qs]
+        for name, (_, qs) in columns.items()
+    }
+
+
+def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
+    """Shrink each bracket to the sketch's neighbourhood of its ranks, then count to check it."""
     slack = 2.0 / accuracy
     sketch = df.agg(
         *[
             F.percentile_approx(
                 F.when(b.member(), b.column),
                 [
-                    max(0.0, (b.rank - b.below) / b.inside - slack),
-                    min(1.0, (b.rank - b.below + 1) / b.inside + slack),
+                    max(0.0, (b.first - b.below) / b.inside - slack),
+                    min(1.0, (b.last - b.below + 1) / b.inside + slack),
                 ],
                 accuracy,
             ).alias(f"s{i}")
@@ -131,38 +125,63 @@ def _narrow(
     ).first()
     for i, b in enumerate(brackets):
         below, inside = counts[2 * i], counts[2 * i + 1]
-        if below <= b.rank < below + inside and inside < b.inside:
-            b.low, b.high, b.below, b.inside = sketch[i][0], sketch[i][1], below, inside
+        if below <= b.first and b.last < below + inside and inside < b.inside:
+            (b.low, b.high), b.below, b.inside = sketch[i], below, inside
             if b.low == b.high:
-                b.value = float(b.low)
+                b.values = (float(b.low), float(b.low))
         else:
-            b.value = _pick(df, b, direct_rows)
+            _halve(df, b)
 
 
-def _pick(df: DataFrame, b: _Bracket, direct_rows: int) -> float:
-    """Value at the bracket's rank, from running counts over its distinct values.
+def _halve(df: DataFrame, b: _Bracket) -> None:
+    """Fallback where the sketch did not help: find both order statistics by bisection on values.
 
-    Usually the bracket is small by now. One that the sketch could not shrink is first
-    counted in ranges of about a thousandth of its values, so no task sees all of it.
+    Every step is one count; at most the bits of a double are needed.
     """
-    part = df.where(b.member()).groupBy(b.column.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    below = b.below
-    if b.inside > direct_rows:
-        grid = [i / 1000 for i in range(1, 1000)]
-        edges = sorted(set(part.agg(F.percentile_approx("v", grid, 100_000)).first()[0]))
-        upto = part.agg(
-            *[F.coalesce(F.sum(F.when(F.col("v") <= e, F.col("n"))), F.lit(0)).alias(f"e{i}")
-              for i, e in enumerate(edges)]
+    ends = df.where(b.member()).agg(F.min(b.column), F.max(b.column)).first()
+    b.values = tuple(_bisect(df, b, rank, float(ends[0]), float(ends[1])) for rank in (b.first, b.last))
+
+
+def _bisect(df: DataFrame, b: _Bracket, rank: int, low: float, high: float) -> float:
+    """Smallest value with more than ``rank`` rows at or below it."""
+    while low < high:
+        middle = low + (high - low) / 2
+        row = df.agg(
+            F.count_if(b.column <= middle),
+            F.max(F.when(b.column <= middle, b.column)),
+            F.min(F.when(b.column > middle, b.column)),
         ).first()
-        passed = [i for i in range(len(edges)) if b.below + upto[i] <= b.rank]
-        if passed:
-            below = b.below + upto[passed[-1]]
-            part = part.where(F.col("v") > edges[passed[-1]])
-        if len(passed) < len(edges):
-            part = part.where(F.col("v") <= edges[len(passed)])
-    running = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    hit = part.withColumn("upto", running).where(F.col("upto") > b.rank - below)
-    return float(hit.agg(F.min("v")).first()[0])
+        if row[0] > rank:
+            high = float(row[1])
+        else:
+            low = float(row[2])
+    return low
+
+
+def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
+    """Values at the brackets' ranks, from running counts over the distinct values of each bracket.
+
+    All brackets share one pass; each holds few rows by now and is sorted on its own.
+    """
+    if not brackets:
+        return
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("b"), F.when(b.member(), b.column).alias("v")) for i, b in enumerate(brackets)]
+    )
+    counts = (
+        df.select(F.inline(cells)).where(F.col("v").isNotNull())
+        .groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    order = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.withColumn("upto", F.sum("n").over(order))
+    first = F.get(F.array(*[F.lit(b.first - b.below) for b in brackets]), F.col("b"))
+    last = F.get(F.array(*[F.lit(b.last - b.below) for b in brackets]), F.col("b"))
+    found = running.groupBy("b").agg(
+        F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > last, F.col("v"))).alias("z"),
+    )
+    for r in found.collect():
+        brackets[r["b"]].values = (float(r["a"]), float(r["z"]))
 
 
 def medians(df: DataFrame, columns: Sequence[str], **options) -> dict[str, float | None]:

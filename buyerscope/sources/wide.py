@@ -47,14 +47,21 @@ def _recode(c: str, mapping: dict[str, str]) -> Column:
     return out
 
 
-def line_amount() -> Column:
-    """Discounted price as an exact decimal, so that sums do not depend on row order."""
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    return price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
+# Amounts are whole units of 1/10000, summed as two whole numbers each (units = high * CARRY + low),
+# so that sums are exact, independent of row order, far from overflow, and cheap.
+CARRY = 1_000_000
+UNITS = 10_000
+
+
+def line_units() -> Column:
+    """Discounted price of a line in units of 1/10000; prices and discounts have two decimals."""
+    cents = F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))
+    percent = F.floor(F.col("l_discount") * 100 + F.lit(0.5))
+    return cents * (F.lit(100) - percent)
 
 
 def order_lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """One row per order: amount per part type and number of discounted lines.
+    """One row per order: amount per part type (high and low part) and number of discounted lines.
 
     A part that holds a large share of the lines skews only the join to ``part``, whose
     oversized partitions are split at run time; after this aggregation every order is one row.
@@ -62,13 +69,15 @@ def order_lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     lines = lineitem.select(
         "l_orderkey",
         "l_partkey",
-        line_amount().alias("amount"),
+        line_units().alias("units"),
         (F.col("l_discount") >= DEAL_DISCOUNT).cast("int").alias("deal"),
     ).join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    high, low = F.expr(f"units div {CARRY}"), F.expr(f"units % {CARRY}")
     return lines.groupBy("l_orderkey").agg(
         *[
-            F.sum(F.when(F.col("p_type") == kind, F.col("amount"))).alias(name)
+            F.sum(F.when(F.col("p_type") == kind, value)).alias(f"{name}_{suffix}")
             for kind, name in SPEND_BY_TYPE.items()
+            for suffix, value in (("high", high), ("low", low))
         ],
         F.sum("deal").alias("deals"),
     )
@@ -88,10 +97,15 @@ def order_history(orders: DataFrame, lines: DataFrame, cutoff: str = CUTOFF) ->
     def earlier(name: str) -> Column:
         return F.sum(F.when(F.col("before"), F.col(name)))
 
+    def amount(name: str) -> Column:
+        high = earlier(f"{name}_high").cast("decimal(24,0)") * F.lit(CARRY)
+        units = (high + earlier(f"{name}_low")).cast("decimal(34,0)")
+        return (units * F.lit(1 / UNITS).cast("decimal(4,4)")).cast("double").alias(name)
+
     return past.groupBy("o_custkey").agg(
         F.min("day").alias("first_day"),
         F.max("day").alias("last_day"),
-        *[earlier(name).cast("double").alias(name) for name in S.SPEND],
+        *[amount(name) for name in S.SPEND],
         earlier("deals").alias(S.DEALS),
         *[
             F.count_if(F.col("before") & (F.col("o_orderpriority") == code)).alias(name)

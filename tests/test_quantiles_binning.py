@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from buyerscope.operators.binning import cut, cut_index, equal_width_bin, quantile_edges
-from buyerscope.operators.quantiles import exact_quantiles, medians
+from buyerscope.operators.quantiles import _Bracket, _halve, exact_quantiles, medians
 
 QS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.995, 1.0]
 
@@ -23,16 +23,26 @@ def test_bracketed_quantiles_are_exact(spark, name):
     values = cases()[name]
     df = spark.createDataFrame(pd.DataFrame({"x": values})).repartition(7)
     direct = exact_quantiles(df, {"x": ("x", QS)})["x"]
-    large = exact_quantiles(df, {"x": ("x", QS)}, direct_rows=40, accuracy=50)["x"]
+    large = exact_quantiles(df, {"x": ("x", QS)}, direct_values=40, bracket_rows=40, accuracy=50)["x"]
     assert direct == pytest.approx(np.quantile(values, QS))
     assert large == pytest.approx(direct, rel=1e-12)
 
 
+def test_bisection_finds_any_rank(spark):
+    values = np.concatenate([np.full(30, 2.5), [1e-300, 1.0, 7.0, 1e300]])
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    column = F.col("x")
+    for rank in (0, 1, 2, 31, 32, 33):
+        bracket = _Bracket(column, rank, rank, len(values), 0.0)
+        _halve(df, bracket)
+        assert bracket.values[0] == np.sort(values)[rank]
+
+
 def test_quantiles_of_several_columns_and_nulls(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None)], "a double, b double")
     got = exact_quantiles(df, {"a": ("a", [0.5]), "b": ("b", [0.5, 0.9]), "c": (F.col("a") * 2, [0.25])})
     assert got == {"a": [2.0], "b": [None, None], "c": [3.0]}
-    assert exact_quantiles(df, {"b": ("b", [0.5])}, direct_rows=1) == {"b": [None]}
+    assert exact_quantiles(df, {"b": ("b", [0.5])}, direct_values=1) == {"b": [None]}
     assert medians(df, ["a"]) == {"a": 2.0}
 
 
