@@ -15,12 +15,14 @@ def test_written_tables_go_to_the_configured_folder(spark, tmp_path, monkeypatch
         spark.conf.unset("spark.buyerscope.test.dir")
 
 
-def test_a_cluster_needs_the_setting(spark):
+def test_a_cluster_needs_the_setting(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_CHECKPOINT_DIR", "spark.buyerscope.unset.dir")
+
     class Context:
         master = "yarn"
 
     class Session:
         conf, sparkContext = spark.conf, Context()
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+    with pytest.raises(ValueError, match="spark.buyerscope.unset.dir"):
         storage.shared_root(Session())
