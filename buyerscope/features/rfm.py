@@ -12,9 +12,9 @@ from buyerscope.functions.expressions import (
     at_least, flag, lookup, row_mean, row_std, row_sum, smoothed_ratio,
 )
 from buyerscope.operators.base import JsonEstimator, JsonModel
-from buyerscope.operators.binning import cut, cut_index, label_at, quantile_edges
+from buyerscope.operators.binning import cut, cut_index, edge_specs, label_at, merged_edges
 from buyerscope.operators.onehot import dummies, fit_vocabulary
-from buyerscope.operators.quantiles import medians
+from buyerscope.operators.quantiles import exact_quantiles, medians
 from buyerscope.operators.transform import (
     PowerTransform, PowerTransformModel, StandardScale, StandardScaleModel,
 )
@@ -175,8 +175,12 @@ class RfmFeatures(JsonEstimator):
     def _fit(self, df: DataFrame) -> RfmFeaturesModel:
         income = medians(df, ["Income"])["Income"]
         base = base_columns(df, self.opt("as_of"), income)
-        mids = medians(base, [*MEDIAN_SPEND, "Recency", "Total_Spent"])
-        learned = {"income": income, "medians": mids, "edges": quantile_edges(base, bin_specs())}
+        # Medians and bin edges in one pass.
+        middle = [*MEDIAN_SPEND, "Recency", "Total_Spent"]
+        specs = {**{f"median {c}": (c, [0.5]) for c in middle}, **edge_specs(bin_specs())}
+        found = exact_quantiles(base, specs)
+        mids = {c: found[f"median {c}"][0] for c in middle}
+        learned = {"income": income, "medians": mids, "edges": merged_edges(found, bin_specs())}
         labelled = fitted_columns(base, mids, learned["edges"], self.opt("education_order"))
         vocabulary = fit_vocabulary(labelled, ["Marital_Status", "Education", "Family_Lifecycle"])
         vocabulary.update({"Age_Bin": AGE_LABELS, "Customer_Value": VALUE_LABELS})

@@ -290,6 +290,7 @@ class Learner(JsonEstimator):
         machine = C.LinearSVC(
             featuresCol=features, labelCol=self.opt("label"), rawPredictionCol=f"margins_{name}",
             predictionCol=f"side_{name}", regParam=regular, maxIter=params.get("max_iter", 50),
+            tol=params.get("tol", 1e-3),
         )
         if weight:
             machine.setWeightCol(weight)
@@ -304,7 +305,7 @@ class Learner(JsonEstimator):
             part = margin.transform(fitted.transform(parted.where(F.col("_part") == f)))
             part = part.select(f"margin_{name}", self.opt("label"))
             unseen = part if unseen is None else unseen.unionByName(part)
-        curve = C.LogisticRegression(featuresCol=f"margin_{name}", **self.columns()).fit(unseen)
+        curve = C.LogisticRegression(featuresCol=f"margin_{name}", tol=1e-4, **self.columns()).fit(unseen)
         return [*stages, machine.fit(df), margin, curve]
 
     def _kernel(self, df: DataFrame, features: str, params: dict) -> FourierFeatures:

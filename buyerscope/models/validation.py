@@ -62,7 +62,8 @@ def out_of_fold(
     def task(f: int, one: Learner) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
             train = df.where(F.col(fold) != f)
-            fitted = one.fit(resample(train) if resample else train)
+            # A fit makes many passes over its rows.
+            fitted = one.fit(write_once(resample(train), "resampled") if resample else train)
             return score_with(fitted, one.opt("name"), df.where(F.col(fold) == f), [key, label, fold])
 
         return run

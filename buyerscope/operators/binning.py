@@ -51,8 +51,18 @@ def quantile_edges(
 
     Equal edges are merged when ``drop_duplicates`` is set, else they are an error.
     """
-    specs = {n: (c, [i / q for i in range(q + 1)]) for n, (c, q, _) in wanted.items()}
-    found = exact_quantiles(df, specs, **options)
+    return merged_edges(exact_quantiles(df, edge_specs(wanted), **options), wanted)
+
+
+def edge_specs(wanted: dict[str, tuple[Column | str, int, bool]]) -> dict[str, tuple[Column | str, list[float]]]:
+    """Quantiles that equal-frequency bins need."""
+    return {n: (c, [i / q for i in range(q + 1)]) for n, (c, q, _) in wanted.items()}
+
+
+def merged_edges(
+    found: dict[str, list[float | None]], wanted: dict[str, tuple[Column | str, int, bool]]
+) -> dict[str, list[float]]:
+    """Bin edges from quantiles, equal ones merged where that is allowed."""
     out = {}
     for name, (_, _, drop) in wanted.items():
         edges = found[name]

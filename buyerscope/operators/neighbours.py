@@ -23,6 +23,8 @@ from buyerscope.functions.expressions import hash_text
 from buyerscope.storage import write_once
 
 MAX_PIVOTS = 256
+# Numbers (ids and coordinates) of a base table that may be sent whole to every task: 16 MB.
+BROADCAST_NUMBERS = 2_000_000
 BLOCK_ROWS = 4096
 # Rounding of the distances must never exclude a true neighbour.
 SLACK = 1e-7
@@ -57,20 +59,25 @@ def nearest_neighbours(
     pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
     skip_same_id: bool = False,
+    broadcast_numbers: int = BROADCAST_NUMBERS,
 ) -> DataFrame:
     """(query_id, rank, base_id, distance): the k nearest base rows of every query row.
 
     Both frames hold (id, v) with v an array of doubles. Equal distances are ordered by id.
     ``p`` is 1 (Manhattan) or 2 (Euclidean). ``skip_same_id`` leaves out the row itself when a
-    table is compared with itself.
+    table is compared with itself. A base of at most ``broadcast_numbers`` numbers (counted, not
+    estimated) is sent to all tasks instead of being grouped.
     """
     if p not in (1, 2):
         raise ValueError("p must be 1 or 2")
     wanted = k + 1 if skip_same_id else k
+    size = base.agg(F.coalesce(F.sum(F.size("v") + 1), F.lit(0))).first()[0]
+    if size == 0:
+        return _empty(queries, base)
+    if size <= broadcast_numbers:
+        return _against_small_base(queries, base, k, p, skip_same_id)
     base = write_once(first_copies(base, wanted), "neighbour_values")
     n_base = base.count()
-    if n_base == 0:
-        return _empty(queries, base)
     points = pick_pivots(base, pivots or max(1, min(MAX_PIVOTS, math.isqrt(n_base))))
     cells = len(points)
     id_type = base.schema["id"].dataType.simpleString()
@@ -134,23 +141,8 @@ def nearest_neighbours(
     ).select("id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("grp"))
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "base_id": [], "distance": []}
-        if len(q) and len(b):
-            b = b.sort_values("id", kind="stable")
-            ids, base_x, x = b["id"].to_numpy(), _matrix(b["v"]), _matrix(q["q"])
-            for start in range(0, len(x), 256):
-                part = slice(start, start + 256)
-                d = _distances(x[part], base_x, p)
-                if skip_same_id:
-                    d[q["query_id"].to_numpy()[part][:, None] == ids[None, :]] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                dist = np.take_along_axis(d, order, axis=1)
-                keep = np.isfinite(dist)
-                rows = np.repeat(np.arange(len(d)), order.shape[1]).reshape(order.shape)
-                out["query_id"].append(q["query_id"].to_numpy()[part][rows[keep]])
-                out["base_id"].append(ids[order[keep]])
-                out["distance"].append(dist[keep])
-        return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in out.items()})
+        b = b.sort_values("id", kind="stable")
+        return _k_best(q["query_id"], q["q"], b["id"].to_numpy(), b["v"], k, p, skip_same_id)
 
     keys = ["cell", "block", "grp"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
@@ -164,6 +156,52 @@ def nearest_neighbours(
     )
 
 
+def _k_best(
+    q_ids: pd.Series, q: pd.Series, ids: np.ndarray, b: pd.Series | np.ndarray, k: int, p: int, skip_same_id: bool
+) -> pd.DataFrame:
+    """(query_id, base_id, distance) of the k nearest; base rows are in the order of their ids."""
+    out: dict[str, list[np.ndarray]] = {"query_id": [], "base_id": [], "distance": []}
+    if len(q) and len(b):
+        base = b if isinstance(b, np.ndarray) else _matrix(b)
+        x, names = _matrix(q), q_ids.to_numpy()
+        for start in range(0, len(x), 256):
+            part = slice(start, start + 256)
+            d = _distances(x[part], base, p)
+            if skip_same_id:
+                d[names[part][:, None] == ids[None, :]] = np.inf
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(d, order, axis=1)
+            keep = np.isfinite(dist)
+            rows = np.repeat(np.arange(len(d)), order.shape[1]).reshape(order.shape)
+            out["query_id"].append(names[part][rows[keep]])
+            out["base_id"].append(ids[order[keep]])
+            out["distance"].append(dist[keep])
+    return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in out.items()})
+
+
+def _against_small_base(
+    queries: DataFrame, base: DataFrame, k: int, p: int, skip_same_id: bool
+) -> DataFrame:
+    """All of a small base in every task; the query rows are spread evenly and not shuffled again."""
+    spark = queries.sparkSession
+    rows = base.select("id", "v").toPandas().sort_values("id", kind="stable")
+    sent = spark.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["v"])))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = sent.value
+        for batch in batches:
+            found = _k_best(batch["id"], batch["v"], ids, x, k, p, skip_same_id)
+            # Rows come in order of distance within each query row.
+            yield found.assign(rank=found.groupby("query_id", sort=False).cumcount() + 1)
+
+    query_type = queries.schema["id"].dataType.simpleString()
+    id_type = base.schema["id"].dataType.simpleString()
+    spread = queries.select("id", "v").repartition(spark.sparkContext.defaultParallelism, "id")
+    return spread.mapInPandas(
+        search, f"query_id {query_type}, base_id {id_type}, distance double, rank int"
+    ).select("query_id", "rank", "base_id", "distance")
+
+
 def first_copies(base: DataFrame, wanted: int) -> DataFrame:
     """(id, v) with only the ``wanted`` smallest ids of equal vectors.
 

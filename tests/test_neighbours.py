@@ -31,8 +31,11 @@ def test_neighbours_match_brute_force(spark, p):
     rng = np.random.default_rng(7)
     b = np.concatenate([rng.normal(size=(120, 3)), rng.normal(5, 0.1, size=(80, 3))])
     q = rng.normal(1, 2, size=(60, 3))
-    got = nearest_neighbours(frame(spark, q, 1000), frame(spark, b), 4, p, pivots=9, block_rows=16)
-    assert collected(got) == brute(q, b, 4, p, range(1000, 1060), range(200), False)
+    want = brute(q, b, 4, p, range(1000, 1060), range(200), False)
+    asked, base = frame(spark, q, 1000), frame(spark, b)
+    assert collected(nearest_neighbours(asked, base, 4, p)) == want
+    grouped = nearest_neighbours(asked, base, 4, p, pivots=9, block_rows=16, broadcast_numbers=0)
+    assert collected(grouped) == want
 
 
 def test_a_third_equal_rows(spark):
@@ -40,14 +43,18 @@ def test_a_third_equal_rows(spark):
     x = rng.integers(0, 4, size=(150, 2)).astype(float)
     x[::3] = 1.0
     rows = frame(spark, x)
-    got = nearest_neighbours(rows, rows, 5, skip_same_id=True, block_rows=8)
-    assert collected(got) == brute(x, x, 5, 2, range(150), range(150), True)
+    want = brute(x, x, 5, 2, range(150), range(150), True)
+    assert collected(nearest_neighbours(rows, rows, 5, skip_same_id=True)) == want
+    grouped = nearest_neighbours(rows, rows, 5, skip_same_id=True, block_rows=8, broadcast_numbers=0)
+    assert collected(grouped) == want
 
 
 def test_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [5.0]])
     rows = frame(spark, x)
-    assert collected(nearest_neighbours(rows, rows, 5, skip_same_id=True)) == {0: [1, 2], 1: [0, 2], 2: [1, 0]}
+    for limit in (0, 100):
+        got = nearest_neighbours(rows, rows, 5, skip_same_id=True, broadcast_numbers=limit)
+        assert collected(got) == {0: [1, 2], 1: [0, 2], 2: [1, 0]}
     assert nearest_neighbours(rows, rows.limit(0), 5).count() == 0
 
 
