@@ -111,11 +111,16 @@ def binary_metrics(
         *by, *[c.alias(n) for n, c in rates().items()]
     )
     ranking = rank_metrics(scores, by, **options)
-    # One row per group on either side.
+    # One row per group on either side; without groups the ranking is a one-row subquery.
     if by:
         return at_threshold.join(ranking, list(by))
-    one = F.lit(1).alias("_one")
-    return at_threshold.withColumn("_one", one).join(ranking.withColumn("_one", one), "_one").drop("_one")
+    return _beside(at_threshold, ranking)
+
+
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns of the one-row frame ``right`` added to ``left``."""
+    row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("_row", row).select(*left.columns, "_row.*")
 
 
 def roc_curve(scores: DataFrame, by: Sequence[str] = (), **options) -> DataFrame:
@@ -372,16 +377,12 @@ def evaluation_summary(
     test: DataFrame, out_of_fold: DataFrame | None = None, model: str = "model", **options
 ) -> DataFrame:
     """One row: test metrics, cross-validated accuracy, F1 and AUC, best F1 threshold."""
-    one = F.lit(1).alias("_one")
     kept = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "average_precision"]
-    row = binary_metrics(test, **options).select(F.lit(model).alias("model"), *kept, one)
+    row = binary_metrics(test, **options).select(F.lit(model).alias("model"), *kept)
     if out_of_fold is not None:
-        cv = cv_metrics(out_of_fold, **options).select("cv_accuracy", "cv_f1", "cv_roc_auc", one)
-        row = row.join(cv, "_one")
-    best = best_thresholds(threshold_sweep(test), ["f1"]).select(
-        F.col("threshold").alias("optimal_f1_threshold"), one
-    )
-    return row.join(best, "_one").drop("_one")
+        row = _beside(row, cv_metrics(out_of_fold, **options).select("cv_accuracy", "cv_f1", "cv_roc_auc"))
+    best = best_thresholds(threshold_sweep(test), ["f1"])
+    return _beside(row, best.select(F.col("threshold").alias("optimal_f1_threshold")))
 
 
 def cv_metrics(out_of_fold: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

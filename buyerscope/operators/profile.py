@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buyerscope import schema as S
@@ -32,22 +32,18 @@ def column_types(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(F.array(*pairs)))
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """(column, value, n, ratio, percentage), most frequent first."""
-    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return with_share(counts).select(F.lit(column).alias("column"), "value", "n", "ratio", "percentage")
+def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(column, value as text, keep...): one row per row and column, so several columns share one pass."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*cells)), *keep)
 
 
-def with_share(counts: DataFrame) -> DataFrame:
-    """Add each row's share of all ``n``; the total is a one-row aggregate, not a window over all rows."""
-    total = counts.agg(F.sum("n").alias("_total")).withColumn("_one", F.lit(1))
-    return (
-        counts.withColumn("_one", F.lit(1))
-        .join(F.broadcast(total), "_one")
-        .withColumn("ratio", F.col("n") / F.col("_total"))
-        .withColumn("percentage", F.col("n") * 100 / F.col("_total"))
-        .drop("_one", "_total")
-    )
+def value_counts(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """(column, value, n, ratio, percentage) of one or several columns."""
+    columns = [columns] if isinstance(columns, str) else list(columns)
+    counts = long_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.withColumns({"ratio": F.col("n") / total, "percentage": F.col("n") * 100 / total})
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
@@ -87,14 +83,16 @@ def target_rate(df: DataFrame, column: str, label: str = S.LABEL) -> DataFrame:
     )
 
 
-def crosstab(df: DataFrame, column: str, label: str = S.LABEL, classes: Sequence[int] = (0, 1)) -> DataFrame:
-    """(value, n, share_<class>...): label shares within each value."""
-    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(label) == c).alias(f"_c{c}") for c in classes],
+def crosstab(
+    df: DataFrame, columns: str | Sequence[str], label: str = S.LABEL, classes: Sequence[int] = (0, 1)
+) -> DataFrame:
+    """(column, value, n, share_<class>...): label shares within each value of one or several columns."""
+    columns = [columns] if isinstance(columns, str) else list(columns)
+    counts = long_values(df, columns, [F.col(label).alias("_label")]).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_label") == c).alias(f"_c{c}") for c in classes]
     )
     return counts.select(
-        "value", "n", *[(F.col(f"_c{c}") / F.col("n")).alias(f"share_{c}") for c in classes]
+        "column", "value", "n", *[(F.col(f"_c{c}") / F.col("n")).alias(f"share_{c}") for c in classes]
     )
 
 

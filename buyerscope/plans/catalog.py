@@ -149,13 +149,11 @@ def dataset_report(spark: SparkSession, folder: str) -> DataFrame:
     stats = P.describe(df)
     nulls = Q.null_counts(df, only_missing=False)
     types = P.column_types(df)
-    size = P.shape(df).withColumn("_one", F.lit(1))
+    size = df.agg(F.count(F.lit(1))).scalar()
     return (
         stats.join(nulls, "column")
         .join(types, "column")
-        .withColumn("_one", F.lit(1))
-        .join(size, "_one")
-        .drop("_one")
+        .withColumns({"n_rows": size, "n_columns": F.lit(len(df.columns))})
     )
 
 
@@ -379,27 +377,18 @@ def power_transform(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def value_counts(spark: SparkSession, folder: str) -> DataFrame:
-    df = explored(spark, folder)
     names = [S.LABEL, "Education", "Marital_Status", "FamilySize", "Complain", "TotalAcceptedCampaigns"]
-    out = P.value_counts(df, names[0])
-    for n in names[1:]:
-        out = out.unionByName(P.value_counts(df, n))
-    return out
+    return P.value_counts(explored(spark, folder), names)
 
 
 def crosstab(spark: SparkSession, folder: str) -> DataFrame:
-    df = explored(spark, folder)
     names = ["Education", "FamilySize", "Complain", "TotalAcceptedCampaigns"]
-    parts = [P.crosstab(df, n).select(F.lit(n).alias("column"), "*") for n in names]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return P.crosstab(explored(spark, folder), names)
 
 
 def tier_crosstab(spark: SparkSession, folder: str) -> DataFrame:
     """Label shares by RFM score: from raw tables to a segment report."""
-    return P.crosstab(_rfm(spark, folder, encode=False, scale=False), "RFM_Score")
+    return P.crosstab(_rfm(spark, folder, encode=False, scale=False), "RFM_Score").drop("column")
 
 
 def composition(spark: SparkSession, folder: str) -> DataFrame:
@@ -648,7 +637,8 @@ def score_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def final_train(spark: SparkSession, folder: str) -> DataFrame:
-    done = train_final(prepared(spark, folder), trials=1, n_features=20, spaces=SMALL_SPACES, folds=2)
+    spaces = {k: SMALL_SPACES[k] for k in ("lightgbm", "xgboost")}
+    done = train_final(prepared(spark, folder), trials=1, n_features=20, spaces=spaces, folds=2)
     return score(done.scorer, wide(spark, folder))
 
 

@@ -308,10 +308,9 @@ def eda_report(df: DataFrame, label: str = S.LABEL, as_of_year: int = 2025) -> d
         "types": P.column_types(df),
         "nulls": Q.null_counts(df, only_missing=False),
         "describe": P.describe(df),
-        "target": P.value_counts(e, label),
-        **{f"counts_{c}": P.value_counts(e, c) for c in [*S.CATEGORIES, "FamilySize", "Complain", S.DEALS, S.VISITS]},
+        "value_counts": P.value_counts(e, [label, *S.CATEGORIES, "FamilySize", "Complain", S.DEALS, S.VISITS]),
         "rate_Education": P.target_rate(e, "Education", label),
-        **{f"share_{c}": P.crosstab(e, c, label) for c in ("Education", "FamilySize", "Complain", "TotalAcceptedCampaigns")},
+        "shares": P.crosstab(e, ["Education", "FamilySize", "Complain", "TotalAcceptedCampaigns"], label),
         "size_Complain": P.group_size(e, "Complain"),
         "histogram": P.histogram(e, ["Age", "Income", "YearsSinceRegistration", "TotalSpend", "Recency"], 20, label),
         "density_Age": P.density(e, "Age", label=label),
