@@ -27,7 +27,7 @@ CALIBRATION_ROWS = 20_000  # training texts, chosen by hash, that calibrate the
 REJECT_QUANTILE = 0.999
 REJECT_SLACK = 1.5  # factor on the calibrated cross-entropy
 LENGTH_EDGES = (50, 200, 1_000)  # characters; short texts vary more
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -40,10 +40,14 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-def _codes(word: str) -> np.ndarray:
-    """Code points of a word between blanks; blank is 0."""
-    body = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    return np.concatenate([np.zeros(ORDER - 1, dtype=np.uint64), body, np.zeros(1, dtype=np.uint64)])
+def _windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all n-grams of order ``ORDER`` of the words, each between blanks (0), and the number of each word's n-grams."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    pad = "\0" * (ORDER - 1)
+    flat = np.frombuffer((pad + ("\0" + pad).join(words) + "\0").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    skipped = np.arange(len(words)) * (ORDER - 1)  # no n-gram starts in the blanks that lead to the next word
+    first = np.arange(sizes.sum()) + np.repeat(skipped, sizes)
+    return flat[first[:, None] + np.arange(ORDER)], sizes
 
 
 def _hash(grams: np.ndarray) -> np.ndarray:
@@ -63,20 +67,23 @@ def count_grams(rows: DataFrame) -> DataFrame:
         words: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            out: list[tuple] = []
+            langs, found, numbers = [], [], []
             for lang, seen in words.items():
-                grams: Counter = Counter()
-                for word, n in seen.items():
-                    if not has_letter(word):
-                        continue
-                    padded = " " * (ORDER - 1) + word + " "
-                    for i in range(len(word) + 1):
-                        grams[padded[i : i + ORDER]] += n
-                out += [(lang, g, n) for g, n in grams.items()]
+                kept = [w for w in seen if has_letter(w)]
+                if not kept:
+                    continue
+                windows, sizes = _windows(kept)
+                _, first, which = np.unique(_hash(windows), return_index=True, return_inverse=True)
+                weight = np.repeat(np.fromiter(map(seen.__getitem__, kept), dtype=np.int64, count=len(kept)), sizes)
+                total = np.bincount(which, weights=weight).astype(np.int64)
+                text = windows[first].astype("<u4").tobytes().decode("utf-32-le").replace("\0", " ")
+                found += [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+                numbers.append(total)
+                langs += [lang] * len(total)
             words.clear()
+            numbers = np.concatenate([*numbers, np.empty(0, dtype=np.int64)])
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())],
-                names=["lang", "gram", "n"],
+                [pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(numbers)], names=["lang", "gram", "n"]
             )
 
         for batch in batches:
@@ -157,19 +164,14 @@ class LanguageModel:
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
-        codes = [_codes(w) for w in words]
-        flat = np.concatenate(codes)
-        sizes = np.array([len(c) - ORDER + 1 for c in codes])
-        starts = np.cumsum([0] + [len(c) for c in codes[:-1]])
-        first = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        windows = flat[first[:, None] + np.arange(ORDER)]
+        windows, sizes = _windows(words)
         grams = [_hash(windows[:, ORDER - n :]) for n in range(1, ORDER + 1)]
         contexts = [None] + [_hash(windows[:, ORDER - n : -1]) for n in range(2, ORDER + 1)]
         out = np.empty((len(words), len(self.languages)))
         edges = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         for k, t in enumerate(self.tables):
-            score = np.full(len(first), np.nan)
-            backed = np.zeros(len(first))
+            score = np.full(len(windows), np.nan)
+            backed = np.zeros(len(windows))
             for n in range(ORDER, 0, -1):
                 open_ = np.flatnonzero(np.isnan(score))
                 if not len(open_):

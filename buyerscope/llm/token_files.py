@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ from buyerscope.storage import shared_root
 END_ID = 1
 BLOCK_IDS = 2_000_000  # a block is closed once it holds so many ids
 ROUNDS = 5
+BROADCAST_BLOCKS = 500_000  # three numbers each: under 20 MB
 MIN_COUNT = 8  # a pair seen less often gets no rule
-CACHE_WORDS = 400_000  # words a worker remembers, at most
+CACHE_WORDS = 1_000_000  # words a worker remembers, at most
+RUNS = 32  # letter runs encoded in one text
 WORD_CHARS = 64  # longer words are encoded again instead of remembered
 # Letters whose lower-case form is one letter of the same kind and needs no composition, then marks of which none can join them.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*$%&]*)")
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*$%&]*)").fullmatch
 
 
 class WordEncoder:
@@ -54,6 +57,10 @@ class WordEncoder:
         pre = spec.get("pre_tokenizer") or {}
         split = next((x for x in pre.get("pretokenizers", [pre]) if x.get("type") == "Split"), {})
         specials = spec.get("added_tokens", [])
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = bool(suffix) and token.endswith(suffix)
         self.by_word = (
             split.get("behavior") == "Removed" and split.get("invert") is True and r"[^\s" in split.get("pattern", {}).get("Regex", "")
             and not any(x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"]) for x in specials)
@@ -63,23 +70,39 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Remember runs of letters; many go into one text, as the token that ends a word shows where each run ends."""
+        for start in range(0, len(runs), RUNS):
+            part = runs[start : start + RUNS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                whole, last = ids.tobytes(), 0
+                for run, cut in zip(part, (cuts * 4).tolist(), strict=True):
+                    self.known[run] = whole[last:cut]
+                    last = cut
+            else:
+                self.known.update(zip(part, self._encode(part), strict=True))
+
     def _learn(self, words: list[str]) -> None:
         """Remember new words. A word of letters and closing marks is the sum of its letter run and its marks."""
         known, rest, runs = self.known, [], set()
-        plain = {}
+        plain = []
         for word in words:
-            parts = SIMPLE.fullmatch(word)
+            parts = SIMPLE(word)
             if parts is None:
                 rest.append(word)
             else:
-                plain[word] = low, marks = parts[1].lower(), parts[2]
-                runs.update(x for x in (low, marks) if x and x not in known)
-        new = [*rest, *runs]
-        for start in range(0, len(new), 4_096):
-            part = new[start : start + 4_096]
-            known.update(zip(part, self._encode(part), strict=True))
+                low, marks = parts[1].lower(), parts[2]
+                plain.append((word, low, marks))
+                if low not in known:
+                    runs.add(low)
+                if marks not in known:
+                    rest.append(marks)
+        self._learn_runs(list(runs))
+        known.update(zip(rest, self._encode(rest), strict=True))
         known[""] = b""
-        for word, (low, marks) in plain.items():
+        for word, low, marks in plain:
             known[word] = known[low] + known[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -89,7 +112,7 @@ class WordEncoder:
             self.known.clear()
         known = self.known
         split = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        new = {w for words in split for w in words if w not in known}
+        new = set(chain.from_iterable(split)).difference(known)
         self._learn([w for w in new if len(w) <= WORD_CHARS])
         long = [w for w in new if len(w) > WORD_CHARS]
         extra = dict(zip(long, self._encode(long), strict=True)) if long else {}
@@ -267,7 +290,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     out, names = [*out, pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int64)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    used = blocks.join(bases, ["part", "block"]).select("base", "first_symbol", "doc_ids", "doc_lengths", "width", "rules", "sequence")
+    # Blocks stay where they are read while the table of their bases is small.
+    small = F.broadcast(bases) if bases.count() <= BROADCAST_BLOCKS else bases
+    used = blocks.join(small, ["part", "block"]).select("base", "first_symbol", "doc_ids", "doc_lengths", "width", "rules", "sequence")
     return used.mapInArrow(run, schema)
 
 
