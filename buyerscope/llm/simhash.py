@@ -46,16 +46,16 @@ def fingerprint_of(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of every row; null texts count as empty."""
+    """``doc_id, text_key, fp`` (signed 64 bits, the first a hash of the text) of every row; null texts count as empty."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint_of(x, shingle) if x else 0 for x in batch.column(1).cast(pa.binary()).to_pylist()]
             signed = np.array(values, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(signed)], names=["doc_id", "text_key", "fp"])
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(compute, f"doc_id {kind}, fp long")
+    return docs.select(doc_id, text, F.xxhash64(text)).mapInArrow(compute, f"doc_id {kind}, text_key long, fp long")
 
 
 def _levels(values: np.ndarray, cells: np.ndarray) -> list[tuple]:
@@ -194,7 +194,7 @@ def _gray_rank(fp):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row.
+    """``doc_id, text_key, fp, component_id`` of every row.
 
     Fingerprints link at ``distance`` or fewer differing bits; ``component_id`` is the smallest id reachable (null only if all ids of
     the component are null). Equal texts, null and empty texts (fingerprint 0) link with each other; repeated rows come out as often as they go in.
@@ -209,21 +209,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     named = write_once(named, "fingerprint_parts")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_fp = named.join(smallest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """One document of each group, the one with the smallest id, in the columns of ``docs``.
 
-    Rows that repeat the surviving id are one document and leave one row; a group whose ids are all null leaves one row per
-    fingerprint's text.
+    Rows that repeat the surviving id are one document and leave one row; a group whose ids are all null leaves one row per text.
     """
-    found = near_duplicates(docs, shingle, distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_k"]), "left_semi")
-    hot = stay.withColumn("_t", F.xxhash64("text"))
-    once = hot.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(hot.where("doc_id is null").dropDuplicates(["_t"])).drop("_t")
+    found = near_duplicates(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(F.col("doc_id").alias("_k"), F.col("text_key").alias("_kt")).distinct()
+    marked = docs.withColumn("_t", F.xxhash64("text"))
+    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_k"]) & (marked["_t"] == kept["_kt"]), "left_semi")
+    # Texts with the surviving id belong to one document each; a null id says nothing about that.
+    return stay.withColumn("_null", F.when(F.col("doc_id").isNull(), F.col("_t"))).dropDuplicates(["doc_id", "_null"]).drop("_t", "_null")
 
 
 def op8_simhash_gray_index(spark, folder: str) -> DataFrame:

@@ -48,9 +48,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Letter runs reach this one in their normal form already.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -74,7 +77,7 @@ class WordEncoder:
         """Remember runs of letters; many go into one text, as the token that ends a word shows where each run ends."""
         for start in range(0, len(runs), RUNS):
             part = runs[start : start + RUNS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 whole, last = ids.tobytes(), 0
@@ -181,19 +184,10 @@ def re_pair(ids: np.ndarray, first_symbol: int, barrier: int = END_ID, rounds: i
 
 def expand(rules: np.ndarray, sequence: np.ndarray, first_symbol: int) -> np.ndarray:
     """The ids that a sequence stands for."""
-    whole: list[bytes] = []
-    plain: dict[int, bytes] = {}
-
-    def of(symbol: int) -> bytes:
-        if symbol >= first_symbol:
-            return whole[symbol - first_symbol]
-        if symbol not in plain:
-            plain[symbol] = symbol.to_bytes(4, "little")
-        return plain[symbol]
-
+    table_ = [i.to_bytes(4, "little") for i in range(first_symbol)]
     for a, b in rules.tolist():
-        whole.append(of(a) + of(b))
-    return np.frombuffer(b"".join(map(of, sequence.tolist())), dtype="<u4")
+        table_.append(table_[a] + table_[b])
+    return np.frombuffer(b"".join(map(table_.__getitem__, sequence.tolist())), dtype="<u4")
 
 
 BLOCK_SCHEMA = (
