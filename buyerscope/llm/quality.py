@@ -128,9 +128,11 @@ ADDED = [
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """Kept documents only, with their cleaned text and its length, in the columns of ``docs``."""
-    judged = judge(docs, **options).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judged.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    # A plain filter would be pushed down to the scan, with the whole chain of expressions repeated inside it.
+    judged = judge(docs, **options).select(F.explode_outer(F.when(F.col("kept"), F.array(row))).alias("_q"))
+    return judged.where("_q is not null").select("_q.*")
 
 
 ORACLE_SQL = r"""
