@@ -1,10 +1,8 @@
-"""Exact quantiles with linear interpolation, on tables of any size.
+"""Exact quantiles with linear interpolation, by one method on tables of any size.
 
-Spark's ``percentile`` keeps every distinct value of the column in one task. That is fine
-up to a few million values, so their number is checked first. Beyond it a bounded sketch
-brackets each wanted quantile, one pass counts the rows below and inside all brackets, and
-only the values inside are looked at, again in one pass. The counts prove the brackets
-right, so the result is exact whatever the sketch says.
+A sketch brackets each wanted order statistic, one pass counts the rows below and inside all brackets, and only the values
+inside are looked at, again in one pass. The counts prove the brackets right, so the result is exact whatever the sketch says.
+Values are ranked as Spark orders them: minus infinity, finite numbers, infinity, NaN; only the finite ones need a search.
 """
 
 from __future__ import annotations
@@ -16,8 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows times columns that ``percentile`` may hold at once.
-DIRECT_VALUES = 2_000_000
 # Rows of one bracket that may be sorted in one task.
 BRACKET_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -25,17 +21,15 @@ SKETCH_ACCURACY = 10_000
 
 @dataclass
 class _Bracket:
-    """The order statistics ``first`` and ``last`` (0-based, neighbours) lie in [low, high]."""
+    """The finite value of rank ``rank`` (0-based) lies in [low, high]."""
 
     column: Column
-    first: int
-    last: int
+    rank: int
     inside: int
-    share: float
     below: int = 0
     low: float | None = None
     high: float | None = None
-    values: tuple[float, float] | None = None
+    value: float | None = None
 
     def member(self) -> Column:
         keep = self.column.isNotNull()
@@ -43,21 +37,17 @@ class _Bracket:
             keep = keep & self.column.between(self.low, self.high)
         return keep
 
-    def result(self) -> float:
-        a, b = self.values
-        return a + (b - a) * self.share
-
 
 def exact_quantiles(
     df: DataFrame,
     specs: dict[str, tuple[Column | str, Sequence[float]]],
-    direct_values: int = DIRECT_VALUES,
     bracket_rows: int = BRACKET_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Quantiles of several columns: {name: (column, [q, ...])} -> {name: [value, ...]}.
 
-    A column without values gives nulls.
+    Nulls are skipped; a column without values gives nulls. ``bracket_rows`` and ``accuracy`` change the number of passes and never
+    the result.
     """
     if not specs:
         return {}
@@ -65,38 +55,49 @@ def exact_quantiles(
         n: ((F.col(c) if isinstance(c, str) else c).cast("double"), list(qs))
         for n, (c, qs) in specs.items()
     }
-    if df.count() * len(columns) > direct_values:
-        return _bracketed(df, columns, bracket_rows, accuracy)
-    row = df.agg(
+    infinity = F.lit(math.inf)
+    counts = df.agg(
         *[
-            F.percentile(c, F.array(*[F.lit(float(q)) for q in qs])).alias(f"q{i}")
-            for i, (c, qs) in enumerate(columns.values())
+            count
+            for i, (c, _) in enumerate(columns.values())
+            for count in (
+                F.count(c).alias(f"n{i}"), F.count_if(c == -infinity).alias(f"l{i}"),
+                F.count_if(c == infinity).alias(f"h{i}"), F.count_if(F.isnan(c)).alias(f"x{i}"),
+            )
         ]
     ).first()
-    return {
-        n: (list(row[i]) if row[i] is not None else [None] * len(qs))
-        for i, (n, (_, qs)) in enumerate(columns.items())
-    }
-
-
-def _bracketed(
-    df: DataFrame, columns: dict[str, tuple[Column, list[float]]], bracket_rows: int, accuracy: int
-) -> dict[str, list[float | None]]:
-    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, (c, _) in enumerate(columns.values())]).first()
-    wanted: dict[tuple[str, float], _Bracket] = {}
-    for n, (name, (column, qs)) in zip(sizes, columns.items()):
+    wanted: dict[tuple[str, int], _Bracket] = {}
+    fixed: dict[tuple[str, int], float] = {}
+    for i, (name, (column, qs)) in enumerate(columns.items()):
+        n, low, high, nan = counts[4 * i : 4 * i + 4]
+        finite = F.when(~F.isnan(column) & (F.abs(column) < infinity), column)
         for q in qs if n else ():
-            at = q * (n - 1)
-            wanted[name, q] = _Bracket(column, math.floor(at), math.ceil(at), n, at - math.floor(at))
-    while wide := [b for b in wanted.values() if b.values is None and b.inside > bracket_rows]:
+            for rank in {math.floor(q * (n - 1)), math.ceil(q * (n - 1))}:
+                if rank < low:
+                    fixed[name, rank] = -math.inf
+                elif rank >= n - nan:
+                    fixed[name, rank] = math.nan
+                elif rank >= n - nan - high:
+                    fixed[name, rank] = math.inf
+                else:
+                    wanted[name, rank] = _Bracket(finite, rank - low, n - low - high - nan)
+    while wide := [b for b in wanted.values() if b.value is None and b.inside > bracket_rows]:
         _narrow(df, wide, accuracy)
-    _pick(df, [b for b in wanted.values() if b.values is None])
+    _pick(df, [b for b in wanted.values() if b.value is None])
+    fixed |= {key: b.value for key, b in wanted.items()}
     return {
-        name: [wanted[name, q].result() if (name, q) in wanted else None for q in qs]
-        for name, (_, qs) in columns.items()
+        name: [_between(fixed, name, q * (counts[4 * i] - 1)) if counts[4 * i] else None for q in qs]
+        for i, (name, (_, qs)) in enumerate(columns.items())
     }
 
 
+def _between(values: dict[tuple[str, int], float], name: str, at: float) -> float:
+    """The value at a fractional rank."""
+    first, last = math.floor(at), math.ceil(at)
+    a, b = values[name, first], values[name, last]
+    return a if first == last or a == b else (last - at) * a + (at - first) * b
+
+
 def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
     """Shrink each bracket to the sketch's neighbourhood of its ranks, then count to check it."""
     slack = 2.0 / accuracy
@@ -105,8 +106,8 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
             F.percentile_approx(
                 F.when(b.member(), b.column),
                 [
-                    max(0.0, (b.first - b.below) / b.inside - slack),
-                    min(1.0, (b.last - b.below + 1) / b.inside + slack),
+                    max(0.0, (b.rank - b.below) / b.inside - slack),
+                    min(1.0, (b.rank - b.below + 1) / b.inside + slack),
                 ],
                 accuracy,
             ).alias(f"s{i}")
@@ -125,41 +126,40 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
     ).first()
     for i, b in enumerate(brackets):
         below, inside = counts[2 * i], counts[2 * i + 1]
-        if below <= b.first and b.last < below + inside and inside < b.inside:
+        if below <= b.rank < below + inside and inside < b.inside:
             (b.low, b.high), b.below, b.inside = sketch[i], below, inside
             if b.low == b.high:
-                b.values = (float(b.low), float(b.low))
+                b.value = float(b.low)
         else:
             _halve(df, b)
 
 
 def _halve(df: DataFrame, b: _Bracket) -> None:
-    """Fallback where the sketch did not help: find both order statistics by bisection on values.
+    """Fallback where the sketch did not help: find the order statistic by bisection on values.
 
-    Every step is one count; at most the bits of a double are needed.
+    Every step is one count and moves an end of the interval to another value of the column; the interval's width halves or it is left
+    with one value, so that the doubles' range bounds the number of steps.
     """
     ends = df.where(b.member()).agg(F.min(b.column), F.max(b.column)).first()
-    b.values = tuple(_bisect(df, b, rank, float(ends[0]), float(ends[1])) for rank in (b.first, b.last))
-
-
-def _bisect(df: DataFrame, b: _Bracket, rank: int, low: float, high: float) -> float:
-    """Smallest value with more than ``rank`` rows at or below it."""
+    low, high = float(ends[0]), float(ends[1])
     while low < high:
-        middle = low + (high - low) / 2
+        middle = low / 2 + high / 2
+        if not low <= middle < high:  # neighbours
+            middle = low
         row = df.agg(
             F.count_if(b.column <= middle),
             F.max(F.when(b.column <= middle, b.column)),
             F.min(F.when(b.column > middle, b.column)),
         ).first()
-        if row[0] > rank:
+        if row[0] > b.rank:
             high = float(row[1])
         else:
             low = float(row[2])
-    return low
+    b.value = low
 
 
 def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Values at the brackets' ranks, from running counts over the distinct values of each bracket.
+    """Value at each bracket's rank, from running counts over the distinct values of each bracket.
 
     All brackets share one pass; each holds few rows by now and is sorted on its own.
     """
@@ -174,14 +174,10 @@ def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
     )
     order = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     running = counts.withColumn("upto", F.sum("n").over(order))
-    first = F.get(F.array(*[F.lit(b.first - b.below) for b in brackets]), F.col("b"))
-    last = F.get(F.array(*[F.lit(b.last - b.below) for b in brackets]), F.col("b"))
-    found = running.groupBy("b").agg(
-        F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > last, F.col("v"))).alias("z"),
-    )
+    rank = F.get(F.array(*[F.lit(b.rank - b.below) for b in brackets]), F.col("b"))
+    found = running.groupBy("b").agg(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias("v"))
     for r in found.collect():
-        brackets[r["b"]].values = (float(r["a"]), float(r["z"]))
+        brackets[r["b"]].value = float(r["v"])
 
 
 def medians(df: DataFrame, columns: Sequence[str], **options) -> dict[str, float | None]:

@@ -73,7 +73,8 @@ def _log_likelihood(n: int, variance: float | None, log_sum: float, lam: float)
 class PowerTransform(JsonEstimator):
     """Yeo-Johnson with the most likely lambda, then standardized. Nulls count as 0.
 
-    Each pass evaluates a grid of lambdas for all columns in one aggregation; the next pass
+    Each pass evaluates a grid of lambdas for all columns in one aggregation; ``low`` and ``high`` are only where the search
+    starts: while a column's best lambda is an end of its grid, a grid twice as wide follows beyond that end. The next pass
     looks ten times closer around the best one.
     """
 
@@ -90,16 +91,33 @@ class PowerTransform(JsonEstimator):
             if turn:
                 step /= 10
                 grids = {c: [round(best[c] + i * step, 10) for i in range(-10, 11)] for c in columns}
-            best = self._best(filled, grids)
+            best = self._widened(filled, grids, step)
         powered = filled.select(*[yeo_johnson(c, best[c]).alias(c) for c in columns])
         moments = fit_moments(powered, columns)
         return PowerTransformModel.from_estimator(
             self, {c: [best[c], *moments[c]] for c in columns}
         )
 
+    def _widened(self, df: DataFrame, grids: dict[str, list[float]], step: float) -> dict[str, float]:
+        """Best lambda per column, not at an end of what was searched unless the likelihood is flat or not finite beyond it."""
+        found, todo, count = self._best(df, grids), dict(grids), {c: len(g) for c, g in grids.items()}
+        while todo:
+            beyond = {}
+            for c in todo:
+                score, lam = found[c]
+                count[c] *= 2
+                if math.isfinite(score) and lam in (todo[c][0], todo[c][-1]):
+                    way = 1 if lam == todo[c][-1] else -1
+                    grid = [round(lam + way * i * step, 10) for i in range(count[c])]
+                    beyond[c] = grid[::way]
+            better = self._best(df, beyond) if beyond else {}
+            todo = {c: beyond[c] for c, (score, lam) in better.items() if score > found[c][0]}
+            found |= {c: better[c] for c in todo}
+        return {c: lam for c, (_, lam) in found.items()}
+
     @staticmethod
-    def _best(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, float]:
-        """Most likely lambda per column: every row meets its column's grid inside its task,
+    def _best(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, tuple[float, float]]:
+        """(Log likelihood, most likely lambda) per column: every row meets its column's grid inside its task,
         and only one partial variance per (column, lambda) leaves the task."""
         cells = F.array(
             *[
@@ -126,8 +144,9 @@ class PowerTransform(JsonEstimator):
         scores: dict[str, list[tuple[float, float]]] = {c: [] for c in grids}
         for r in rows:
             found = _log_likelihood(r["n"], r["variance"], r["log_sum"], r["lam"])
-            scores[r["c"]].append((found, -r["lam"]))
-        return {c: -max(found)[1] if found else 1.0 for c, found in scores.items()}
+            scores[r["c"]].append((found if found == found else -math.inf, -r["lam"]))
+        best = {c: max(found) if found else (-math.inf, -1.0) for c, found in scores.items()}
+        return {c: (score, -minus) for c, (score, minus) in best.items()}
 
 
 class PowerTransformModel(JsonModel):

@@ -148,7 +148,7 @@ def benchmark(
             rows.append((kind, m["accuracy"], m["precision"], m["recall"], m["f1"], m["roc_auc"], cv, str(params), None))
             out.models[kind], out.searches[kind] = model, table
         except Exception as error:  # noqa: BLE001 - one failing model must not stop the others
-            rows.append((kind, None, None, None, None, None, None, None, str(error)[:500]))
+            rows.append((kind, None, None, None, None, None, None, None, str(error)))
     out.table = df.sparkSession.createDataFrame(rows, COMPARISON)
     fine = [r for r in rows if r[6] is not None]
     out.best_name = max(fine, key=lambda r: r[6])[0] if fine else None

@@ -76,3 +76,9 @@ def test_column_transformer(spark):
     s = np.sqrt(1.5)
     assert got == [pytest.approx([-s, 1, 0]), pytest.approx([0, 0, 1]), pytest.approx([s, 1, 0])]
     assert most_frequent(df, ["c"]) == {"c": "a"}
+
+
+def test_power_transform_finds_a_peak_outside_the_first_grid(spark):
+    rows = [(10 * ((i + 0.5) / 400) ** (1 / 6),) for i in range(400)]
+    model = PowerTransform(columns=["x"], standardize=False).fit(spark.createDataFrame(rows, "x double"))
+    assert 4.5 < model.state()["x"][0] < 4.9
