@@ -11,7 +11,7 @@ from buyerscope import schema as S
 from buyerscope.functions.dates import tenure_years
 from buyerscope.functions.expressions import flag, ratio, row_std, row_sum
 from buyerscope.operators.base import JsonEstimator, JsonModel
-from buyerscope.operators.onehot import dummies, fit_vocabulary
+from buyerscope.operators.onehot import MAX_LEVELS, dummies, fit_vocabulary
 
 
 def whole_sum(cols: Sequence[str]) -> Column:
@@ -76,7 +76,7 @@ def core_columns(
     )
 
 
-OPTIONS = {"as_of_year": 2025, "categories": S.CATEGORIES, "birth_year": "Year_Birth"}
+OPTIONS = {"as_of_year": 2025, "categories": S.CATEGORIES, "birth_year": "Year_Birth", "max_levels": MAX_LEVELS}
 
 
 class CoreFeatures(JsonEstimator):
@@ -86,7 +86,7 @@ class CoreFeatures(JsonEstimator):
 
     def _fit(self, df: DataFrame) -> CoreFeaturesModel:
         names = [c for c in self.opt("categories") if c in df.columns]
-        found = fit_vocabulary(df, names)
+        found = fit_vocabulary(df, names, self.opt("max_levels"))
         learned = {c: [v for v in found[c] if v != S.UNKNOWN] + [S.UNKNOWN] for c in names}
         return CoreFeaturesModel.from_estimator(self, {"vocabulary": learned})
 

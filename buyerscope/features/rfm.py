@@ -13,7 +13,7 @@ from buyerscope.functions.expressions import (
 )
 from buyerscope.operators.base import JsonEstimator, JsonModel
 from buyerscope.operators.binning import cut, cut_index, edge_specs, label_at, merged_edges
-from buyerscope.operators.onehot import dummies, fit_vocabulary
+from buyerscope.operators.onehot import MAX_LEVELS, dummies, fit_vocabulary
 from buyerscope.operators.quantiles import exact_quantiles, medians
 from buyerscope.operators.transform import (
     PowerTransform, PowerTransformModel, StandardScale, StandardScaleModel,
@@ -30,6 +30,7 @@ CATEGORIES = ["Marital_Status", "Education", "Age_Bin", "Family_Lifecycle", "Cus
 MEDIAN_SPEND = ["MntWines", "MntMeatProducts", "MntSweetProducts", "MntGoldProds"]
 
 OPTIONS = {
+    "max_levels": MAX_LEVELS,
     "as_of": "2023-01-01",
     "education_order": S.EDUCATION_ORDER,
     "encode": True,
@@ -182,7 +183,7 @@ class RfmFeatures(JsonEstimator):
         mids = {c: found[f"median {c}"][0] for c in middle}
         learned = {"income": income, "medians": mids, "edges": merged_edges(found, bin_specs())}
         labelled = fitted_columns(base, mids, learned["edges"], self.opt("education_order"))
-        vocabulary = fit_vocabulary(labelled, ["Marital_Status", "Education", "Family_Lifecycle"])
+        vocabulary = fit_vocabulary(labelled, ["Marital_Status", "Education", "Family_Lifecycle"], self.opt("max_levels"))
         vocabulary.update({"Age_Bin": AGE_LABELS, "Customer_Value": VALUE_LABELS})
         learned["vocabulary"] = {c: vocabulary[c] for c in CATEGORIES}
         if self.opt("scale"):

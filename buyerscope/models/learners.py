@@ -75,7 +75,7 @@ KINDS = [*GRIDS, "catboost", "mlp"]
 BOOSTED = {
     "gradient_boosting": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
     "xgboost": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6},
-    "lightgbm": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
+    "lightgbm": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": -1},
     "catboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
 }
 
@@ -248,7 +248,8 @@ class Learner(JsonEstimator):
     def _boosted(self, params, weight) -> C.GBTClassifier:
         """Boosted trees under any of the preset names.
 
-        Leaf counts and leaf-weight penalties have no counterpart and are ignored.
+        Leaf counts and leaf-weight penalties have no counterpart and are ignored. No depth limit (null or negative)
+        means Spark's own. ``gamma``, the least loss reduction of a split, is the least information gain.
         """
         given = {**BOOSTED[self.opt("kind")], **params}
         depth = given["max_depth"]
@@ -256,7 +257,8 @@ class Learner(JsonEstimator):
         model = C.GBTClassifier(
             maxIter=given.get("iterations", given["n_estimators"]),
             stepSize=given["learning_rate"],
-            maxDepth=BOOSTED["lightgbm"]["max_depth"] if depth is None or depth < 0 else given.get("depth", depth),
+            maxDepth=NO_DEPTH_LIMIT if depth is None or depth < 0 else given.get("depth", depth),
+            minInfoGain=given.get("gamma", 0.0),
             subsamplingRate=given.get("subsample", 1.0),
             featureSubsetStrategy="all" if share >= 1.0 else str(share),
             minInstancesPerNode=max(1, given.get("min_child_samples", given.get("min_child_weight", 1))),
@@ -289,7 +291,7 @@ class Learner(JsonEstimator):
         regular = self._penalty(df, weight, params.get("C", 1.0))
         machine = C.LinearSVC(
             featuresCol=features, labelCol=self.opt("label"), rawPredictionCol=f"margins_{name}",
-            predictionCol=f"side_{name}", regParam=regular, maxIter=params.get("max_iter", 50),
+            predictionCol=f"side_{name}", regParam=regular, maxIter=params.get("max_iter", 1000),
             tol=params.get("tol", 1e-3),
         )
         if weight:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from buyerscope.operators.base import JsonEstimator, JsonModel
 
-# More levels than this are a key or free text, not a category.
+# More levels than this are taken for a key or free text; a parameter of every stage that encodes.
 MAX_LEVELS = 1000
 
 
@@ -22,11 +22,14 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_
         *[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]
     )
     levels = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
-    rows = levels.limit(max_levels * len(columns) + 1).collect()
+    # One number per column tells which of them are too wide before any value is fetched.
+    counts = {r["c"]: r["count"] for r in levels.groupBy("c").count().collect()}
+    large = {c: n for c, n in counts.items() if n > max_levels}
+    if large:
+        raise ValueError(f"more than {max_levels} levels: {large}; raise max_levels if they are categories")
+    rows = levels.collect()
     for c in columns:
         out[c] = sorted(r["v"] for r in rows if r["c"] == c)
-        if len(out[c]) > max_levels or len(rows) > max_levels * len(columns):
-            raise ValueError(f"{c}: more than {max_levels} levels")
     return out
 
 
@@ -38,7 +41,7 @@ def dummies(c: str, levels: Sequence[str], null_column: bool = False) -> dict[st
     return out
 
 
-OPTIONS = {"columns": [], "drop_first": False, "null_column": False, "keep_original": False}
+OPTIONS = {"columns": [], "drop_first": False, "null_column": False, "keep_original": False, "max_levels": MAX_LEVELS}
 
 
 class OneHot(JsonEstimator):
@@ -47,7 +50,7 @@ class OneHot(JsonEstimator):
     DEFAULTS = OPTIONS
 
     def _fit(self, df: DataFrame) -> OneHotModel:
-        return OneHotModel.from_estimator(self, fit_vocabulary(df, self.opt("columns")))
+        return OneHotModel.from_estimator(self, fit_vocabulary(df, self.opt("columns"), self.opt("max_levels")))
 
 
 class OneHotModel(JsonModel):

@@ -64,6 +64,37 @@ def rank_by_hash(
     )
 
 
+def _classes(df: DataFrame, label: str) -> DataFrame:
+    """One row per class: ``_c``, its rows ``_n_c``, the rows of smaller classes ``_before`` and all rows ``_n``."""
+    counted = df.groupBy(F.col(label).alias("_c")).agg(F.count(F.lit(1)).alias("_n_c"))
+    # These windows order classes, not rows.
+    ordered = Window.partitionBy(F.lit(0)).orderBy("_c")
+    return counted.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_n_c").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_n": F.sum("_n_c").over(Window.partitionBy(F.lit(0))),
+        }
+    )
+
+
+def held_out_quota(classes: DataFrame, test_size: float) -> DataFrame:
+    """``_c, _quota``: the test rows of every class.
+
+    All classes together give the share of all rows, rounded up; each class gives its proportional part rounded down, and the rows
+    that are still missing come from the classes with the largest remainders (the smaller class first on ties).
+    """
+    every = Window.partitionBy(F.lit(0))
+    parts = classes.withColumn("_test", F.ceil(F.lit(float(test_size)) * F.col("_n")).cast("decimal(19,0)")).select(
+        "_c",
+        "_test",
+        F.expr("cast(_test * cast(_n_c as decimal(19,0)) div cast(_n as decimal(19,0)) as long)").alias("_whole"),
+        F.expr("(_test * cast(_n_c as decimal(19,0))) % cast(_n as decimal(19,0))").alias("_rest"),
+    )
+    place = F.row_number().over(every.orderBy(F.desc("_rest"), "_c"))
+    missing = F.col("_test") - F.sum("_whole").over(every)
+    return parts.select("_c", (F.col("_whole") + (place <= missing).cast("long")).alias("_quota"))
+
+
 def stratified_split(
     df: DataFrame,
     key: str = S.KEY,
@@ -72,13 +103,19 @@ def stratified_split(
     seed: int = 42,
     out: str = "split",
 ) -> DataFrame:
-    """Mark each row 'train' or 'test'; every class gives the rounded share of its rows.
+    """Mark each row 'train' or 'test'; ``held_out_quota`` says how many rows of each class are for testing.
 
-    ``label=None`` splits without classes.
+    ``label=None`` splits without classes: the share of all rows, rounded up.
     """
-    ranked = rank_by_hash(df, key, seed, [label] if label else [], "_rn", "_n_class")
-    test = F.col("_rn") <= F.round(F.lit(test_size) * F.col("_n_class"))
-    return ranked.withColumn(out, F.when(test, "test").otherwise("train")).drop("_rn", "_n_class")
+    if label is None:
+        ranked = rank_by_hash(df, key, seed, [], "_rn", "_n_all")
+        quota = F.ceil(F.lit(float(test_size)) * F.col("_n_all"))
+    else:
+        ranked = rank_by_hash(df, key, seed, [label], "_rn")
+        quotas = held_out_quota(_classes(df, label), test_size)
+        ranked, quota = ranked.join(quotas, F.col(label).eqNullSafe(F.col("_c"))), F.col("_quota")
+    marked = ranked.withColumn(out, F.when(F.col("_rn") <= quota, "test").otherwise("train"))
+    return marked.drop("_rn", "_n_all", "_c", "_quota")
 
 
 def stratified_folds(
@@ -89,9 +126,14 @@ def stratified_folds(
     seed: int = 42,
     out: str = "fold",
 ) -> DataFrame:
-    """Assign folds 0..k-1 so that each class is spread evenly over them."""
-    ranked = rank_by_hash(df, key, seed, [label], "_rn")
-    return ranked.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
+    """Assign folds 0..k-1 so that each class is spread evenly over them.
+
+    The numbering goes on from class to class: fold sizes differ by one row at most, over each class and over all.
+    """
+    before = _classes(df, label).select("_c", "_before")
+    ranked = rank_by_hash(df, key, seed, [label], "_rn").join(before, F.col(label).eqNullSafe(F.col("_c")))
+    number = (F.col("_before") + F.col("_rn") - 1) % k
+    return ranked.withColumn(out, number.cast("int")).drop("_rn", "_c", "_before")
 
 
 def down_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -89,6 +89,8 @@ def stored(name: str, build: Query) -> Query:
 
 
 wide = stored("customer_360", customer_360)
+# What was known at the cutoff: the only form that models may read.
+history = stored("history_360", lambda spark, folder: customer_360(spark, folder, CUTOFF, events_before=CUTOFF))
 
 
 def _clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -419,7 +421,7 @@ def confusion(spark: SparkSession, folder: str) -> DataFrame:
 
 def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
     df = scores(spark, folder)
-    return M.evaluation_summary(df.where("fold = 0"), df, "recent")
+    return M.evaluation_summary(df.where("fold = 0"), df.where("fold <> 0"), "recent")
 
 
 def fold_spread(spark: SparkSession, folder: str) -> DataFrame:
@@ -501,7 +503,7 @@ def prepared(spark: SparkSession, folder: str) -> Prepared:
     """Cleaned and assembled training table of the wide record, with its fitted stages."""
     slot = (spark.sparkContext.applicationId, folder)
     if slot not in _prepared:
-        _prepared[slot] = prepare(wide(spark, folder), as_of=CUTOFF)
+        _prepared[slot] = prepare(history(spark, folder), as_of=CUTOFF)
     return _prepared[slot]
 
 
@@ -633,13 +635,13 @@ def score_batch(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = f"{shared_root(spark)}/scorer-{uuid.uuid4().hex}"
     save_scorer(scorer, path)
-    return score(load_scorer(path), wide(spark, folder))
+    return score(load_scorer(path), history(spark, folder))
 
 
 def final_train(spark: SparkSession, folder: str) -> DataFrame:
     spaces = {k: SMALL_SPACES[k] for k in ("lightgbm", "xgboost")}
     done = train_final(prepared(spark, folder), trials=1, n_features=20, spaces=spaces, folds=2)
-    return score(done.scorer, wide(spark, folder))
+    return score(done.scorer, history(spark, folder))
 
 
 def _queries() -> dict[str, Query]:

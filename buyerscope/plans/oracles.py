@@ -436,11 +436,19 @@ def lean_query() -> str:
 
 # Score tables -------------------------------------------------------------------------------
 
+part(
+    "quotas",
+    ["c360"],
+    """SELECT t, whole + CASE WHEN ROW_NUMBER() OVER (ORDER BY rest DESC, t) <= n_test - SUM(whole) OVER () THEN 1 ELSE 0 END AS quota
+    FROM (SELECT t, n_test, n_test * n_c // n AS whole, n_test * n_c % n AS rest FROM (
+    SELECT t, n_c, SUM(n_c) OVER () AS n, CAST(CEIL(0.2::DOUBLE * SUM(n_c) OVER ()) AS BIGINT) AS n_test FROM (
+    SELECT Target AS t, COUNT(*) AS n_c FROM c360 GROUP BY Target)))""",
+)
 part(
     "folds",
     ["c360"],
-    f"""SELECT ID, Target, CAST((ROW_NUMBER() OVER (PARTITION BY Target ORDER BY {md5_order('ID', 42)}, ID) - 1) % 5
-    AS INTEGER) AS fold FROM c360""",
+    f"""SELECT ID, Target, CAST((ROW_NUMBER() OVER (ORDER BY Target, {md5_order('ID', 42)}, ID) - 1) % 5 AS INTEGER) AS fold
+    FROM c360""",
 )
 part(
     "sw",
@@ -1014,13 +1022,13 @@ def oracle_sql() -> dict[str, str]:
             ["c360"], f"SELECT ID, {r6('Income', 'Income')} FROM c360 ORDER BY {md5_order('ID', 42)}, ID LIMIT 100"
         ),
         "split_stratified": sql(
-            ["c360"],
-            f"""SELECT ID, Target, CASE WHEN rn <= ROUND(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM (
-            SELECT ID, Target, ROW_NUMBER() OVER (PARTITION BY Target ORDER BY {md5_order('ID', 42)}, ID) AS rn,
-            COUNT(*) OVER (PARTITION BY Target) AS n FROM c360)""",
+            ["c360", "quotas"],
+            f"""SELECT ID, Target, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM (
+            SELECT ID, Target, ROW_NUMBER() OVER (PARTITION BY Target ORDER BY {md5_order('ID', 42)}, ID) AS rn FROM c360)
+            JOIN quotas ON Target = t""",
         ),
         "kfold": sql(["folds"], "SELECT ID, Target, fold FROM folds"),
-        "kfold_documents": f"""SELECT doc_id, quality, CAST((ROW_NUMBER() OVER (PARTITION BY quality ORDER BY
+        "kfold_documents": f"""SELECT doc_id, quality, CAST((ROW_NUMBER() OVER (ORDER BY quality,
             {md5_order('doc_id', 42)}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels""",
         "confusion": sql(
             ["sc"],
@@ -1125,14 +1133,15 @@ def oracle_sql() -> dict[str, str]:
 
 def _summary() -> str:
     part("f0", ["sc"], "SELECT * FROM sc WHERE fold = 0")
+    part("others", ["sc"], "SELECT * FROM sc WHERE fold <> 0")
     kept = ("accuracy", "balanced_accuracy", "precision", "recall", "f1")
     return sql(
-        ["f0"],
+        ["f0", "others"],
         f"""SELECT 'recent' AS model, a.*, {r6('u.auc', 'roc_auc')}, {r6('q.ap', 'average_precision')},
         b.*, {r6('v.auc', 'cv_roc_auc')}, t.* FROM
         (SELECT {', '.join(r6(RATES[m], m) for m in kept)} FROM ({cells('f0')})) a, ({auc_by_ranks('f0')}) u,
-        ({average_precision('f0')}) q, ({auc_by_ranks('sc')}) v,
-        (SELECT {r6(RATES['accuracy'], 'cv_accuracy')}, {r6(RATES['f1'], 'cv_f1')} FROM ({cells('sc')})) b,
+        ({average_precision('f0')}) q, ({auc_by_ranks('others')}) v,
+        (SELECT {r6(RATES['accuracy'], 'cv_accuracy')}, {r6(RATES['f1'], 'cv_f1')} FROM ({cells('others')})) b,
         (SELECT {r6('threshold', 'optimal_f1_threshold')} FROM (SELECT threshold, {RATES['f1']} AS v
         FROM ({sweep('f0', SWEEP)})) ORDER BY v DESC, threshold LIMIT 1) t""",
     )

@@ -115,9 +115,11 @@ def order_history(orders: DataFrame, lines: DataFrame, cutoff: str = CUTOFF) ->
     )
 
 
-def event_history(events: DataFrame) -> DataFrame:
-    """One row per user: number of views and one flag per event type."""
+def event_history(events: DataFrame, before: str | None = None) -> DataFrame:
+    """One row per user: number of views and one flag per event type, over events before ``before`` (all events if it is null)."""
     kind = F.col("event_type")
+    if before is not None:
+        events = events.where(F.col("ts") < F.lit(before).cast("timestamp_ntz"))
     return events.groupBy("user_id").agg(
         F.count_if(kind == "view").alias(S.VISITS),
         *[F.max((kind == e).cast("int")).alias(name) for e, name in CAMPAIGN_BY_EVENT.items()],
@@ -125,9 +127,13 @@ def event_history(events: DataFrame) -> DataFrame:
 
 
 def customer_360(
-    spark: SparkSession, folder: str, cutoff: str = CUTOFF
+    spark: SparkSession, folder: str, cutoff: str = CUTOFF, events_before: str | None = None
 ) -> DataFrame:
-    """The wide record: every customer once, whether or not they ordered."""
+    """The wide record: every customer once, whether or not they ordered.
+
+    Orders and lines count up to ``cutoff``. Events count up to ``events_before``; without it the whole log counts, and the
+    visit, campaign and complaint columns are then descriptions of the customer, not history: models must not read them.
+    """
     read = {n: table(spark, folder, n) for n in
             ("customer", "nation", "region", "orders", "lineitem", "part", "events")}
     places = read["nation"].join(
@@ -138,7 +144,7 @@ def customer_360(
         read["customer"]
         .join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(history, F.col("c_custkey") == F.col("o_custkey"), "left")
-        .join(event_history(read["events"]), F.col("c_custkey") == F.col("user_id"), "left")
+        .join(event_history(read["events"], events_before), F.col("c_custkey") == F.col("user_id"), "left")
     )
     custkey = F.col("c_custkey")
 

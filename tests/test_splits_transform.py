@@ -28,6 +28,28 @@ def test_split_sizes_are_exact_per_class(rows):
     assert plain == 250
 
 
+@pytest.mark.parametrize(
+    "sizes, quotas", [((960, 607), (192, 122)), ((11, 11, 11), (3, 2, 2)), ((4, 1), (1, 0)), ((5,), (1,))]
+)
+def test_test_rows_are_the_rounded_up_share_of_all(spark, sizes, quotas):
+    pairs = [(i, c) for c, n in enumerate(sizes) for i in range(1000 * c, 1000 * c + n)]
+    df = spark.createDataFrame(pairs, "ID int, Target int")
+    got = {r["Target"]: r["count"] for r in stratified_split(df).where("split = 'test'").groupBy("Target").count().collect()}
+    assert [got.get(c, 0) for c in range(len(sizes))] == list(quotas)
+
+
+def test_split_of_an_empty_table_and_of_a_null_class(spark):
+    assert stratified_split(spark.createDataFrame([], "ID int, Target int")).count() == 0
+    df = spark.createDataFrame([(i, None) for i in range(10)], "ID int, Target int")
+    assert stratified_split(df).where("split = 'test'").count() == 2
+
+
+def test_fold_sizes_differ_by_one_over_all_classes(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(7 * 11)], "ID int, Target int")
+    sizes = [r["count"] for r in stratified_folds(df, k=5).groupBy("fold").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
+
+
 def test_folds_are_disjoint_and_balanced(rows):
     got = stratified_folds(rows, k=5).groupBy("fold", "Target").count().collect()
     assert {(r["fold"], r["Target"]): r["count"] for r in got} == {
