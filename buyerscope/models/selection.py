@@ -133,6 +133,40 @@ def _auc(model, name, df, key, label, by, metric) -> DataFrame:
     return rank_metrics(scored, by).select(*by, F.col(metric).alias("value"))
 
 
+def select_features(
+    df: DataFrame,
+    names: Sequence[str],
+    method: str = "attribution",
+    base: Learner | None = None,
+    top_n: int = 30,
+    seed: int = 42,
+    **options,
+) -> list[str]:
+    """At most ``top_n`` feature names, most important first.
+
+    ``method``: ``attribution`` or ``permutation`` rank with ``base`` fitted on ``df``; ``elimination`` keeps the best size of
+    ``recursive_elimination`` (``df`` needs a fold column) and ranks what is left; ``first`` takes the names as they come, and so
+    does a ranking without ``base``. ``options`` go to the method.
+    """
+    if method not in ("attribution", "permutation", "elimination", "first"):
+        raise ValueError(f"unknown method {method}")
+    if method == "elimination":
+        base = base or Learner(kind="lightgbm", name="selector", seed=seed)
+        kept, _ = recursive_elimination(df, base, names, **options)
+        if len(kept) <= top_n:
+            return kept
+        part = slice_features(df, [list(names).index(c) for c in kept], base.opt("features"))
+        return top_features(importance_table(base.fit(part), kept, df.sparkSession), top_n)
+    if method == "first" or base is None:
+        return first_features(names, top_n)
+    model, name, features = base.fit(df), base.opt("name"), base.opt("features")
+    if method == "permutation":
+        found = permutation_importance(model, name, df, names, features=features, seed=seed, **options)
+    else:
+        found = linear_attribution(model, df, names, features, **options)
+    return top_features(found, top_n)
+
+
 def slice_features(df: DataFrame, indices: Sequence[int], features: str = "features") -> DataFrame:
     """Keep only some entries of the feature vector."""
     return (

@@ -22,7 +22,7 @@ from buyerscope.functions import dates as D
 from buyerscope.functions.expressions import hash_unit, lookup, quoted
 from buyerscope.models.learners import AtThreshold, Learner, learner
 from buyerscope.models.selection import (
-    importance_table, linear_attribution, permutation_importance, recursive_elimination,
+    importance_table, linear_attribution, permutation_importance, recursive_elimination, select_features,
 )
 from buyerscope.models.stacking import fit_stack, fit_vote, meta_learner, stack_out_of_fold
 from buyerscope.models.validation import (
@@ -44,7 +44,7 @@ from buyerscope.operators.transform import FillMissing, PowerTransform, Standard
 from buyerscope.sources.sinks import fill_template, prediction_table
 from buyerscope.sources.wide import CUTOFF, TABLES, customer_360, table
 from buyerscope.plans.jobs import (
-    Prepared, balanced, benchmark, load_scorer, prepare, save_scorer, score, train_final,
+    Prepared, balanced, benchmark, choose_subset, choose_weight, load_scorer, prepare, save_scorer, score, train_final,
 )
 from buyerscope.storage import shared_root, write_once
 
@@ -644,6 +644,24 @@ def final_train(spark: SparkSession, folder: str) -> DataFrame:
     return score(done.scorer, history(spark, folder))
 
 
+def subset_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The best vote of the base models, refitted on all rows and applied to the raw records."""
+    done = choose_subset(prepared(spark, folder), [*_bases(), learner("lightgbm", **FEW_TREES)])
+    return score(done.scorer, history(spark, folder))
+
+
+def weight_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The best weighted pair, refitted on all rows and applied to the raw records."""
+    first, second = learner("svm", kernel="linear"), learner("lightgbm", **FEW_TREES)
+    return score(choose_weight(prepared(spark, folder), first, second).scorer, history(spark, folder))
+
+
+def feature_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """The thirty most attributed features, most important first."""
+    chosen = select_features(training(spark, folder), prepared(spark, folder).names, base=learner("logistic_regression"))
+    return spark.createDataFrame(list(enumerate(chosen, 1)), "place int, feature string")
+
+
 def _queries() -> dict[str, Query]:
     return {
         "customer_360": customer_360,
@@ -770,6 +788,9 @@ def _queries() -> dict[str, Query]:
         "perm_importance": perm_importance,
         "rfe": rfe,
         "score_batch": score_batch,
+        "subset_model": subset_model,
+        "weight_model": weight_model,
+        "feature_choice": feature_choice,
         "final_train": final_train,
         "prediction_summary": lambda s, d: M.prediction_summary(scores(s, d)),
     }

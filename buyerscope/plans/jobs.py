@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.ml import PipelineModel, Transformer
@@ -19,8 +20,9 @@ from buyerscope.models.learners import GRIDS, AtThreshold, Learner
 from buyerscope.models.selection import importance_table, linear_attribution, top_features
 from buyerscope.models.stacking import fit_stack, join_vote, meta_learner
 from buyerscope.models.validation import (
-    PARALLELISM, SPACES, cross_validated_search, draw_from_space, expand_grid, out_of_fold, score_with,
+    PARALLELISM, SPACES, cross_validated_search, draw_from_space, expand_grid, in_parallel, out_of_fold, score_with,
 )
+from buyerscope.operators import ensemble as E
 from buyerscope.operators import metrics as M
 from buyerscope.operators import profile as P
 from buyerscope.operators import quality as Q
@@ -239,6 +241,74 @@ def train_final(
     return Trained(scorer, threshold, names, scores)
 
 
+# --- ensembles chosen on validation rows ---------------------------------------------------------------
+
+
+@dataclass
+class Chosen:
+    """A vote chosen on validation rows and refitted on all rows: a scorer over raw rows, its weights and every candidate's area."""
+
+    scorer: PipelineModel
+    weights: dict[str, float]
+    candidates: DataFrame
+
+
+def validation_scores(
+    df: DataFrame, bases: Sequence[Learner], val_size: float = 0.2, seed: int = 42, parallelism: int = PARALLELISM
+) -> DataFrame:
+    """(key, label, p_<name>...) of the validation rows; every base is fitted once, on the other rows."""
+    split = write_once(stratified_split(df, "key", "label", val_size, seed), "choice_split")
+    train, asked = split.where("split = 'train'"), split.where("split = 'test'")
+    names = [b.opt("name") for b in bases]
+    fitted = in_parallel([lambda b=b: b.fit(train) for b in bases], parallelism)
+    scores = [score_with(m, n, asked, ["key", "label"]) for m, n in zip(fitted, names)]
+    return write_once(E.side_by_side(reduce(DataFrame.unionByName, scores), names), "choice_scores")
+
+
+def _refit(
+    prepared: Prepared, bases: Sequence[Learner], weights: dict[str, float], candidates: DataFrame, parallelism: int
+) -> Chosen:
+    """The chosen vote, its members fitted on all rows; a score of one half is class 0."""
+    used = [b for b in bases if b.opt("name") in weights]
+    fitted = in_parallel([lambda b=b: b.fit(prepared.train) for b in used], parallelism)
+    names = [b.opt("name") for b in used]
+    vote = join_vote(fitted, names, [weights[n] for n in names])
+    scorer = PipelineModel([*prepared.stages, vote, AtThreshold(name="vote", threshold=0.5, strict=True)])
+    return Chosen(scorer, weights, candidates)
+
+
+def choose_subset(
+    prepared: Prepared, bases: Sequence[Learner], smallest: int = 2, val_size: float = 0.2, seed: int = 42,
+    parallelism: int = PARALLELISM,
+) -> Chosen:
+    """The equal vote of at least ``smallest`` bases with the highest validation area, the first tried on ties.
+
+    A soft vote is a mean of its members' scores, so all votes share one fit per base.
+    """
+    names = [b.opt("name") for b in bases]
+    scores = validation_scores(prepared.train, bases, val_size, seed, parallelism)
+    found = write_once(E.subset_search(scores, names, smallest), "subsets")
+    best = E.subsets(names, smallest)[E.best_subset(found).first()["position"]]
+    return _refit(prepared, bases, dict.fromkeys(best, 1.0), found, parallelism)
+
+
+def choose_weight(
+    prepared: Prepared, first: Learner, second: Learner, weights: Sequence[float] = E.WEIGHTS, val_size: float = 0.2,
+    seed: int = 42, parallelism: int = PARALLELISM,
+) -> Chosen:
+    """The vote of two bases with the best weight of the first, the lowest weight on ties."""
+    names = [first.opt("name"), second.opt("name")]
+    scores = validation_scores(prepared.train, [first, second], val_size, seed, parallelism)
+    found = write_once(E.weight_grid(scores, *names, weights), "weights")
+    w = float(E.best_weight(found).first()["weight"])
+    return _refit(prepared, [first, second], {names[0]: w, names[1]: 1.0 - w}, found, parallelism)
+
+
+def vote_bases(seed: int = 42) -> list[Learner]:
+    """The four bases of the subset search with their own default parameters."""
+    return [Learner(kind=k, name=k, seed=seed) for k in ("svm", "lightgbm", "xgboost", "logistic_regression")]
+
+
 # --- scoring and evaluation -------------------------------------------------------------------------
 
 
@@ -282,6 +352,16 @@ def score(scorer: PipelineModel, df: DataFrame, key: str = S.KEY) -> DataFrame:
     return scorer.transform(df).select(key, "prediction", F.col("score").alias("p"))
 
 
+def score_file(
+    spark: SparkSession, model_path: str, test_path: str, out_path: str, fmt: str = "csv", with_probability: bool = False
+) -> DataFrame:
+    """Scoring alone: a stored scorer applied to a file; writes the predictions and returns their summary."""
+    return score_and_write(
+        load_scorer(model_path), read_dated(spark, test_path, False, keep_position=True), out_path, fmt=fmt,
+        with_probability=with_probability,
+    )
+
+
 def score_and_write(
     scorer: PipelineModel, df: DataFrame, path: str, key: str = S.KEY, fmt: str = "csv", with_probability: bool = False
 ) -> DataFrame:
@@ -339,7 +419,7 @@ def run(
 ) -> dict[str, DataFrame]:
     """Load, explore, benchmark, evaluate, score the test file and record the run.
 
-    Tables, the model and the predictions are written below ``out_path``.
+    Tables, the best model, every other fitted model and the predictions are written below ``out_path``.
     """
     train, test = _read_both(spark, train_path, test_path)
     prepared = prepare(train, as_of)
@@ -370,6 +450,9 @@ def run(
     # The held-out rows were scored at >= 0.5; hard labels give a tie to class 0.
     scorer = PipelineModel([*prepared.stages, best, AtThreshold(name=found.best_name, threshold=0.5, strict=True)])
     save_scorer(scorer, f"{out_path}/model")
+    for name, model in found.models.items():
+        each = AtThreshold(name=name, threshold=0.5, strict=True)
+        save_scorer(PipelineModel([*prepared.stages, model, each]), f"{out_path}/models/{name}")
     summary = score_and_write(scorer, test, f"{out_path}/predictions").first()
     metrics = tables["evaluation/metrics"].first().asDict()
     record = sinks.experiment_record(

@@ -3,8 +3,12 @@ import random
 import pytest
 
 from buyerscope import schema as S
+from buyerscope.models.learners import Learner, probability
+from buyerscope.models.selection import select_features
+from buyerscope.operators.splits import stratified_folds
 from buyerscope.plans import jobs
 from buyerscope.sources.customers import read_dated
+from buyerscope.storage import write_once
 
 NAMES = [f.name for f in S.raw_schema().fields]
 
@@ -54,6 +58,10 @@ def test_full_run_writes_everything(spark, files, tmp_path):
     again = jobs.score(jobs.load_scorer(f"{out}/model"), read_dated(spark, files[1], False))
     same = again.join(predictions.withColumnRenamed("Target", "t"), "ID").where("prediction <> t").count()
     assert same == 0
+    # The other fitted models are stored as well, and one call scores a file.
+    summary = jobs.score_file(spark, f"{out}/models/decision_tree", files[1], f"{out}/again", with_probability=True).first()
+    assert summary["n"] == 80 and 0 <= summary["min_p"] <= summary["max_p"] <= 1
+    assert spark.read.csv(f"{out}/again", header=True).columns == ["ID", "Target", "Probability"]
 
 
 def test_prepare_applies_training_values_to_other_rows(spark, files):
@@ -87,3 +95,47 @@ def test_report_has_every_table(spark, files):
     for name, table in tables.items():
         assert table.columns, name
     assert tables["campaigns_by_label"].count() == 10
+
+
+def test_chosen_votes_are_refitted_on_all_rows(spark, files):
+    prepared, _ = jobs.load_and_prepare(spark, *files)
+    bases = [
+        Learner(kind="logistic_regression", name="lr"), Learner(kind="decision_tree", name="dt", params={"max_depth": 2}),
+        Learner(kind="decision_tree", name="stump", params={"max_depth": 1}),
+    ]
+    done = jobs.choose_subset(prepared, bases)
+    table = {r["models"]: r["roc_auc"] for r in done.candidates.collect()}
+    assert set(table) == {"lr+dt", "lr+stump", "dt+stump", "lr+dt+stump"}
+    assert table["+".join(done.weights)] == max(table.values()) and set(done.weights.values()) == {1.0}
+    raw = read_dated(spark, files[1], False)
+    got = {r["ID"]: (r["prediction"], r["p"]) for r in jobs.score(done.scorer, raw).collect()}
+    assert len(got) == 80 and all(d == int(p > 0.5) for d, p in got.values())
+    # The members' own scores, fitted on all rows, average to the vote.
+    ready = jobs.vectors(prepared, raw)
+    members = [b.fit(prepared.train).transform(ready) for b in bases if b.opt("name") in done.weights]
+    names = list(done.weights)
+    own = [{r["ID"]: r["p"] for r in m.select("ID", probability(n).alias("p")).collect()} for m, n in zip(members, names)]
+    for key, (_, p) in got.items():
+        assert p == pytest.approx(sum(o[key] for o in own) / len(own), abs=1e-9)
+
+    pair = jobs.choose_weight(prepared, *bases[:2])
+    areas = {round(r["weight"], 1): r["roc_auc"] for r in pair.candidates.collect()}
+    assert len(areas) == 11 and areas[round(pair.weights["lr"], 1)] == max(areas.values())
+    assert sum(pair.weights.values()) == pytest.approx(1.0)
+    assert jobs.score(pair.scorer, raw).count() == 80
+
+
+def test_feature_selection_methods(spark, files):
+    prepared, _ = jobs.load_and_prepare(spark, *files)
+    names = prepared.names
+    base = Learner(kind="decision_tree", name="dt", params={"max_depth": 3})
+    folds = write_once(stratified_folds(prepared.train, "key", "label", k=2), "selection_folds")
+    assert select_features(folds, names, "first", top_n=3) == names[:3]
+    assert select_features(folds, names, top_n=3) == names[:3]
+    best = select_features(folds, names, "attribution", base, 4)
+    assert len(best) == 4 and set(best) <= set(names)
+    assert len(select_features(folds, names, "permutation", base, 2, repeats=1)) == 2
+    kept = select_features(folds, names, "elimination", base, 2, step=len(names) // 2)
+    assert len(kept) == 2 and set(kept) <= set(names)
+    with pytest.raises(ValueError):
+        select_features(folds, names, "other")
