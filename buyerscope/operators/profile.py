@@ -191,8 +191,8 @@ def density(
 ) -> DataFrame:
     """([label,] x, density): Gaussian kernel estimate on an even grid over the column's range.
 
-    The default bandwidth is the sample deviation times n ** (-1/5), per class. Equal values are
-    merged first; every row then adds to the fixed grid inside its own task.
+    The default bandwidth is the sample deviation times n ** (-1/5), per class. Every row adds to the fixed grid inside its own
+    task; only one row per grid point and class leaves a task.
     """
     x = F.col(column).cast("double")
     rows = df.where(x.isNotNull()).select(*([label] if label else []), x.alias("x"))
@@ -212,12 +212,11 @@ def density(
         width = width.when(test, F.lit(h if h > 0 else 1.0))
         size = size.when(test, F.lit(float(r["n"])))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    merged = rows.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("m"))
     at = F.lit(low) + F.col("i") * F.lit(step)
     z = (at - F.col("x")) / width
-    kernel = F.col("m") * F.exp(-z * z / 2) / (width * F.lit((2 * 3.141592653589793) ** 0.5) * size)
+    kernel = F.exp(-z * z / 2) / (width * F.lit((2 * 3.141592653589793) ** 0.5) * size)
     return (
-        merged.select(*group, "x", "m", grid)
+        rows.select(*group, "x", grid)
         .groupBy(*group, "i")
         .agg(F.sum(kernel).alias("density"))
         .select(*group, at.alias("x"), "density")

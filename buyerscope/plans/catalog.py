@@ -547,7 +547,7 @@ def grid_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def random_search(spark: SparkSession, folder: str) -> DataFrame:
     grid = {"max_depth": [3, 5], "min_samples_split": [2, 10], "criterion": ["gini", "entropy"]}
-    return cross_validated_search(training(spark, folder), learner("decision_tree"), draw_from_grid(grid, 3))[2]
+    return cross_validated_search(training(spark, folder), learner("decision_tree"), draw_from_grid(grid, 10))[2]
 
 
 SMALL_SPACES = {
@@ -589,12 +589,12 @@ def stack(spark: SparkSession, folder: str) -> DataFrame:
 
 def stack_mlp(spark: SparkSession, folder: str) -> DataFrame:
     meta = meta_learner("mlp", "stack", max_iter=30)
-    model = fit_stack(training(spark, folder), _bases()[:2], meta)
+    model = fit_stack(training(spark, folder), _bases(), meta)
     return score_with(model, "stack", held_out(spark, folder), ["key", "label"])
 
 
 def stack_oof(spark: SparkSession, folder: str) -> DataFrame:
-    scored = stack_out_of_fold(training(spark, folder), _bases()[:2], meta_learner(), inner_folds=2)
+    scored = stack_out_of_fold(training(spark, folder), _bases(), meta_learner())
     return M.cv_metrics(scored)
 
 
@@ -616,7 +616,7 @@ def model_attribution(spark: SparkSession, folder: str) -> DataFrame:
 
 def perm_importance(spark: SparkSession, folder: str) -> DataFrame:
     model = learner("decision_tree", "m", max_depth=4).fit(training(spark, folder))
-    return permutation_importance(model, "m", held_out(spark, folder), prepared(spark, folder).names, repeats=2)
+    return permutation_importance(model, "m", held_out(spark, folder), prepared(spark, folder).names)
 
 
 def rfe(spark: SparkSession, folder: str) -> DataFrame:
