@@ -80,6 +80,25 @@ BOOSTED = {
 }
 
 
+# Parameters without a Spark counterpart.
+IGNORED = {
+    "logistic_regression": ["solver"],
+    **dict.fromkeys(
+        BOOSTED, ["num_leaves", "reg_alpha", "reg_lambda", "l2_leaf_reg", "bagging_temperature", "bootstrap_type"]
+    ),
+}
+
+
+def effective_params(kind: str, params: dict[str, Any]) -> dict[str, Any]:
+    """The parameters that decide the fitted model: candidates that agree in them are one model."""
+    out = {k: v for k, v in params.items() if k not in IGNORED.get(kind, ())}
+    if out.get("class_weight") == "balanced_subsample":
+        out["class_weight"] = "balanced"
+    if kind == "svm" and out.get("kernel", "rbf") == "linear":
+        out.pop("gamma", None)
+    return out
+
+
 def probability(name: str) -> Column:
     """Score of class 1 from a fitted learner's output."""
     return vector_to_array(F.col(f"prob_{name}"))[1]

@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buyerscope.models.learners import Learner, probability
+from buyerscope.models.learners import Learner, effective_params, probability
 from buyerscope.storage import write_once
 
 Resample = Callable[[DataFrame], DataFrame]
@@ -55,20 +55,25 @@ def out_of_fold(
 ) -> DataFrame:
     """(key, label, fold, model, p): every row scored by models that have not seen its fold.
 
-    ``resample`` is applied to the training part only. The scores are written once, so that all
+    ``resample`` is applied to the training part only, once per fold. The scores are written once, so that all
     later searches read a table instead of refitting.
     """
 
+    numbers = fold_numbers(df, fold)
+    trains = {f: df.where(F.col(fold) != f) for f in numbers}
+    if resample:
+        # A fit makes many passes over its rows, and all learners of a fold read the same ones.
+        grown = in_parallel([lambda f=f: write_once(resample(trains[f]), "resampled") for f in numbers], parallelism)
+        trains = dict(zip(numbers, grown))
+
     def task(f: int, one: Learner) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
-            train = df.where(F.col(fold) != f)
-            # A fit makes many passes over its rows.
-            fitted = one.fit(write_once(resample(train), "resampled") if resample else train)
+            fitted = one.fit(trains[f])
             return score_with(fitted, one.opt("name"), df.where(F.col(fold) == f), [key, label, fold])
 
         return run
 
-    tasks = [task(f, one) for f in fold_numbers(df, fold) for one in learners]
+    tasks = [task(f, one) for f in numbers for one in learners]
     parts = in_parallel(tasks, parallelism)
     everything = parts[0]
     for part in parts[1:]:
@@ -162,10 +167,14 @@ def cross_validated_search(
 ) -> tuple[PipelineModel, dict[str, Any], DataFrame]:
     """(best model refitted on all rows, its parameters, table of candidates).
 
-    The table holds (candidate, params as JSON, mean and deviation of the folds' exact AUC).
+    The table holds (candidate, params as JSON, mean and deviation of the folds' exact AUC). Candidates that come to the same
+    Spark parameters are fitted once and all listed.
     """
     fixed = json.loads(base.getOrDefault(base.options))
-    grid = [{base.options: json.dumps({**fixed, "params": {**fixed["params"], **c}})} for c in candidates]
+    merged = [{**fixed["params"], **c} for c in candidates]
+    marks = [json.dumps(effective_params(fixed["kind"], c), sort_keys=True) for c in merged]
+    place = {mark: i for i, mark in enumerate(dict.fromkeys(marks))}
+    grid = [{base.options: json.dumps({**fixed, "params": merged[marks.index(mark)]})} for mark in place]
     evaluator = BinaryClassificationEvaluator(
         labelCol=fixed["label"], rawPredictionCol=f"prob_{fixed['name']}", metricName="areaUnderROC", numBins=0
     )
@@ -174,7 +183,7 @@ def cross_validated_search(
         foldCol=fold, numFolds=len(fold_numbers(df, fold)),
     ).fit(df)
     rows = [
-        (i, json.dumps(c, sort_keys=True), float(search.avgMetrics[i]), float(search.stdMetrics[i]))
+        (i, json.dumps(c, sort_keys=True), float(search.avgMetrics[place[marks[i]]]), float(search.stdMetrics[place[marks[i]]]))
         for i, c in enumerate(candidates)
     ]
     best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))

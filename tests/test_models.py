@@ -5,7 +5,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from buyerscope.models.learners import AtThreshold, FourierFeatures, PopulationScaler, learner
+from buyerscope.models.learners import AtThreshold, FourierFeatures, Learner, PopulationScaler, learner
 from buyerscope.models.selection import (
     importance_table, linear_attribution, permutation_importance, recursive_elimination, top_features,
 )
@@ -161,3 +161,14 @@ def test_importance_and_selection(spark, data):
     assert {r["Feature"]: r["Importance"] for r in shuffled}["constant"] == pytest.approx(0)
     kept, sizes = recursive_elimination(data, learner("decision_tree", "t", max_depth=3), NAMES, min_features=1)
     assert "signal" in kept and {r["n_features"] for r in sizes.collect()} == {4, 3, 2, 1}
+
+
+def test_candidates_that_are_one_model_are_fitted_once(data, monkeypatch):
+    counted = []
+    grid = [{"C": c, "solver": s} for c in (0.1, 1.0) for s in ("liblinear", "saga")]
+    real = Learner._fit
+    monkeypatch.setattr(Learner, "_fit", lambda self, df: counted.append(1) or real(self, df))
+    _, params, table = cross_validated_search(data, learner("logistic_regression", "t"), grid)
+    rows = {r["candidate"]: r["mean_auc"] for r in table.collect()}
+    assert rows[0] == rows[1] and rows[2] == rows[3] and params["solver"] == "liblinear"
+    assert len(counted) == 2 * 3 + 1
