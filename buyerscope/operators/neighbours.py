@@ -1,11 +1,14 @@
-"""Exact k nearest neighbours between two tables, without comparing all pairs.
-
-Base rows are grouped around a fixed number of pivot rows. The distances from the pivots to
-their own rows bound, by the triangle inequality, how near each group can come to a query
-row and how far its k-th neighbour can be at most. A query row visits only the groups that
-can still hold one of its neighbours. Groups are cut into blocks of bounded size, so one
-that holds a large share of the rows, or many copies of one row, is spread over many tasks.
-Every base row that could matter is looked at: the result is exact.
+"""k nearest neighbours between two tables, exact or by a chosen number of probes.
+
+Base rows belong to the nearest of a set of pivot rows; these cells are put together to units of
+bounded size. Every query row first searches the unit of its nearest pivot. The distance of the
+k-th row found there is the limit of the second round: a row goes on only to units that can hold
+a nearer one, by the radius of their cells and by the border between two cells. Units that hold a
+large share of the rows are cut into blocks, and crowds of query rows into groups. Nothing depends
+on the size of the tables but the number of pivots, and every base row that could matter is looked at.
+
+In many dimensions (dozens) the bounds rule out little and exact search compares nearly all pairs, each
+query row once per unit. ``probes`` is the caller's way out: only the nearest cells are searched.
 """
 
 from __future__ import annotations
@@ -22,10 +25,9 @@ from pyspark.sql import types as T
 from buyerscope.functions.expressions import hash_text
 from buyerscope.storage import write_once
 
-MAX_PIVOTS = 256
-# Numbers (ids and coordinates) of a base table that may be sent whole to every task: 16 MB.
-BROADCAST_NUMBERS = 2_000_000
-BLOCK_ROWS = 4096
+# Pivots are the square root of the base rows, up to this bound of what is sent to every task.
+MAX_PIVOTS = 4096
+BLOCK_ROWS = 1024
 # Rounding of the distances must never exclude a true neighbour.
 SLACK = 1e-7
 
@@ -45,6 +47,53 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64")
 
 
+class Cells:
+    """Pivots, the radius of each cell, and the units that cells are put together to."""
+
+    def __init__(self, points: np.ndarray, p: int):
+        self.points, self.p = points, p
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest pivot of each row and the distance to it."""
+        d = _distances(x, self.points, self.p)
+        cell = d.argmin(axis=1)
+        return cell, d[np.arange(len(d)), cell]
+
+    def close(self, sizes: dict[int, tuple[int, float]], unit_rows: int) -> dict[int, int]:
+        """Keep the cells of ``sizes`` (rows, radius) and put neighbours together to about ``unit_rows`` rows; unit of each cell."""
+        used = np.array(sorted(sizes))
+        order = used[np.argsort(_distances(self.points[used[:1]], self.points[used], self.p)[0], kind="stable")]
+        unit, held, units = 0, 0, []
+        for c in order.tolist():
+            if held and held + sizes[c][0] > unit_rows:
+                unit, held = unit + 1, 0
+            held += sizes[c][0]
+            units.append(unit)
+        self.points = self.points[order]
+        self.radius = np.array([sizes[c][1] for c in order.tolist()])
+        self.starts = np.unique(units, return_index=True)[1]
+        return dict(zip(order.tolist(), units, strict=True))
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` units with the nearest pivots, per row."""
+        d = np.minimum.reduceat(_distances(x, self.points, self.p), self.starts, axis=1)
+        return np.argsort(d, axis=1, kind="stable")[:, :n]
+
+    def within(self, x: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """rows x units: whether the unit can hold a row at most ``limit`` away."""
+        d = _distances(x, self.points, self.p)
+        first = d.argmin(axis=1)
+        least = d[np.arange(len(d)), first][:, None]
+        # Rows of a cell are nearer to its pivot than to any other: they lie beyond the border to the query's cell.
+        border = (d - least) / 2
+        if self.p == 2:
+            between = _distances(self.points[first], self.points, 2)
+            far = between > 1e-6 * (d + least)
+            border = np.where(far, (d - least) * (d + least) / (2 * np.where(far, between, 1.0)), border)
+        bound = np.maximum(d - self.radius, border) - SLACK * (1 + d)
+        return np.minimum.reduceat(bound, self.starts, axis=1) <= (limit * (1 + SLACK))[:, None]
+
+
 def pick_pivots(base: DataFrame, n: int, seed: int = 42) -> np.ndarray:
     """``n`` base vectors in hash order: a fixed random choice, bounded by ``n`` rows."""
     rows = base.orderBy(hash_text("id", F.lit(seed)), "id").limit(n).select("v").collect()
@@ -59,101 +108,98 @@ def nearest_neighbours(
     pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
     skip_same_id: bool = False,
-    broadcast_numbers: int = BROADCAST_NUMBERS,
+    probes: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, base_id, distance): the k nearest base rows of every query row.
 
     Both frames hold (id, v) with v an array of doubles. Equal distances are ordered by id.
     ``p`` is 1 (Manhattan) or 2 (Euclidean). ``skip_same_id`` leaves out the row itself when a
-    table is compared with itself. A base of at most ``broadcast_numbers`` numbers (counted, not
-    estimated) is sent to all tasks instead of being grouped.
+    table is compared with itself. The result is exact, unless ``probes`` limits the search to the
+    cells of that many nearest pivots; a row may then miss neighbours, or find fewer than k.
     """
     if p not in (1, 2):
         raise ValueError("p must be 1 or 2")
-    wanted = k + 1 if skip_same_id else k
-    size = base.agg(F.coalesce(F.sum(F.size("v") + 1), F.lit(0))).first()[0]
-    if size == 0:
-        return _empty(queries, base)
-    if size <= broadcast_numbers:
-        return _against_small_base(queries, base, k, p, skip_same_id)
-    base = write_once(first_copies(base, wanted), "neighbour_values")
+    base = write_once(first_copies(base, k + 1 if skip_same_id else k), "neighbour_values")
     n_base = base.count()
-    points = pick_pivots(base, pivots or max(1, min(MAX_PIVOTS, math.isqrt(n_base))))
-    cells = len(points)
-    id_type = base.schema["id"].dataType.simpleString()
+    if not n_base:
+        return _empty(queries, base)
+    cells = Cells(pick_pivots(base, pivots or min(MAX_PIVOTS, math.isqrt(n_base))), p)
+    types = queries.schema["id"].dataType.simpleString(), base.schema["id"].dataType.simpleString()
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            d = _distances(_matrix(batch["v"]), points, p)
-            cell = d.argmin(axis=1)
-            yield batch.assign(cell=cell, r=d[np.arange(len(d)), cell])
-
-    placed = write_once(
-        base.select("id", "v").mapInPandas(assign, f"id {id_type}, v array<double>, cell int, r double"),
-        "neighbour_base",
-    )
-    # Per cell: size, radius, and the smallest pivot distances; at most cells * wanted numbers.
-    sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect()}
-    nearest = _smallest_per_cell(placed, wanted)
-    blocks = {c: math.ceil(r["n"] / block_rows) for c, r in sizes.items()}
-    used = np.array(sorted(sizes), dtype="int64")
-    radius = np.array([sizes[c]["r"] for c in used])
-    inner = [np.array(nearest[c]) for c in used]
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cell, r = cells.place(_matrix(batch["v"]))
+            yield batch.assign(cell=cell, r=r)
+
+    placed = write_once(base.mapInPandas(assign, f"id {types[1]}, v array<double>, cell int, r double"), "neighbour_base")
+    # One row per cell, MAX_PIVOTS at most.
+    sizes = {r["cell"]: (r["n"], r["r"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()}
+    unit_of = cells.close(sizes, block_rows if probes is None else 1)
+    rows_of: dict[int, int] = {}
+    for c, unit in unit_of.items():
+        rows_of[unit] = rows_of.get(unit, 0) + sizes[c][0]
+    blocks = {unit: math.ceil(n / block_rows) for unit, n in rows_of.items()}
+    spark = base.sparkSession
+    units = spark.createDataFrame(list(unit_of.items()), "cell int, unit int")
+    placed = placed.join(F.broadcast(units), "cell").select("id", "v", "unit")
+
+    def first_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = _matrix(batch["v"])
-            if not len(x):
-                continue
-            d = _distances(x, points[used], p)
-            reach = np.concatenate([d[:, [i]] + s for i, s in enumerate(inner)], axis=1)
-            if reach.shape[1] >= wanted:
-                limit = np.partition(reach, wanted - 1, axis=1)[:, wanted - 1]
-            else:
-                limit = np.full(len(x), np.inf)
-            # No row of a cell is nearer than the pivot distance minus the radius.
-            near = d - radius <= (limit * (1 + SLACK) + SLACK)[:, None]
-            row, col = np.nonzero(near)
-            yield pd.DataFrame(
-                {"query_id": batch["id"].to_numpy()[row], "q": [batch["v"].iloc[i] for i in row], "cell": used[col]}
-            )
-
-    query_type = queries.schema["id"].dataType.simpleString()
-    visits = queries.select("id", "v").mapInPandas(
-        visit, f"query_id {query_type}, q array<double>, cell int"
-    )
-    # Both sides are cut: each block of a cell meets each group of its visitors.
-    n_blocks = F.element_at(F.create_map(*[F.lit(x) for c in used for x in (int(c), blocks[c])]), F.col("cell"))
-    visits = write_once(visits, "neighbour_visits")
-    crowd = {r["cell"]: math.ceil(r["n"] / block_rows) for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_groups = F.coalesce(
-        F.try_element_at(F.create_map(*[F.lit(x) for c in used for x in (int(c), crowd.get(int(c), 0))]), F.col("cell")),
-        F.lit(0),
-    )
-    spread = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    left = visits.select(
-        "query_id", "q", "cell",
-        F.pmod(F.xxhash64("query_id"), F.greatest(n_groups, F.lit(1))).cast("int").alias("grp"),
-        F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"),
-    )
-    right = placed.select("id", "v", "cell", spread.alias("block"), n_groups.alias("_groups")).where(
-        F.col("_groups") > 0
-    ).select("id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("grp"))
+            found = cells.nearest(x, probes or 1) if len(x) else []
+            yield pd.DataFrame({"query_id": batch["id"], "q": batch["v"], "units": list(found)})
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id", kind="stable")
         return _k_best(q["query_id"], q["q"], b["id"].to_numpy(), b["v"], k, p, skip_same_id)
 
-    keys = ["cell", "block", "grp"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best, f"query_id {query_type}, base_id {id_type}, distance double"
-    )
+    def search(asked: DataFrame) -> DataFrame:
+        """The k nearest per query row, unit and block. Both sides are cut: each block of a unit meets each group of its visitors."""
+        visits = asked.select("query_id", "q", F.explode("units").alias("unit"))
+        crowd = asked.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")).collect()
+        plan = [(r["unit"], blocks[r["unit"]], math.ceil(r["n"] / block_rows)) for r in crowd]
+        dealt = F.broadcast(spark.createDataFrame(plan, "unit int, blocks int, groups int"))
+        left = visits.join(dealt, "unit").select(
+            "query_id", "q", "unit",
+            F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("grp"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        )
+        right = placed.join(dealt, "unit").select(
+            "id", "v", "unit",
+            F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"),
+        )
+        keys = ["unit", "block", "grp"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+            best, f"query_id {types[0]}, base_id {types[1]}, distance double"
+        )
+
+    asked_type = f"query_id {types[0]}, q array<double>, units array<int>"
+    asked = write_once(queries.select("id", "v").mapInPandas(first_units, asked_type), "neighbour_first")
+    near = write_once(_first_k(search(asked), k), "neighbour_near")
+    if probes is not None:
+        return near
+    # The k-th distance found so far; a row with fewer neighbours has no limit.
+    limits = near.where(F.col("rank") == k).select("query_id", F.col("distance").alias("reach"))
+
+    def more_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start : start + 1024]
+                reached = cells.within(_matrix(part["q"]), part["reach"].fillna(np.inf).to_numpy())
+                reached[np.arange(len(part)), part["units"].str[0].to_numpy(dtype="int64")] = False
+                part = part.assign(units=[np.flatnonzero(row) for row in reached])
+                yield part.loc[reached.any(axis=1), ["query_id", "q", "units"]]
+
+    again = write_once(asked.join(limits, "query_id", "left").mapInPandas(more_units, asked_type), "neighbour_second")
+    return _first_k(near.drop("rank").unionByName(search(again)), k)
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    """Ranks 1..k per query row; a limit per group is applied before the shuffle."""
     nearest_first = Window.partitionBy("query_id").orderBy("distance", "base_id")
-    return (
-        found.withColumn("rank", F.row_number().over(nearest_first))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "base_id", "distance")
-    )
+    ranked = found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "base_id", "distance")
 
 
 def _k_best(
@@ -179,29 +225,6 @@ def _k_best(
     return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in out.items()})
 
 
-def _against_small_base(
-    queries: DataFrame, base: DataFrame, k: int, p: int, skip_same_id: bool
-) -> DataFrame:
-    """All of a small base in every task; the query rows are spread evenly and not shuffled again."""
-    spark = queries.sparkSession
-    rows = base.select("id", "v").toPandas().sort_values("id", kind="stable")
-    sent = spark.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["v"])))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = sent.value
-        for batch in batches:
-            found = _k_best(batch["id"], batch["v"], ids, x, k, p, skip_same_id)
-            # Rows come in order of distance within each query row.
-            yield found.assign(rank=found.groupby("query_id", sort=False).cumcount() + 1)
-
-    query_type = queries.schema["id"].dataType.simpleString()
-    id_type = base.schema["id"].dataType.simpleString()
-    spread = queries.select("id", "v").repartition(spark.sparkContext.defaultParallelism, "id")
-    return spread.mapInPandas(
-        search, f"query_id {query_type}, base_id {id_type}, distance double, rank int"
-    ).select("query_id", "rank", "base_id", "distance")
-
-
 def first_copies(base: DataFrame, wanted: int) -> DataFrame:
     """(id, v) with only the ``wanted`` smallest ids of equal vectors.
 
@@ -220,29 +243,6 @@ def first_copies(base: DataFrame, wanted: int) -> DataFrame:
     )
 
 
-def _smallest_per_cell(placed: DataFrame, wanted: int) -> dict[int, list[float]]:
-    """The ``wanted`` smallest pivot distances of each cell.
-
-    Distances are numbered per cell and hash part first and the survivors once more, so a large
-    cell is not sorted in one task.
-    """
-    first = Window.partitionBy("cell", "part").orderBy("r")
-    second = Window.partitionBy("cell").orderBy("r")
-    rows = (
-        placed.select("cell", "r", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
-        .withColumn("n", F.row_number().over(first))
-        .where(F.col("n") <= wanted)
-        .withColumn("n", F.row_number().over(second))
-        .where(F.col("n") <= wanted)
-        .select("cell", "r")
-        .collect()
-    )
-    out: dict[int, list[float]] = {}
-    for r in rows:
-        out.setdefault(r["cell"], []).append(r["r"])
-    return out
-
-
 def _empty(queries: DataFrame, base: DataFrame) -> DataFrame:
     layout = T.StructType(
         [

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from buyerscope.operators.neighbours import classify, nearest_neighbours
+from buyerscope.operators.neighbours import Cells, classify, nearest_neighbours
 from buyerscope.operators.smote import oversample
 
 
@@ -34,7 +34,7 @@ def test_neighbours_match_brute_force(spark, p):
     want = brute(q, b, 4, p, range(1000, 1060), range(200), False)
     asked, base = frame(spark, q, 1000), frame(spark, b)
     assert collected(nearest_neighbours(asked, base, 4, p)) == want
-    grouped = nearest_neighbours(asked, base, 4, p, pivots=9, block_rows=16, broadcast_numbers=0)
+    grouped = nearest_neighbours(asked, base, 4, p, pivots=9, block_rows=16)
     assert collected(grouped) == want
 
 
@@ -45,19 +45,58 @@ def test_a_third_equal_rows(spark):
     rows = frame(spark, x)
     want = brute(x, x, 5, 2, range(150), range(150), True)
     assert collected(nearest_neighbours(rows, rows, 5, skip_same_id=True)) == want
-    grouped = nearest_neighbours(rows, rows, 5, skip_same_id=True, block_rows=8, broadcast_numbers=0)
+    grouped = nearest_neighbours(rows, rows, 5, skip_same_id=True, block_rows=8)
     assert collected(grouped) == want
 
 
 def test_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [5.0]])
     rows = frame(spark, x)
-    for limit in (0, 100):
-        got = nearest_neighbours(rows, rows, 5, skip_same_id=True, broadcast_numbers=limit)
+    for size in (1, 100):
+        got = nearest_neighbours(rows, rows, 5, skip_same_id=True, block_rows=size)
         assert collected(got) == {0: [1, 2], 1: [0, 2], 2: [1, 0]}
     assert nearest_neighbours(rows, rows.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("p", [1, 2])
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_bounds_never_exclude_and_mostly_prune(p, scale):
+    rng = np.random.default_rng(p)
+    x = rng.uniform(size=(4000, 2)) * scale
+    cells = Cells(x[:60], p)
+    cell, r = cells.place(x)
+    unit_of = cells.close({c: ((cell == c).sum(), r[cell == c].max()) for c in np.unique(cell).tolist()}, 200)
+    units = np.array([unit_of[c] for c in cell.tolist()])
+    q = x[:300]
+    d = np.abs(q[:, None] - x[None]).sum(2) if p == 1 else np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    limit = np.sort(d, axis=1)[:, 5]
+    reached = cells.within(q, limit)
+    row, col = np.nonzero(d <= limit[:, None])
+    assert reached[row, units[col]].all()
+    assert reached.mean() < 0.4  # visits of units, of all possible
+
+
+def test_visits_of_embeddings_are_bounded(spark):
+    """In 64 dimensions a query row is sent at most once to each unit, and units hold a block of rows."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id id", "cast(embedding as array<double>) v")
+    x = np.array([r["v"] for r in rows.collect()])
+    cells = Cells(x[:44], 2)
+    cell, r = cells.place(x)
+    unit_of = cells.close({c: ((cell == c).sum(), r[cell == c].max()) for c in np.unique(cell).tolist()}, 1024)
+    n_units = len(set(unit_of.values()))
+    assert n_units <= 2 * len(x) / 1024 + 1
+    assert cells.within(x, np.full(len(x), np.inf)).sum() <= len(x) * n_units
+
+
+def test_probes_find_most_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 16)).repeat(25, axis=0) + rng.normal(0, 0.1, size=(1000, 16))
+    rows = frame(spark, x)
+    want = brute(x, x, 5, 2, range(1000), range(1000), True)
+    got = collected(nearest_neighbours(rows, rows, 5, skip_same_id=True, probes=4))
+    assert np.mean([len(set(got.get(i, [])) & set(w)) / 5 for i, w in want.items()]) >= 0.9
+
+
 def test_votes(spark):
     base = frame(spark, np.array([[0.0], [1.0], [3.0]]), label=[1, 0, 0])
     asked = frame(spark, np.array([[0.0], [0.9]]), 10)
