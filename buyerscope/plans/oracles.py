@@ -781,9 +781,8 @@ part(
 )
 part(
     "ks",
-    ["kv"],
-    """SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY h, id) <= ROUND(0.2 * COUNT(*) OVER (PARTITION BY label))
-    AS test FROM kv""",
+    ["kv", "quotas"],
+    "SELECT kv.*, ROW_NUMBER() OVER (PARTITION BY label ORDER BY h, id) <= quota AS test FROM kv JOIN quotas ON label = t",
 )
 _dims = range(len(KNN_COLUMNS))
 
