@@ -2,6 +2,7 @@
 
 BENCH_SF_DIR is the folder of the tables, BENCH_CPUS the number of local cores. Every query is
 run to its last row; tables that several queries share are built first and timed on their own.
+The tables of a tenth of the size beside that folder are run first: ``growth`` is the ratio of the times.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from buyerscope.plans import catalog
 from buyerscope.session import build_session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+SMALLER = os.path.join(os.path.dirname(FOLDER.rstrip("/")), "sf0.01")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 SHARED = {
     "store_customer_360": catalog.wide,
@@ -43,18 +45,24 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
-    seconds: dict[str, float] = {}
+    queries = catalog.queries()
 
-    def timed(name: str, run) -> None:
-        start = time.perf_counter()
-        run()
-        seconds[name] = round(time.perf_counter() - start, 3)
+    def time_all(folder: str) -> dict[str, float]:
+        seconds: dict[str, float] = {}
 
-    for name, build in SHARED.items():
-        timed(name, lambda b=build: b(spark, FOLDER).count())
-    queries = catalog.queries()
-    for name in HEADLINE:
-        timed(name, lambda n=name: queries[n](spark, FOLDER).write.format("noop").mode("overwrite").save())
+        def timed(name: str, run) -> None:
+            start = time.perf_counter()
+            run()
+            seconds[name] = round(time.perf_counter() - start, 3)
+
+        for name, build in SHARED.items():
+            timed(name, lambda b=build: b(spark, folder).count())
+        for name in HEADLINE:
+            timed(name, lambda n=name: queries[n](spark, folder).write.format("noop").mode("overwrite").save())
+        return seconds
+
+    small = time_all(SMALLER) if os.path.isdir(SMALLER) and SMALLER != FOLDER.rstrip("/") else {}
+    seconds = time_all(FOLDER)
     print(
         json.dumps(
             {
@@ -63,6 +71,8 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf"),
+                "queries_smaller": small,
+                "growth": {n: round(seconds[n] / max(t, 0.001), 2) for n, t in small.items()},
             }
         )
     )
