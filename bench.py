@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR is the folder of the tables, BENCH_CPUS the number of local cores. Every query is
 run to its last row; tables that several queries share are built first and timed on their own.
-The tables of a tenth of the size beside that folder are run first: ``growth`` is the ratio of the times.
+The tables of sf0.01 beside that folder are run first: ``growth`` is the ratio of the times, understated where the first run also warms up.
 """
 
 from __future__ import annotations
