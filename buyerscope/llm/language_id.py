@@ -10,10 +10,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,8 @@ from buyerscope.llm.common import share, table, worker_cache
 from buyerscope.storage import write_once
 
 ORDER = 4
-MAX_GRAMS = 200_000  # most frequent n-grams that a language's model keeps; a bound of the model, counts cover all training texts
+BROADCAST_ENTRIES = 2_000_000  # probabilities and weights of all languages up to which every worker gets the whole model
+CHUNK_BYTES = 16_000_000  # text scored together, with the part of the model that it needs, if the model is larger
 CALIBRATION_ROWS = 20_000  # training texts, chosen by hash, that calibrate the rejection
 REJECT_QUANTILE = 0.999
 REJECT_SLACK = 1.5  # factor on the calibrated cross-entropy
@@ -98,7 +101,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 
 def _kneser_ney(counts: dict[str, int]) -> list[dict]:
-    """Per order 1..ORDER: probabilities of n-grams and back-off weights of contexts."""
+    """Per order 1..ORDER: probabilities of n-grams and back-off weights of contexts (``model_entries`` in memory)."""
     levels, current = [], counts
     for order in range(ORDER, 0, -1):
         levels.append(current)
@@ -146,6 +149,30 @@ class LanguageModel:
             )
         self.limits: dict[str, list[float]] = {}
 
+    @classmethod
+    def from_entries(cls, constants: dict[str, tuple[float, float]], entries: pa.Table) -> LanguageModel:
+        """A model that holds the given ``lang, kind, gram, value`` rows; ``constants``: language -> (unknown, empty)."""
+        model = cls({})
+        model.languages = sorted(constants)
+        entries = entries.select(["lang", "kind", "gram", "value"]).combine_chunks()
+        langs = pc.index_in(entries.column("lang"), value_set=pa.array(model.languages, pa.string())).to_numpy()
+        weights = pc.equal(entries.column("kind"), "w").to_numpy()
+        widths, values = pc.utf8_length(entries.column("gram")).to_numpy(), entries.column("value").to_numpy()
+        model.tables = [
+            {"unknown": constants[lang][0], "empty": constants[lang][1], "p": [None] * ORDER, "weight": [None] * ORDER}
+            for lang in model.languages
+        ]
+        for kind, width in [("p", n) for n in range(1, ORDER + 1)] + [("weight", n) for n in range(1, ORDER)]:
+            at = np.flatnonzero((widths == width) & (weights == (kind == "weight")))
+            text = "".join(entries.column("gram").take(pa.array(at)).to_pylist()).replace(" ", "\0")
+            hashes = _hash(np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64).reshape(-1, width))
+            order = np.lexsort((hashes, langs[at]))
+            ends = np.searchsorted(langs[at][order], np.arange(len(model.languages) + 1))
+            for k, t in enumerate(model.tables):
+                part = order[ends[k] : ends[k + 1]]
+                t[kind][width - (kind == "p")] = hashes[part], values[at][part]
+        return model
+
     @staticmethod
     def _array(values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
         text = "".join(values).replace(" ", "\0")
@@ -159,6 +186,8 @@ class LanguageModel:
     def _find(arrays: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
         """The stored number of each hash, NaN if it is not stored."""
         keys, values = arrays
+        if not len(keys):
+            return np.full(len(hashes), np.nan)
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         return np.where(keys[at] == hashes, values[at], np.nan)
 
@@ -212,73 +241,178 @@ class LanguageModel:
     def limit(self, language: int, lengths: np.ndarray) -> np.ndarray:
         return np.array(self.limits[self.languages[language]])[np.searchsorted(LENGTH_EDGES, lengths, side="right")]
 
+
+def held_out(doc_id: Column) -> Column:
+    """True for documents that the models never learn from."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
+
+
+def model_entries(counted: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """The interpolated Kneser-Ney models of all languages from all n-grams (``lang, gram, n``), without a bound on their number.
+
+    Rows ``lang, kind, gram, value``: log probabilities of n-grams of order 1..ORDER (kind ``p``) and log back-off weights of contexts
+    (kind ``w``). The second result gives per language the log probability of an unknown letter and the log weight of the empty context.
+    """
+    levels = {ORDER: counted.select("lang", "gram", "n")}
+    for order in range(ORDER - 1, 0, -1):  # distinct letters before it
+        shorter = levels[order + 1].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("n"))
+        levels[order] = write_once(shorter, "grams")
+    sizes = {}
+    for order, grams in levels.items():
+        found = grams.groupBy("lang").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+        for r in found.collect():
+            once = r["once"]
+            sizes[r["lang"], order] = r["kinds"], min(max(once / (once + 2 * r["twice"]) if once else 0.5, 0.1), 0.9)
+    languages = sorted({lang for lang, _ in sizes})
+    if not languages:
+        return counted.selectExpr("lang", "'p' AS kind", "gram", "CAST(n AS DOUBLE) AS value").limit(0), {}
+
+    def per_language(values: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+
+    parts, lower, empty = [], None, {}
+    for order in range(1, ORDER + 1):
+        discount = per_language({lang: sizes[lang, order][1] for lang in languages})
+        grams = levels[order].withColumn("context", F.substring("gram", 1, order - 1))
+        contexts = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        contexts = write_once(contexts.withColumn("weight", discount * F.col("kinds") / F.col("total")), "contexts")
+        joined = grams.join(contexts, ["lang", "context"]).withColumn("own", (F.col("n") - discount) / F.col("total"))
+        if order == 1:
+            empty = {r["lang"]: r["weight"] for r in contexts.collect()}
+            p = joined.withColumn("p", F.col("own") + F.col("weight") * per_language({lang: 1 / (sizes[lang, 1][0] + 1) for lang in languages}))
+        else:
+            joined = joined.withColumn("suffix", F.substring("gram", 2, order - 1))
+            p = joined.join(lower, ["lang", "suffix"]).withColumn("p", F.col("own") + F.col("weight") * F.col("lower"))
+            parts.append(contexts.select("lang", F.lit("w").alias("kind"), F.col("context").alias("gram"), F.log("weight").alias("value")))
+        written = write_once(p.select("lang", "gram", "p"), "probabilities")
+        parts.append(written.select("lang", F.lit("p").alias("kind"), "gram", F.log("p").alias("value")))
+        lower = written.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+    constants = {lang: (float(-np.log(sizes[lang, 1][0] + 1)), float(np.log(empty[lang]))) for lang in languages}
+    return reduce(DataFrame.unionByName, parts), constants
+
+
+class StoredModel:
+    """All languages' models as written tables, with their rejection limits; small ones also whole, for every worker."""
+
+    def __init__(self, entries: DataFrame, constants: dict[str, tuple[float, float]]):
+        self.entries, self.constants = entries, constants
+        self.limits: dict[str, list[float]] = {}
+        small = entries.count() <= BROADCAST_ENTRIES
+        self.whole = LanguageModel.from_entries(constants, entries.toArrow()) if small else None
+
     def set_limits(self, quantiles: dict[tuple[str, int], tuple[float, int]]) -> None:
         """``quantiles``: (language, length class) -> high quantile of the cross-entropy of its training texts, and their number."""
-        for lang in self.languages:
+        for lang in self.constants:
             known = [quantiles.get((lang, c), (np.inf, 0)) for c in range(len(LENGTH_EDGES) + 1)]
             fallback = max((q for q, n in known if n), default=np.inf)
             limits = [(q if n >= 100 else fallback) * REJECT_SLACK for q, n in known]
             # Longer texts vary less: a limit never exceeds that of shorter ones.
             self.limits[lang] = np.minimum.accumulate(limits).tolist()
 
+    def apply(self, rows: DataFrame, text: str, work: Callable, schema: T.StructType) -> DataFrame:
+        """``work(model, batch, known, matrix)`` over all rows, where the model holds at least the n-grams of the batch's texts.
 
-def held_out(doc_id: Column) -> Column:
-    """True for documents that the models never learn from."""
-    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
+        A model of bounded size goes whole to every worker. With a larger one, rows are dealt to chunks by a hash of all their atomic
+        columns, and the entries that a chunk's distinct n-grams need are joined to it. Probabilities are the same either way.
+        """
+        limits, constants, mark = self.limits, self.constants, uuid.uuid4().hex
+        if self.whole is not None:
+            self.whole.limits = limits
+            shared = share(rows.sparkSession, "language_id", self.whole)
+
+            def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                m = shared()
+                known, matrix = worker_cache("language_id_words", mark, lambda: ({}, []))
+                for batch in batches:
+                    yield work(m, batch, known, matrix)
+
+            return rows.mapInArrow(whole, schema)
+
+        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        atoms = [F.col(f"`{f.name}`") for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+        chunk = F.pmod(F.xxhash64(*atoms), F.lit(size // CHUNK_BYTES + 1)).alias("chunk")
+        lookups = [("p", ORDER - n, n) for n in range(1, ORDER + 1)] + [("w", ORDER - n, n - 1) for n in range(2, ORDER + 1)]
+        grams = rows.select(chunk, F.col(f"`{text}`")).mapInArrow(chunk_grams, "chunk long, gram string").distinct()
+        keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.substring("gram", at + 1, n).alias("gram")) for k, at, n in lookups])
+        needed = grams.select("chunk", F.explode(keys).alias("key")).select("chunk", "key.kind", "key.gram").distinct()
+        held = needed.join(self.entries, ["kind", "gram"]).select("chunk", "lang", "kind", "gram", "value")
+        columns = rows.columns
+        dealt = rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), chunk)
+
+        def part(left: pa.Table, right: pa.Table) -> pa.Table:
+            m = LanguageModel.from_entries(constants, right)
+            m.limits = limits
+            known, matrix, out = {}, [], []
+            for batch in left.to_batches():
+                inner = pa.RecordBatch.from_struct_array(batch.column(batch.schema.get_field_index("row")))
+                out.append(work(m, inner, known, matrix))
+            return pa.Table.from_batches(out)
+
+        return dealt.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(part, schema)
+
+
+def chunk_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``chunk, gram``: n-grams of order ``ORDER`` in the texts of each chunk, blanks written as spaces, each once per flush."""
+    seen: dict[int, set[str]] = {}
+
+    def flush() -> pa.RecordBatch:
+        chunks, found = [], []
+        for chunk, words in seen.items():
+            kept = list(filter(has_letter, words))
+            if kept:
+                windows, _ = _windows(kept)
+                _, first = np.unique(_hash(windows), return_index=True)
+                text = windows[first].astype("<u4").tobytes().decode("utf-32-le").replace("\0", " ")
+                found += [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+                chunks += [chunk] * len(first)
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(found, pa.string())], names=["chunk", "gram"])
 
+    for batch in batches:
+        for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen.setdefault(chunk, set()).update(words_in(text))
+        if sum(map(len, seen.values())) > CACHE_WORDS:
+            yield flush()
+    yield flush()
 
-def fit(labelled: DataFrame) -> LanguageModel | None:
+
+def fit(labelled: DataFrame) -> StoredModel | None:
     """Models from ``lang, text`` rows (null in either is ignored); None if there is nothing to learn.
 
-    All texts are counted. A language keeps its most frequent n-grams, ``MAX_GRAMS`` at most (whole classes of similar counts), so
-    that the model's size is bounded by the number of languages.
+    All texts are counted, and the models hold every n-gram.
     """
     rows = labelled.select("lang", "text").dropna()
-    counted = write_once(count_grams(rows), "grams")
-    # Counts by size class of n (eight classes per doubling) say from which class on a language's n-grams fit the bound.
-    sized = counted.withColumn("class", F.floor(F.log2("n") * 8))
-    classes = sized.groupBy("lang", "class").agg(F.count("*").alias("grams")).orderBy("lang", F.desc("class")).collect()
-    held, cut = Counter(), {}
-    for row in classes:
-        held[row["lang"]] += row["grams"]
-        if held[row["lang"]] <= MAX_GRAMS:
-            cut[row["lang"]] = row["class"]
-    if not cut:
+    entries, constants = model_entries(write_once(count_grams(rows), "grams"))
+    if not constants:
         return None
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in cut}
-    within = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])[F.col("lang")]
-    for row in sized.where(F.col("class") >= within).select("lang", "gram", "n").orderBy("lang", "gram").toLocalIterator():
-        counts[row["lang"]][row["gram"]] = row["n"]
-    model = LanguageModel(counts)
+    model = StoredModel(entries, constants)
     calibrate(model, rows)
     return model
 
 
-def calibrate(model: LanguageModel, rows: DataFrame) -> None:
+def calibrate(model: StoredModel, rows: DataFrame) -> None:
     """Set the rejection limits from the cross-entropy of a sample of whole training texts, by language and length class."""
     part = min(1.0, CALIBRATION_ROWS / max(1, rows.count()))
-    sample = rows.where(F.col("lang").isin(model.languages)).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(part * 1_000_000))
-    shared = share(rows.sparkSession, "language_id", model)
-
-    def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared()
-        known, matrix = {}, []
-        for batch in batches:
-            total, length = m.score_texts(batch.column(1).to_pylist(), known, matrix)
-            own = np.array([m.languages.index(x) for x in batch.column(0).to_pylist()], dtype=np.int64)
-            some = length > 0
-            entropy = -total[np.arange(len(own)), own][some] / length[some]
-            size = np.searchsorted(LENGTH_EDGES, length[some], side="right")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(some)), pa.array(size), pa.array(entropy)], names=["lang", "size", "entropy"]
-            )
+    known_languages = rows.where(F.col("lang").isin(list(model.constants)))
+    sample = known_languages.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(part * 1_000_000))
+
+    def entropies(m: LanguageModel, batch: pa.RecordBatch, known: dict, matrix: list) -> pa.RecordBatch:
+        total, length = m.score_texts(batch.column(1).to_pylist(), known, matrix)
+        own = np.array([m.languages.index(x) for x in batch.column(0).to_pylist()], dtype=np.int64)
+        some = length > 0
+        entropy = -total[np.arange(len(own)), own][some] / length[some]
+        size = np.searchsorted(LENGTH_EDGES, length[some], side="right")
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).filter(pa.array(some)), pa.array(size), pa.array(entropy)], names=["lang", "size", "entropy"]
+        )
 
-    found = sample.mapInArrow(entropies, "lang string, size long, entropy double").groupBy("lang", "size")
+    schema = T._parse_datatype_string("lang string, size long, entropy double")
+    found = model.apply(sample, "text", entropies, schema).groupBy("lang", "size")
     limits = found.agg(F.percentile_approx("entropy", REJECT_QUANTILE, 10_000).alias("q"), F.count("*").alias("n")).collect()
     model.set_limits({(r["lang"], r["size"]): (r["q"], r["n"]) for r in limits})
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: StoredModel | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred, score, cross_entropy, accepted`` (columns of these names are replaced).
 
     ``lang_pred`` is ``und`` (score 0, cross-entropy null, not accepted) if the text is null, empty or has no letter, or if nothing was
@@ -291,30 +425,26 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
         return base.withColumns(
             {"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "accepted": F.lit(False)}
         )
-    shared, mark = share(docs.sparkSession, "language_id", model), uuid.uuid4().hex
-    position = base.columns.index(text)
+    position, base_names = base.columns.index(text), base.columns
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared()
-        known, matrix = worker_cache("language_id_words", mark, lambda: ({}, []))
+    def label(m: LanguageModel, batch: pa.RecordBatch, known: dict, matrix: list) -> pa.RecordBatch:
         names = np.array([*m.languages, "und"], dtype=object)
-        for batch in batches:
-            total, length = m.score_texts(batch.column(position).to_pylist(), known, matrix)
-            best, some = total.argmax(axis=1), length > 0
-            per = total / np.maximum(length, 1)[:, None] * 8
-            share = 1 / np.exp(per - per.max(axis=1, keepdims=True)).sum(axis=1)
-            entropy = -total.max(axis=1) / np.maximum(length, 1)
-            limits = np.zeros(len(best))
-            for k in range(len(m.languages)):
-                limits[best == k] = m.limit(k, length[best == k])
-            new = [
-                pa.array(names[np.where(some, best, len(m.languages))], pa.string()), pa.array(np.where(some, share, 0.0)),
-                pa.array(entropy, mask=~some), pa.array(some & (entropy <= limits)),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+        total, length = m.score_texts(batch.column(position).to_pylist(), known, matrix)
+        best, some = total.argmax(axis=1), length > 0
+        per = total / np.maximum(length, 1)[:, None] * 8
+        share = 1 / np.exp(per - per.max(axis=1, keepdims=True)).sum(axis=1)
+        entropy = -total.max(axis=1) / np.maximum(length, 1)
+        limits = np.zeros(len(best))
+        for k in range(len(m.languages)):
+            limits[best == k] = m.limit(k, length[best == k])
+        new = [
+            pa.array(names[np.where(some, best, len(m.languages))], pa.string()), pa.array(np.where(some, share, 0.0)),
+            pa.array(entropy, mask=~some), pa.array(some & (entropy <= limits)),
+        ]
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*base_names, *added])
 
     schema = T.StructType([*base.schema.fields, *T._parse_datatype_string("lang_pred string, score double, cross_entropy double, accepted boolean").fields])
-    return base.mapInArrow(label, schema)
+    return model.apply(base, text, label, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -268,6 +268,41 @@ def test_kneser_ney_adds_up_to_one():
         assert total == pytest.approx(1.0), (words, prefix)
 
 
+def test_every_gram_counts(spark):
+    """All n-grams are in the model, with the probabilities of Kneser-Ney over whole counts."""
+    rng = np.random.default_rng(5)
+    letters = np.array([chr(0x4E00 + i) for i in range(400)])
+    words = ["".join(x) for x in letters[rng.integers(0, 400, (60_000, 4))]]
+    texts = [("zh", " ".join(words[i : i + 200])) for i in range(0, len(words), 200)] + [("en", "the cat and the hat " * 3)] * 5
+    entries, constants = language_id.model_entries(language_id.count_grams(spark.createDataFrame(texts, "lang string, text string")))
+    found = {(r["lang"], r["kind"], r["gram"]): r["value"] for r in entries.collect()}
+    counts = {"zh": Counter(), "en": Counter()}
+    for lang, text in texts:
+        for word in text.split():
+            padded = f"   {word} "
+            counts[lang].update(padded[i : i + 4] for i in range(len(padded) - 3))
+    assert len(counts["zh"]) > 200_000
+    want = {}
+    for lang, seen in counts.items():
+        levels = language_id._kneser_ney(seen)
+        want |= {(lang, "p", g): np.log(p) for level in levels for g, p in level["p"].items()}
+        want |= {(lang, "w", g): np.log(w) for level in levels[1:] for g, w in level["weight"].items()}
+        assert constants[lang] == pytest.approx((np.log(levels[0]["unknown"]), np.log(levels[0]["weight"][""])))
+    assert found.keys() == want.keys()
+    assert max(abs(found[k] - want[k]) for k in want) < 1e-9
+
+
+def test_chunks_with_their_part_of_the_model_give_the_same(spark, folder, odd, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = spark.createDataFrame([(-1, "Ελληνικά γράμματα", None)], docs.schema)
+    docs = docs.unionByName(odd.select(docs.columns)).unionByName(foreign)
+    want = language_id.identify(docs).collect()
+    monkeypatch.setattr(language_id, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(language_id, "CHUNK_BYTES", 50_000)
+    assert same(map(tuple, language_id.identify(docs).collect()), map(tuple, want))
+    assert language_id.predict(foreign, language_id.fit(docs)).first()["doc_id"] == -1
+
+
 def test_held_out_accuracy(spark, folder, small):
     rows = {r["doc_id"]: r for r in QUERIES["op6_kneser_ney_language"](spark, folder).collect()}
     truth = dict(zip(small["doc_id"].tolist(), small["lang"], strict=True))
