@@ -26,7 +26,6 @@ from buyerscope.storage import write_once
 ORDER = 4
 BROADCAST_ENTRIES = 2_000_000  # probabilities and weights of all languages up to which every worker gets the whole model
 CHUNK_BYTES = 16_000_000  # text scored together, with the part of the model that it needs, if the model is larger
-CALIBRATION_ROWS = 20_000  # training texts, chosen by hash, that calibrate the rejection
 REJECT_QUANTILE = 0.999
 REJECT_SLACK = 1.5  # factor on the calibrated cross-entropy
 LENGTH_EDGES = (50, 200, 1_000)  # characters; short texts vary more
@@ -301,7 +300,10 @@ class StoredModel:
         self.whole = LanguageModel.from_entries(constants, entries.toArrow()) if small else None
 
     def set_limits(self, quantiles: dict[tuple[str, int], tuple[float, int]]) -> None:
-        """``quantiles``: (language, length class) -> high quantile of the cross-entropy of its training texts, and their number."""
+        """``quantiles``: (language, length class) -> high quantile of the cross-entropy of its distinct training texts, and their number.
+
+        A class of fewer than 100 texts, or none, takes the loosest limit of its language.
+        """
         for lang in self.constants:
             known = [quantiles.get((lang, c), (np.inf, 0)) for c in range(len(LENGTH_EDGES) + 1)]
             fallback = max((q for q, n in known if n), default=np.inf)
@@ -391,10 +393,12 @@ def fit(labelled: DataFrame) -> StoredModel | None:
 
 
 def calibrate(model: StoredModel, rows: DataFrame) -> None:
-    """Set the rejection limits from the cross-entropy of a sample of whole training texts, by language and length class."""
-    part = min(1.0, CALIBRATION_ROWS / max(1, rows.count()))
-    known_languages = rows.where(F.col("lang").isin(list(model.constants)))
-    sample = known_languages.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(part * 1_000_000))
+    """Set the rejection limits from the cross-entropy of all distinct training texts, by language and length class."""
+    # A language without a single letter in its texts has no model.
+    texts = rows.where(F.col("lang").isin(list(model.constants)))
+    if model.whole is None:
+        texts = texts.distinct()  # copies would share a chunk
+    texts = texts.withColumn("hash", F.xxhash64("text"))
 
     def entropies(m: LanguageModel, batch: pa.RecordBatch, known: dict, matrix: list) -> pa.RecordBatch:
         total, length = m.score_texts(batch.column(1).to_pylist(), known, matrix)
@@ -402,12 +406,13 @@ def calibrate(model: StoredModel, rows: DataFrame) -> None:
         some = length > 0
         entropy = -total[np.arange(len(own)), own][some] / length[some]
         size = np.searchsorted(LENGTH_EDGES, length[some], side="right")
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).filter(pa.array(some)), pa.array(size), pa.array(entropy)], names=["lang", "size", "entropy"]
-        )
+        kept = [batch.column(i).filter(pa.array(some)) for i in (0, 2)]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(size), pa.array(entropy)], names=["lang", "hash", "size", "entropy"])
 
-    schema = T._parse_datatype_string("lang string, size long, entropy double")
-    found = model.apply(sample, "text", entropies, schema).groupBy("lang", "size")
+    schema = T._parse_datatype_string("lang string, hash long, size long, entropy double")
+    scored = model.apply(texts, "text", entropies, schema)
+    # Copies of a text count once.
+    found = scored.groupBy("lang", "hash").agg(F.first("size").alias("size"), F.first("entropy").alias("entropy")).groupBy("lang", "size")
     limits = found.agg(F.percentile_approx("entropy", REJECT_QUANTILE, 10_000).alias("q"), F.count("*").alias("n")).collect()
     model.set_limits({(r["lang"], r["size"]): (r["q"], r["n"]) for r in limits})
 

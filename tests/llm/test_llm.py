@@ -303,6 +303,26 @@ def test_chunks_with_their_part_of_the_model_give_the_same(spark, folder, odd, m
     assert language_id.predict(foreign, language_id.fit(docs)).first()["doc_id"] == -1
 
 
+def test_limits_come_from_all_distinct_texts(spark, monkeypatch):
+    """A rare language among many rows, and copies of one text that outnumber the rest, have the limits of the distinct texts."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefgh"))
+
+    def text():
+        return " ".join("".join(letters[rng.integers(0, 8, 5)]) for _ in range(12))
+
+    common, rare = [text() for _ in range(1_500)], [text().upper().replace("A", "ö") for _ in range(3)]
+    rows = [("big", t) for t in common] + [("big", common[0])] * 40_000 + [("rare", t) for t in rare]
+    found = {}
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string").repartition(8))
+    for lang, texts in (("big", common), ("rare", rare)):
+        total, length = model.whole.score_texts(texts, {}, [])
+        found[lang] = np.sort(-total[:, model.whole.languages.index(lang)] / length)
+    limits = {lang: x[1] / language_id.REJECT_SLACK for lang, x in model.limits.items()}  # 50 to 199 characters
+    assert limits["rare"] == pytest.approx(found["rare"][-1])
+    assert found["big"][-4] < limits["big"] <= found["big"][-1]
+
+
 def test_held_out_accuracy(spark, folder, small):
     rows = {r["doc_id"]: r for r in QUERIES["op6_kneser_ney_language"](spark, folder).collect()}
     truth = dict(zip(small["doc_id"].tolist(), small["lang"], strict=True))
