@@ -30,6 +30,7 @@ REJECT_QUANTILE = 0.999
 REJECT_SLACK = 1.5  # factor on the calibrated cross-entropy
 LENGTH_EDGES = (50, 200, 1_000)  # characters; short texts vary more
 CACHE_WORDS = 500_000
+PART_CHARACTERS = 4_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -216,8 +217,15 @@ class LanguageModel:
     def score_texts(self, texts: list[str | None], known: dict[str, int], matrix: list) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text in each language, and the number of characters scored.
 
-        ``known`` and ``matrix`` remember words from call to call; they are emptied when they grow too large.
+        ``known`` and ``matrix`` remember words from call to call; they are emptied when they grow too large. Texts are split into words
+        a part at a time, so that few words are held at once.
         """
+        part = np.cumsum([len(x or "") for x in texts]) // PART_CHARACTERS
+        ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        found = [self._score_part(texts[a:b], known, matrix) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _score_part(self, texts: list[str | None], known: dict[str, int], matrix: list) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > CACHE_WORDS:
             known.clear()
             matrix.clear()
