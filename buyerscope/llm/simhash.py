@@ -200,6 +200,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     the component are null). Equal texts, null and empty texts (fingerprint 0) link with each other; repeated rows come out as often as they go in.
     Copies are collapsed to one fingerprint before anything is compared, and the comparison returns a spanning forest only.
     """
+    return _grouped(docs, shingle, distance).drop("component")
+
+
+def _grouped(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """``near_duplicates`` with ``component``, the group's smallest fingerprint: two groups may have the same smallest id."""
     marked = write_once(fingerprints(docs, shingle), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     parts = connected_components(fingerprint_links(distinct.select("fp"), distance))
@@ -208,21 +213,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     )
     named = write_once(named, "fingerprint_parts")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(smallest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "text_key", "fp", "component_id")
+    by_fp = named.join(smallest, "component").select("fp", "component", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "text_key", "fp", "component_id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """One document of each group, the one with the smallest id, in the columns of ``docs``.
 
-    Rows that repeat the surviving id are one document and leave one row; a group whose ids are all null leaves one row per text.
+    Rows of a group that repeat the surviving id are one document and leave one row; a group whose ids are all null leaves one row per text.
+    An id with different texts in several groups stays once in each group of which it is the smallest.
     """
-    found = near_duplicates(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("_k"), F.col("text_key").alias("_kt")).distinct()
+    found = _grouped(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(F.col("doc_id").alias("_k"), F.col("text_key").alias("_kt"), F.col("component").alias("_c")).distinct()
     marked = docs.withColumn("_t", F.xxhash64("text"))
-    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_k"]) & (marked["_t"] == kept["_kt"]), "left_semi")
+    # Equal texts have equal fingerprints, so that a row meets one group at most.
+    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_k"]) & (marked["_t"] == kept["_kt"]))
     # Texts with the surviving id belong to one document each; a null id says nothing about that.
-    return stay.withColumn("_null", F.when(F.col("doc_id").isNull(), F.col("_t"))).dropDuplicates(["doc_id", "_null"]).drop("_t", "_null")
+    one = stay.withColumn("_null", F.when(F.col("doc_id").isNull(), F.col("_t"))).dropDuplicates(["_c", "doc_id", "_null"])
+    return one.drop("_t", "_null", "_k", "_kt", "_c")
 
 
 def op8_simhash_gray_index(spark, folder: str) -> DataFrame:

@@ -419,6 +419,12 @@ def test_simhash_odd_rows(spark, odd, nothing):
     assert simhash.drop_near_duplicates(nothing).count() == 0
 
 
+def test_an_id_with_two_texts_loses_no_group(spark):
+    a, b = ("one two three four five six seven " * 9, "completely other words stand here in this second text " * 9)
+    docs = spark.createDataFrame([(5, a), (5, b), (9, b), (7, a), (5, a)], "doc_id long, text string")
+    assert same(map(tuple, simhash.drop_near_duplicates(docs).collect()), [(5, a), (5, b)])
+
+
 # --- 9
 
 
