@@ -550,25 +550,13 @@ def random_search(spark: SparkSession, folder: str) -> DataFrame:
     return cross_validated_search(training(spark, folder), learner("decision_tree"), draw_from_grid(grid, 10))[2]
 
 
-SMALL_SPACES = {
-    "lightgbm": {**SPACES["lightgbm"], "n_estimators": ("int", 3, 6), "max_depth": ("int", 2, 3)},
-    "xgboost": {**SPACES["xgboost"], "n_estimators": ("int", 3, 6), "max_depth": ("int", 2, 3)},
-    "catboost": {**SPACES["catboost"], "iterations": ("int", 3, 6), "depth": ("int", 2, 3)},
-}
-
-
 def space_search(spark: SparkSession, folder: str) -> DataFrame:
-    points = draw_from_space(SMALL_SPACES["catboost"], 2)
+    points = draw_from_space(SPACES["catboost"], 30)
     return cross_validated_search(training(spark, folder), learner("catboost"), points)[2]
 
 
 def model_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    grids = {
-        "logistic_regression": {"C": [0.1, 1.0]},
-        "decision_tree": {"max_depth": [3, 5]},
-        "random_forest": {"n_estimators": [10], "max_depth": [5]},
-    }
-    return benchmark(prepared(spark, folder).train, grids=grids, folds=3).table
+    return benchmark(prepared(spark, folder).train).table
 
 
 def model_oof(spark: SparkSession, folder: str) -> DataFrame:
@@ -600,7 +588,7 @@ def stack_oof(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_vote(spark: SparkSession, folder: str) -> DataFrame:
     """Equal vote of a margin classifier and boosted trees."""
-    model = fit_vote(training(spark, folder), [learner("svm", kernel="linear"), learner("lightgbm", **FEW_TREES)])
+    model = fit_vote(training(spark, folder), [learner("svm"), learner("lightgbm")])
     return score_with(model, "vote", held_out(spark, folder), ["key", "label"])
 
 
@@ -620,10 +608,7 @@ def perm_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rfe(spark: SparkSession, folder: str) -> DataFrame:
-    names = prepared(spark, folder).names
-    _, table = recursive_elimination(
-        training(spark, folder), learner("decision_tree", max_depth=4), names, step=len(names) // 3
-    )
+    _, table = recursive_elimination(training(spark, folder), learner("decision_tree", max_depth=4), prepared(spark, folder).names)
     return table.select("n_features", "mean", "std")
 
 
@@ -639,9 +624,7 @@ def score_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def final_train(spark: SparkSession, folder: str) -> DataFrame:
-    spaces = {k: SMALL_SPACES[k] for k in ("lightgbm", "xgboost")}
-    done = train_final(prepared(spark, folder), trials=1, n_features=20, spaces=spaces, folds=2)
-    return score(done.scorer, history(spark, folder))
+    return score(train_final(prepared(spark, folder)).scorer, history(spark, folder))
 
 
 def subset_model(spark: SparkSession, folder: str) -> DataFrame:

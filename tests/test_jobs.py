@@ -139,3 +139,30 @@ def test_feature_selection_methods(spark, files):
     assert len(kept) == 2 and set(kept) <= set(names)
     with pytest.raises(ValueError):
         select_features(folds, names, "other")
+
+
+def test_model_queries_run_at_full_size(monkeypatch):
+    """Final training and the benchmark get the jobs' defaults, the search 30 points of the whole space."""
+    from types import SimpleNamespace
+
+    from buyerscope.models.validation import SPACES, draw_from_space
+    from buyerscope.plans import catalog
+
+    calls = {}
+
+    def note(name, result):
+        return lambda *args, **options: calls.update({name: (args[1:], options)}) or result
+
+    table = SimpleNamespace(train="train", names=["a"])
+    monkeypatch.setattr(catalog, "prepared", lambda spark, folder: table)
+    monkeypatch.setattr(catalog, "training", lambda spark, folder: "rows")
+    monkeypatch.setattr(catalog, "history", lambda spark, folder: "rows")
+    monkeypatch.setattr(catalog, "score", lambda scorer, rows: rows)
+    monkeypatch.setattr(catalog, "train_final", note("final_train", SimpleNamespace(scorer=None)))
+    monkeypatch.setattr(catalog, "benchmark", note("benchmark", SimpleNamespace(table=None)))
+    monkeypatch.setattr(catalog, "cross_validated_search", note("space_search", [None] * 3))
+    catalog.final_train(None, "")
+    catalog.model_benchmark(None, "")
+    catalog.space_search(None, "")
+    assert calls["final_train"] == calls["benchmark"] == ((), {})
+    assert calls["space_search"][0][1] == draw_from_space(SPACES["catboost"], 30)
