@@ -24,6 +24,17 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have yet: the wanted ones, with underscores added where they are taken (in any case of letters)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def worker_cache(family: str, key: str, build: Callable[[], object]) -> object:
     """An object that a Python worker keeps from task to task: the last one of each family (a new worker builds it anew)."""
     store = sys.__dict__.setdefault("_buyerscope_worker_cache", {})

@@ -6,15 +6,13 @@ appended, a row either stays or moves into a new shard. Column functions only.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buyerscope.llm.common import table
+from buyerscope.llm.common import free_names, table
+from buyerscope.llm.numbering import number_rows
 
 HEX_DIGITS = 13  # 52 bits: exact in a double
-SLOT_GROUP = 2_000  # rows that one group of the slot numbering holds on average, at most
 
 
 def jump_shard(key: Column, n_shards: int) -> Column:
@@ -45,24 +43,18 @@ def assign_shards(df: DataFrame, key: str, n_shards: int) -> DataFrame:
     return df.withColumn("shard", jump_shard(F.col(key), n_shards))
 
 
-def number_slots(df: DataFrame, key: str, tie: str, n_rows: int) -> DataFrame:
+def number_slots(df: DataFrame, key: str, tie: str) -> DataFrame:
     """``df`` (with ``shard``) and ``slot``, gapless from 0 in every shard, in the order of MD5(key, tie).
 
-    Rows are numbered inside groups of equal leading hash digits and each group starts at the running count of the groups
-    before it, so that no shard is sorted in one task. ``tie`` spreads rows of one hot key; only rows equal in both
-    share a group, and their numbers are interchangeable. ``n_rows`` sets the number of groups and never the result.
+    All rows are numbered once by shard and digest, range by range, and written; a slot is the number less the shard's first number, so
+    no shard is sorted in one task. Rows equal in key and tie may lie in several ranges, and their slots are interchangeable. A null
+    key counts as the empty text, a null tie is left out. ``slot`` is replaced if there is one; all other columns pass unchanged.
     """
-    digits = max(1, math.ceil(math.log(max(n_rows, 1) / SLOT_GROUP, 16))) if n_rows > SLOT_GROUP else 1
-    mark = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(tie).cast("string")))
-    marked = df.withColumn("_s_mark", mark).withColumn("_s_group", F.substring("_s_mark", 1, digits))
-    groups = marked.groupBy("shard", "_s_group").agg(F.count("*").alias("_s_n"))
-    before = Window.partitionBy("shard").orderBy("_s_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select("shard", "_s_group", F.coalesce(F.sum("_s_n").over(before), F.lit(0)).alias("_s_start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "_s_group").orderBy("_s_mark", key))
-    numbered = marked.withColumn("_s_row", inside).join(starts, ["shard", "_s_group"])
-    return numbered.withColumn("slot", (F.col("_s_start") + F.col("_s_row") - 1).cast("long")).drop(
-        "_s_mark", "_s_group", "_s_row", "_s_start"
-    )
+    mark, first = free_names(df, "slot_mark", "slot_first")
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(tie).cast("string")))
+    numbered = number_rows(df.drop("slot").withColumn(mark, digest), [F.col("shard"), F.col(mark)], "slot").drop(mark)
+    starts = numbered.groupBy("shard").agg(F.min("slot").alias(first))  # one row per shard
+    return numbered.join(starts, "shard").withColumn("slot", F.col("slot") - F.col(first)).drop(first)
 
 
 def write_shards(df: DataFrame, key: str, n_shards: int, path: str) -> None:
@@ -84,6 +76,6 @@ def op9_jump_shards(spark, folder: str, n_shards: int = 40) -> DataFrame:
         F.lit("key").alias("law"),
     )
     placed = assign_shards(rows, "doc_id", n_shards).withColumn("grown_shard", jump_shard(F.col("doc_id"), n_shards + 1))
-    return number_slots(placed, "doc_id", "text_crc32", docs.count()).select(
+    return number_slots(placed, "doc_id", "text_crc32").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
