@@ -52,6 +52,27 @@ class KnnModel(JsonModel):
         return _Reader(cls)
 
 
+def knn_readings(pairs: DataFrame, candidates: dict[int, tuple[int, str]], keep: list[str]) -> DataFrame:
+    """(candidate, keep..., p) for several numbers of neighbours and weightings, read off one search.
+
+    ``pairs`` holds (keep..., query_id, rank, distance, label) with as many neighbours as the largest candidate asks for; a candidate is
+    (neighbours, ``uniform`` or ``distance``). Exact matches among a candidate's neighbours decide alone when distances weigh.
+    """
+    for _, weights in candidates.values():
+        if weights not in ("uniform", "distance"):
+            raise ValueError(f"unknown weights: {weights}")
+    asked = [F.struct(F.lit(i).alias("candidate"), F.lit(k).alias("k"), F.lit(w == "uniform").alias("even")) for i, (k, w) in candidates.items()]
+    each = pairs.select("*", F.inline(F.array(*asked))).where("rank <= k")
+    one = (F.col("label") == 1).cast("double")
+    exact, near = (F.col("distance") == 0).cast("double"), F.coalesce(F.try_divide(F.lit(1.0), F.col("distance")), F.lit(0.0))
+    votes = each.groupBy("candidate", *keep, "query_id").agg(
+        F.max("even").alias("even"), F.avg(one).alias("plain"), F.sum(exact).alias("n_exact"), F.sum(exact * one).alias("exact_one"),
+        F.sum(near).alias("near"), F.sum(near * one).alias("near_one"),
+    )
+    weighed = F.when(F.col("n_exact") > 0, F.col("exact_one") / F.col("n_exact")).otherwise(F.try_divide(F.col("near_one"), F.col("near")))
+    return votes.select("candidate", *keep, "query_id", F.when(F.col("even"), F.col("plain")).otherwise(weighed).alias("p"))
+
+
 class _Writer(MLWriter):
     """Metadata plus a copy of the training rows."""
 

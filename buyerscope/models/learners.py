@@ -20,13 +20,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buyerscope.models.boosting import fit_trees, plan_of
 from buyerscope.models.knn import KnnModel
+from buyerscope.models.linear import cosine_directions, fit_linear, linear_plan
 from buyerscope.operators.base import JsonEstimator, JsonModel, JsonTransformer
 from buyerscope.storage import write_once
 
-# Deepest tree that Spark grows; stands for "no limit".
-NO_DEPTH_LIMIT = 30
-
 # Parameter grids of the model benchmark.
 GRIDS: dict[str, dict[str, list[Any]]] = {
     "logistic_regression": {
@@ -71,32 +70,8 @@ GRIDS: dict[str, dict[str, list[Any]]] = {
     },
 }
 KINDS = [*GRIDS, "catboost", "mlp"]
-# Boosted-tree defaults of the libraries whose names the presets carry.
-BOOSTED = {
-    "gradient_boosting": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
-    "xgboost": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6},
-    "lightgbm": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": -1},
-    "catboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
-}
-
-
-# Parameters without a Spark counterpart.
-IGNORED = {
-    "logistic_regression": ["solver"],
-    **dict.fromkeys(
-        BOOSTED, ["num_leaves", "reg_alpha", "reg_lambda", "l2_leaf_reg", "bagging_temperature", "bootstrap_type"]
-    ),
-}
-
-
-def effective_params(kind: str, params: dict[str, Any]) -> dict[str, Any]:
-    """The parameters that decide the fitted model: candidates that agree in them are one model."""
-    out = {k: v for k, v in params.items() if k not in IGNORED.get(kind, ())}
-    if out.get("class_weight") == "balanced_subsample":
-        out["class_weight"] = "balanced"
-    if kind == "svm" and out.get("kernel", "rbf") == "linear":
-        out.pop("gamma", None)
-    return out
+LINEAR = ["logistic_regression", "svm"]
+TREES = ["random_forest", "gradient_boosting", "xgboost", "lightgbm", "decision_tree", "catboost"]
 
 
 def probability(name: str) -> Column:
@@ -128,10 +103,8 @@ class FourierFeatures(JsonTransformer):
     DEFAULTS = {"features": "scaled", "out": "lifted", "gamma": 1.0, "size": 0, "dims": 256, "seed": 42}
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        draw = np.random.default_rng(self.opt("seed"))
         size, dims = self.opt("size"), self.opt("dims")
-        directions = draw.normal(0.0, np.sqrt(2 * self.opt("gamma")), (size, dims))
-        shifts = draw.uniform(0.0, 2 * np.pi, dims)
+        directions, shifts = cosine_directions(self.opt("gamma"), size, dims, self.opt("seed"))
 
         @F.pandas_udf("array<double>")
         def lift(vectors: pd.Series) -> pd.Series:
@@ -194,101 +167,21 @@ class Learner(JsonEstimator):
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         kind, params = self.opt("kind"), dict(self.opt("params"))
-        df, weight = self._weighted(df, params)
-        if kind in ("logistic_regression", "svm", "knn"):
+        if kind in TREES:
+            plan = plan_of(kind, params, self.opt("seed"))
+            model = fit_trees(df, plan, self.opt("name"), self.opt("features"), self.opt("label"), self.opt("key"))
+            return PipelineModel([model])
+        if kind in (*LINEAR, "knn"):
             out = f"scaled_{self.opt('name')}"
             scaler = PopulationScaler(features=self.opt("features"), out=out).fit(df)
-            stages = [scaler, *getattr(self, f"_{kind}")(scaler.transform(df), out, params, weight)]
-        elif kind in BOOSTED:
-            stages = [self._boosted(params, weight).fit(df)]
-        elif kind in ("random_forest", "decision_tree"):
-            stages = [getattr(self, f"_{kind}")(params, weight).fit(df)]
+            fit = self._knn if kind == "knn" else self._linear
+            stages = [scaler, *fit(scaler.transform(df), out, params)]
         elif kind == "mlp":
             stages = [self._mlp(df, params).fit(df)]
         else:
             raise ValueError(f"unknown learner: {kind}")
         return PipelineModel(stages)
 
-    def _weighted(self, df: DataFrame, params: dict) -> tuple[DataFrame, str | None]:
-        """Add a weight column when the parameters ask for class weights."""
-        mode = params.pop("class_weight", None) or params.pop("auto_class_weights", None)
-        positive = params.pop("scale_pos_weight", None)
-        if not mode and not positive:
-            return df, None
-        label = F.col(self.opt("label"))
-        sizes = {int(r[0]): r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
-        if mode:
-            n = sum(sizes.values())
-            weights = {c: n / (len(sizes) * m) for c, m in sizes.items()}
-        else:
-            if positive == "balanced":
-                positive = sizes.get(0, 0) / max(1, sizes.get(1, 0))
-            weights = {0: 1.0, 1: float(positive)}
-        value = F.when(label == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
-        return df.withColumn("_weight", value), "_weight"
-
-    def _penalty(self, df: DataFrame, weight: str | None, c: float) -> float:
-        """Regularization that matches a loss summed with factor ``c``."""
-        total = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-        return 1.0 / (c * total)
-
-    def _logistic_regression(self, df, features, params, weight) -> list:
-        model = C.LogisticRegression(
-            featuresCol=features,
-            regParam=self._penalty(df, weight, params.get("C", 1.0)),
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=params.get("max_iter", 100),
-            tol=params.get("tol", 1e-4),
-            **self.columns(),
-        )
-        if weight:
-            model.setWeightCol(weight)
-        return [model.fit(df)]
-
-    def _tree_params(self, params: dict) -> dict:
-        depth = params.get("max_depth")
-        depth = NO_DEPTH_LIMIT if depth is None or depth < 0 else min(depth, NO_DEPTH_LIMIT)
-        # A split of s rows leaves at least one child of s / 2 rows or fewer.
-        rows = max(1, params.get("min_samples_split", 2) // 2)
-        return {"maxDepth": depth, "minInstancesPerNode": rows, "seed": self.opt("seed"),
-                "featuresCol": self.opt("features"), **self.columns()}
-
-    def _random_forest(self, params, weight) -> C.RandomForestClassifier:
-        model = C.RandomForestClassifier(
-            numTrees=params.get("n_estimators", 100), featureSubsetStrategy="sqrt", **self._tree_params(params)
-        )
-        return model.setWeightCol(weight) if weight else model
-
-    def _decision_tree(self, params, weight) -> C.DecisionTreeClassifier:
-        model = C.DecisionTreeClassifier(impurity=params.get("criterion", "gini"), **self._tree_params(params))
-        return model.setWeightCol(weight) if weight else model
-
-    def _boosted(self, params, weight) -> C.GBTClassifier:
-        """Boosted trees under any of the preset names.
-
-        Leaf counts and leaf-weight penalties have no counterpart and are ignored. No depth limit (null or negative)
-        means Spark's own. ``gamma``, the least loss reduction of a split, is the least information gain.
-        """
-        given = {**BOOSTED[self.opt("kind")], **params}
-        depth = given["max_depth"]
-        share = given.get("colsample_bytree", 1.0)
-        model = C.GBTClassifier(
-            maxIter=given.get("iterations", given["n_estimators"]),
-            stepSize=given["learning_rate"],
-            maxDepth=NO_DEPTH_LIMIT if depth is None or depth < 0 else given.get("depth", depth),
-            minInfoGain=given.get("gamma", 0.0),
-            subsamplingRate=given.get("subsample", 1.0),
-            featureSubsetStrategy="all" if share >= 1.0 else str(share),
-            minInstancesPerNode=max(1, given.get("min_child_samples", given.get("min_child_weight", 1))),
-            featuresCol=self.opt("features"),
-            labelCol=self.opt("label"),
-            predictionCol=f"pred_{self.opt('name')}",
-            seed=self.opt("seed"),
-        )
-        model._set(probabilityCol=f"prob_{self.opt('name')}", rawPredictionCol=f"raw_{self.opt('name')}")
-        return model.setWeightCol(weight) if weight else model
-
     def _mlp(self, df: DataFrame, params: dict) -> C.MultilayerPerceptronClassifier:
         size = df.select(self.opt("features")).first()[0].size
         return C.MultilayerPerceptronClassifier(
@@ -299,35 +192,14 @@ class Learner(JsonEstimator):
             **self.columns(),
         )
 
-    def _svm(self, df, features, params, weight) -> list:
-        """Linear margin, on cosine features for the Gaussian kernel, turned into a probability
-        by a logistic curve fitted on margins of rows the machine has not seen."""
-        name, stages = self.opt("name"), []
-        if params.get("kernel", "rbf") == "rbf":
+    def _linear(self, df: DataFrame, features: str, params: dict) -> list:
+        """A penalized regression, or a margin machine, on cosine features for the Gaussian kernel, with a logistic curve over its margins."""
+        plan, stages = linear_plan(self.opt("kind"), params, self.opt("seed")), []
+        if plan.gamma is not None:
             lift = self._kernel(df, features, params)
             df, features = lift.transform(df), lift.opt("out")
             stages.append(lift)
-        regular = self._penalty(df, weight, params.get("C", 1.0))
-        machine = C.LinearSVC(
-            featuresCol=features, labelCol=self.opt("label"), rawPredictionCol=f"margins_{name}",
-            predictionCol=f"side_{name}", regParam=regular, maxIter=params.get("max_iter", 1000),
-            tol=params.get("tol", 1e-3),
-        )
-        if weight:
-            machine.setWeightCol(weight)
-        margin = VectorSlicer(inputCol=f"margins_{name}", outputCol=f"margin_{name}", indices=[1])
-        folds = params.get("calibration_folds", 3)
-        parted = df.withColumn(
-            "_part", F.pmod(F.xxhash64(vector_to_array(F.col(self.opt("features"))), F.lit(self.opt("seed"))), F.lit(folds))
-        )
-        unseen = None
-        for f in range(folds):
-            fitted = machine.fit(parted.where(F.col("_part") != f))
-            part = margin.transform(fitted.transform(parted.where(F.col("_part") == f)))
-            part = part.select(f"margin_{name}", self.opt("label"))
-            unseen = part if unseen is None else unseen.unionByName(part)
-        curve = C.LogisticRegression(featuresCol=f"margin_{name}", tol=1e-4, **self.columns()).fit(unseen)
-        return [*stages, machine.fit(df), margin, curve]
+        return [*stages, fit_linear(df, plan, self.opt("name"), features, self.opt("label"), self.opt("key"))]
 
     def _kernel(self, df: DataFrame, features: str, params: dict) -> FourierFeatures:
         row = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(features)).alias("s")).first()["s"]
@@ -344,7 +216,7 @@ class Learner(JsonEstimator):
             dims=params.get("dims", 256), seed=self.opt("seed"),
         )
 
-    def _knn(self, df, features, params, weight) -> list:
+    def _knn(self, df: DataFrame, features: str, params: dict) -> list:
         base = df.select(
             F.col(self.opt("key")).alias("id"), vector_to_array(F.col(features)).alias("v"),
             F.col(self.opt("label")).alias("label"),

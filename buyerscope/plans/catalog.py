@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,13 +21,14 @@ from buyerscope.features.rfm import RfmFeatures
 from buyerscope.features.variants import CompactFeatures, LeanFeatures
 from buyerscope.functions import dates as D
 from buyerscope.functions.expressions import hash_unit, lookup, quoted
-from buyerscope.models.learners import AtThreshold, Learner, learner
+from buyerscope.models.learners import GRIDS, AtThreshold, Learner, learner
 from buyerscope.models.selection import (
     importance_table, linear_attribution, permutation_importance, recursive_elimination, select_features,
 )
 from buyerscope.models.stacking import fit_stack, fit_vote, meta_learner, stack_out_of_fold
 from buyerscope.models.validation import (
-    SPACES, cross_validated_search, draw_from_grid, draw_from_space, expand_grid, out_of_fold, score_with,
+    SPACES, cross_validated_search, draw_from_grid, draw_from_space, expand_grid, halving_search, out_of_fold,
+    score_with,
 )
 from buyerscope.operators import metrics as M
 from buyerscope.operators import profile as P
@@ -509,7 +511,7 @@ def prepared(spark: SparkSession, folder: str) -> Prepared:
 
 def _model_split(spark: SparkSession, folder: str) -> DataFrame:
     rows = stratified_split(prepared(spark, folder).train, "key", "label")
-    return stratified_folds(rows, "key", "label", k=3)
+    return stratified_folds(rows, "key", "label", k=5)
 
 
 model_split = stored("model_split", _model_split)
@@ -533,16 +535,12 @@ def fitted(kind: str, **params) -> Query:
     return run
 
 
-FEW_TREES = {"n_estimators": 10, "max_depth": 3}
-
-
 def _bases() -> list[Learner]:
-    return [learner("logistic_regression"), learner("decision_tree", max_depth=4), learner("random_forest", **FEW_TREES)]
+    return [learner("logistic_regression"), learner("decision_tree", max_depth=4), learner("random_forest")]
 
 
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    grid = expand_grid({"C": [0.01, 1.0], "class_weight": [None, "balanced"]})
-    return cross_validated_search(training(spark, folder), learner("logistic_regression"), grid)[2]
+    return cross_validated_search(training(spark, folder), learner("logistic_regression"), expand_grid(GRIDS["logistic_regression"]))[2]
 
 
 def random_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -576,7 +574,7 @@ def stack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stack_mlp(spark: SparkSession, folder: str) -> DataFrame:
-    meta = meta_learner("mlp", "stack", max_iter=30)
+    meta = meta_learner("mlp", "stack")
     model = fit_stack(training(spark, folder), _bases(), meta)
     return score_with(model, "stack", held_out(spark, folder), ["key", "label"])
 
@@ -593,7 +591,7 @@ def model_vote(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_importance(spark: SparkSession, folder: str) -> DataFrame:
-    model = learner("random_forest", n_estimators=20, max_depth=5).fit(training(spark, folder))
+    model = learner("random_forest").fit(training(spark, folder))
     return importance_table(model, prepared(spark, folder).names, spark)
 
 
@@ -627,15 +625,55 @@ def final_train(spark: SparkSession, folder: str) -> DataFrame:
     return score(train_final(prepared(spark, folder)).scorer, history(spark, folder))
 
 
+# Long runs that more than one query reads.
+FINAL, SPACE, ADAPTIVE = (
+    stored(name, build)
+    for name, build in (
+        ("final_train", lambda spark, folder: final_train(spark, folder)),
+        ("space_search", lambda spark, folder: space_search(spark, folder)),
+        ("adaptive_search", lambda spark, folder: adaptive_search(spark, folder)),
+    )
+)
+
+
+def adaptive_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Thirty points of the whole space, in rungs of more and more rounds."""
+    points = draw_from_space(SPACES["lightgbm"], 30)
+    return halving_search(training(spark, folder), learner("lightgbm"), points)[2]
+
+
+# Yes-or-no columns whose splits SQL can list.
+FLAGS = {
+    "has_kids": "Kidhome > 0", "many_teens": "Teenhome > 1", "long_ago": "Recency > 30", "young": "Year_Birth > 1975",
+    "web": "NumWebPurchases > 2", "complained": "Complain > 0", **{c.lower(): f"{c} > 0" for c in S.CAMPAIGNS},
+}
+TREE = {"n_estimators": 1, "max_depth": 2, "reg_lambda": 1.0, "learning_rate": 0.3}
+
+
+def boost_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of one second-order tree of two levels over the flags: (path, rows, flag, gain, value)."""
+    flags = F.array(*[F.coalesce(F.expr(f"cast({x} as double)"), F.lit(0.0)) for x in FLAGS.values()])
+    rows = wide(spark, folder).select(F.col(S.KEY).alias("key"), F.col(S.LABEL).cast("double").alias("label"), array_to_vector(flags).alias("features"))
+    model = learner("xgboost", **TREE).fit(rows)
+    tree, names, paths = model.stages[-1].ensemble()[1].trees[0], list(FLAGS), {0: ""}
+    out = []
+    for node in range(len(tree.feature)):
+        inner = tree.feature[node] >= 0
+        if inner:
+            paths |= {int(tree.left[node]): paths[node] + "n", int(tree.right[node]): paths[node] + "y"}
+        out.append((paths[node], int(tree.rows[node]), names[tree.feature[node]] if inner else None, float(tree.gain[node]), float(tree.value[node])))
+    return spark.createDataFrame(out, "path string, rows long, flag string, gain double, value double")
+
+
 def subset_model(spark: SparkSession, folder: str) -> DataFrame:
     """The best vote of the base models, refitted on all rows and applied to the raw records."""
-    done = choose_subset(prepared(spark, folder), [*_bases(), learner("lightgbm", **FEW_TREES)])
+    done = choose_subset(prepared(spark, folder), [*_bases(), learner("lightgbm")])
     return score(done.scorer, history(spark, folder))
 
 
 def weight_model(spark: SparkSession, folder: str) -> DataFrame:
     """The best weighted pair, refitted on all rows and applied to the raw records."""
-    first, second = learner("svm", kernel="linear"), learner("lightgbm", **FEW_TREES)
+    first, second = learner("svm"), learner("lightgbm")
     return score(choose_weight(prepared(spark, folder), first, second).scorer, history(spark, folder))
 
 
@@ -748,17 +786,19 @@ def _queries() -> dict[str, Query]:
         "subset_search": lambda s, d: subset_search(_wide_scores(s, d), MODELS),
         "best_subset": best_vote,
         "lr": fitted("logistic_regression", class_weight="balanced"),
-        "rf": fitted("random_forest", n_estimators=20, max_depth=5),
-        "gbt": fitted("gradient_boosting", n_estimators=10, max_depth=3),
-        "xgb_preset": fitted("xgboost", scale_pos_weight="balanced", colsample_bytree=0.8, **FEW_TREES),
+        "rf": fitted("random_forest"),
+        "gbt": fitted("gradient_boosting"),
+        "xgb_preset": fitted("xgboost", scale_pos_weight="balanced", colsample_bytree=0.8),
         "dt": fitted("decision_tree", max_depth=5, criterion="entropy"),
         "svc_linear": fitted("svm", kernel="linear"),
-        "svc_rbf": fitted("svm", kernel="rbf", dims=64),
+        "svc_rbf": fitted("svm", kernel="rbf"),
         "knn_model": fitted("knn", n_neighbors=7),
-        "mlp": fitted("mlp", max_iter=30),
+        "mlp": fitted("mlp"),
         "grid_search": grid_search,
         "random_search": random_search,
-        "space_search": space_search,
+        "space_search": SPACE,
+        "adaptive_search": ADAPTIVE,
+        "boost_levels": boost_levels,
         "benchmark": model_benchmark,
         "model_oof": model_oof,
         "cv_oversampled": cv_oversampled,
@@ -774,7 +814,7 @@ def _queries() -> dict[str, Query]:
         "subset_model": subset_model,
         "weight_model": weight_model,
         "feature_choice": feature_choice,
-        "final_train": final_train,
+        "final_train": FINAL,
         "prediction_summary": lambda s, d: M.prediction_summary(scores(s, d)),
     }
 

@@ -7,14 +7,17 @@ list, and that a logistic regression has no slope left. Each query fits its mode
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buyerscope.models.learners import learner, probability
+from buyerscope.models.boosting import NO_FOLD
+from buyerscope.models.learners import GRIDS, learner, probability
+from buyerscope.models.linear import Model, fit_models, linear_plan, linear_rows
 from buyerscope.models.stacking import fit_vote
-from buyerscope.models.validation import out_of_fold
+from buyerscope.models.validation import SPACES, draw_from_space, expand_grid, out_of_fold
 from buyerscope.plans import catalog
 from buyerscope.plans.oracles import md5_order, part, sql
 
@@ -86,6 +89,36 @@ def lr_slope(spark: SparkSession, folder: str) -> DataFrame:
     return slopes.agg(F.sum((F.abs("slope") > TOLERANCE).cast("long")).alias("n_sloped"))
 
 
+def lr_grid_slopes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for every candidate of the grid, all fitted side by side: (params, n_sloped)."""
+    grid = expand_grid(GRIDS["logistic_regression"])
+    rows = linear_rows(catalog.training(spark, folder))
+    models = [Model(replace(linear_plan("logistic_regression", c), tol=1e-9)) for c in grid]
+    fitted, design = fit_models(rows, models), rows.design(models[0].plan, NO_FOLD)
+    x = F.transform("x", lambda v, j: (v - F.get(F.array(*map(F.lit, design.mean.tolist())), j)) * F.get(F.array(*map(F.lit, design.scale.tolist())), j))
+    each = []
+    for c, m, found in zip(grid, models, fitted, strict=True):
+        no, yes = rows.classes(m.plan, NO_FOLD)
+        own = [t / m.plan.c for t in found["theta"][:-1]] + [found["theta"][-1] / m.plan.c if m.plan.intercept_too else 0.0]
+        each.append(F.struct(F.lit(json.dumps(c, sort_keys=True)).alias("params"), F.array(*map(F.lit, found["theta"])).alias("theta"),
+                             F.lit(no).alias("no"), F.lit(yes).alias("yes"), F.array(*map(F.lit, own)).alias("own")))
+    wide = rows.table.select("label", F.concat(x, F.array(F.lit(1.0))).alias("z"), F.explode(F.array(*each)).alias("m"))
+    margin = F.aggregate(F.zip_with("z", "m.theta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    rest = (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("label")) * F.when(F.col("label") == 1, F.col("m.yes")).otherwise(F.col("m.no"))
+    cells = wide.select(F.col("m.params").alias("params"), F.col("m.own").alias("own"), rest.alias("rest"), F.posexplode("z").alias("j", "v"))
+    slopes = cells.groupBy("params", "j", F.get("own", F.col("j")).alias("own")).agg(F.sum(F.col("rest") * F.col("v")).alias("s"))
+    return slopes.groupBy("params").agg(F.sum((F.abs(F.col("s") + F.col("own")) > TOLERANCE).cast("long")).alias("n_sloped"))
+
+
+def tree_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves of a decision tree whose score is not the share of class 1 among their training rows, and rows that no leaf has."""
+    train = catalog.training(spark, folder)
+    scored = learner("decision_tree", "t", max_depth=6).fit(train).transform(train).select("label", probability("t").alias("p"))
+    leaves = scored.groupBy("p").agg(F.avg("label").alias("share"), F.count("*").alias("n"))
+    wrong = (F.abs(F.col("p") - F.col("share")) > 1e-9).cast("long")
+    return leaves.agg(F.sum(wrong).alias("n_wrong"), F.sum("n").alias("n_rows"))
+
+
 def importance_total(spark: SparkSession, folder: str) -> DataFrame:
     """Importances are shares: they sum to 1, none is negative, and no feature is listed twice."""
     table = catalog.model_importance(spark, folder)
@@ -112,7 +145,11 @@ def queries() -> dict[str, catalog.Query]:
         "oof_rows": oof_rows,
         "vote_mean": vote_mean,
         "lr_slope": lr_slope,
+        "lr_grid_slopes": lr_grid_slopes,
+        "tree_leaves": tree_leaves,
         "importance_total": importance_total,
+        "space_search_candidates": candidates("space_search"),
+        "adaptive_search_candidates": candidates("adaptive_search"),
         "grid_search_candidates": candidates("grid_search"),
         "random_search_candidates": candidates("random_search"),
     }
@@ -132,13 +169,13 @@ def oracle_sql() -> dict[str, str]:
         "trained",
         ["c360", "quotas"],
         f"""SELECT ID, Target, fold FROM (SELECT ID, Target, quota,
-        CAST((ROW_NUMBER() OVER (ORDER BY Target, {md5_order('ID', 42)}, ID) - 1) % 3 AS INTEGER) AS fold,
+        CAST((ROW_NUMBER() OVER (ORDER BY Target, {md5_order('ID', 42)}, ID) - 1) % 5 AS INTEGER) AS fold,
         ROW_NUMBER() OVER (PARTITION BY Target ORDER BY {md5_order('ID', 42)}, ID) AS place
         FROM c360 JOIN quotas ON Target = t) WHERE place > quota""",
     )
     models = " UNION ALL ".join(f"SELECT '{m}' AS model" for m in ("logistic_regression", "decision_tree", "random_forest"))
     everyone = "SELECT COUNT(*) AS n, COUNT(DISTINCT ID) AS n_keys, COUNT(*) AS n_valid, TRUE AS parted FROM c360"
-    grid = [{"C": c, "class_weight": w} for c in (0.01, 1.0) for w in (None, "balanced")]
+    grid = expand_grid(GRIDS["logistic_regression"])
     draws = [
         {"criterion": c, "max_depth": d, "min_samples_split": s} for c in ("gini", "entropy") for d in (3, 5) for s in (2, 10)
     ]
@@ -152,6 +189,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "vote_mean": sql(["quotas"], "SELECT CAST(t AS DOUBLE) AS label, quota AS n_equal FROM quotas"),
         "lr_slope": "SELECT CAST(0 AS BIGINT) AS n_sloped",
+        "lr_grid_slopes": f"SELECT params, CAST(0 AS BIGINT) AS n_sloped FROM ({_listed(grid)})",
+        "tree_leaves": sql(["trained"], "SELECT CAST(0 AS BIGINT) AS n_wrong, COUNT(*) AS n_rows FROM trained"),
+        "space_search_candidates": _listed(draw_from_space(SPACES["catboost"], 30)),
+        "adaptive_search_candidates": _listed(draw_from_space(SPACES["lightgbm"], 30)),
         "importance_total": "SELECT 1.0::DOUBLE AS total, CAST(0 AS BIGINT) AS n_negative, CAST(0 AS BIGINT) AS n_repeated",
         "grid_search_candidates": _listed(grid),
         "random_search_candidates": _listed(draws),

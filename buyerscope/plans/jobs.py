@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -20,7 +20,7 @@ from buyerscope.models.learners import GRIDS, AtThreshold, Learner
 from buyerscope.models.selection import importance_table, linear_attribution, top_features
 from buyerscope.models.stacking import fit_stack, join_vote, meta_learner
 from buyerscope.models.validation import (
-    PARALLELISM, SPACES, cross_validated_search, draw_from_space, expand_grid, in_parallel, out_of_fold, score_with,
+    PARALLELISM, SPACES, cross_validated_search, draw_from_space, expand_grid, halving_search, in_parallel, out_of_fold, score_with,
 )
 from buyerscope.operators import ensemble as E
 from buyerscope.operators import metrics as M
@@ -160,6 +160,10 @@ def benchmark(
 # --- final training --------------------------------------------------------------------------------
 
 
+# (rows, learner, candidates) -> (best model, its parameters, table of candidates)
+Search = Callable[[DataFrame, Learner, list[dict[str, Any]]], tuple[PipelineModel, dict[str, Any], DataFrame]]
+
+
 @dataclass
 class Trained:
     """A scorer over raw rows, its threshold, the features it uses and its out-of-fold scores."""
@@ -191,21 +195,24 @@ def train_final(
     folds: int = 5,
     seed: int = 42,
     parallelism: int = PARALLELISM,
+    search: Search = halving_search,
 ) -> Trained:
     """Search, select features, oversample, stack, vote and tune the threshold.
 
+    ``search`` finds the parameters of each base among ``trials`` points of its space: adaptively in rungs, or every point in full with
+    ``cross_validated_search``.
+
     The vote is 0.6 stack, 0.2 for each of the first two base models. The threshold comes from
     out-of-fold scores of models trained on oversampled folds; the model that is returned is
     fitted on all rows.
     """
     spaces = spaces or SPACES
     df = write_once(stratified_folds(prepared.train, "key", "label", folds, seed), "final_train")
-    best: dict[str, dict[str, Any]] = {}
-    for kind, space in spaces.items():
-        base = Learner(kind=kind, name=kind, seed=seed)
-        _, best[kind], _ = cross_validated_search(
-            df, base, draw_from_space(space, trials, seed), parallelism=parallelism
-        )
+    # Searches, and later the ensembles of the folds, run side by side: the long last trials of one leave room for the others.
+    found = in_parallel(
+        [lambda k=k, x=x: search(df, Learner(kind=k, name=k, seed=seed), draw_from_space(x, trials, seed)) for k, x in spaces.items()], parallelism
+    )
+    best = {kind: params for kind, (_, params, _) in zip(spaces, found)}
     names, stages = prepared.names, list(prepared.stages)
     used = "chosen" if select else "features"
     if select:
@@ -226,17 +233,14 @@ def train_final(
         stack = fit_stack(grown, bases, meta, "key", "label", "_inner", parallelism)
         return join_vote([stack], ["stack", *list(best)[:2]], [0.6, 0.2, 0.2])
 
-    parts = None
-    for f in range(folds) if calibrate else ():
-        model = ensemble(df.where(F.col("fold") != f))
-        part = score_with(model, "vote", df.where(F.col("fold") == f), ["key", "label", "fold"])
-        parts = part if parts is None else parts.unionByName(part)
-    final = ensemble(df)
-    if parts is None:
-        scores, threshold = score_with(final, "vote", df, ["key", "label", "fold"]), 0.5
-    else:
-        scores = write_once(parts, "final_scores")
+    outside = list(range(folds)) if calibrate else []
+    *fold_models, final = in_parallel([lambda f=f: ensemble(df.where(F.col("fold") != f)) for f in outside] + [lambda: ensemble(df)], parallelism + 2)
+    if calibrate:
+        parts = [score_with(m, "vote", df.where(F.col("fold") == f), ["key", "label", "fold"]) for f, m in zip(outside, fold_models)]
+        scores = write_once(reduce(DataFrame.unionByName, parts), "final_scores")
         threshold = float(M.cv_threshold(scores).first()["threshold"])
+    else:
+        scores, threshold = score_with(final, "vote", df, ["key", "label", "fold"]), 0.5
     scorer = PipelineModel([*stages, final, AtThreshold(name="vote", threshold=threshold)])
     return Trained(scorer, threshold, names, scores)
 

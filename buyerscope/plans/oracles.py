@@ -863,9 +863,36 @@ def subset_areas() -> str:
     return f"SELECT position, models, {r6('auc', 'roc_auc')} FROM ({auc_by_ranks('ss', ['position', 'models'])})"
 
 
+def boost_levels_sql(flags: dict[str, str], rate: float = 0.3, l2: float = 1.0, least: float = 1.0) -> str:
+    """One second-order tree of two levels over yes-or-no columns, from the closed forms of gain and leaf weight at probability one half."""
+    listed = ", ".join(f"COALESCE(CAST({x} AS INTEGER), 0) AS f{j}" for j, x in enumerate(flags.values()))
+    long = " UNION ALL ".join(f"SELECT ID, path, g, {j} AS j, f{j} AS v FROM at" for j in range(len(flags)))
+    names = "CASE j " + " ".join(f"WHEN {j} THEN '{n}'" for j, n in enumerate(flags)) + " END"
+    value = "CASE j " + " ".join(f"WHEN {j} THEN f{j}" for j in range(len(flags))) + " END"
+
+    def worth(g: str, h: str) -> str:
+        return f"POW({g}, 2) / ({h} + {l2}::DOUBLE)"
+
+    def best(rows: str) -> str:
+        """The best split of each node of ``rows``, the first flag on ties."""
+        return f"""SELECT path, j, gain FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY path ORDER BY gain DESC, j) AS place FROM (
+        SELECT path, j, {worth('SUM(g) FILTER (v = 0)', 'COUNT(*) FILTER (v = 0) * 0.25::DOUBLE')}
+        + {worth('SUM(g) FILTER (v = 1)', 'COUNT(*) FILTER (v = 1) * 0.25::DOUBLE')} - {worth('SUM(g)', 'COUNT(*) * 0.25::DOUBLE')} AS gain
+        FROM ({long.replace('FROM at', f'FROM {rows}')}) GROUP BY path, j
+        HAVING COUNT(*) FILTER (v = 0) * 0.25 >= {least} AND COUNT(*) FILTER (v = 1) * 0.25 >= {least}) WHERE gain > 1e-9) WHERE place = 1"""
+
+    return sql(["c360"], f"""SELECT path, rows, {names} AS flag, {r6('COALESCE(gain, 0)', 'gain')}, {r6('value', 'value')} FROM (
+        WITH r0 AS (SELECT ID, '' AS path, 0.5::DOUBLE - Target AS g, {listed} FROM c360), b0 AS ({best('r0')}),
+        r1 AS (SELECT r0.* REPLACE (CASE WHEN {value} = 1 THEN 'y' ELSE 'n' END AS path) FROM r0, b0), b1 AS ({best('r1')}),
+        r2 AS (SELECT r1.* REPLACE (r1.path || CASE WHEN {value} = 1 THEN 'y' ELSE 'n' END AS path) FROM r1 JOIN b1 ON r1.path = b1.path)
+        SELECT s.path, s.n AS rows, b.j, b.gain, -{rate}::DOUBLE * s.g / (s.n * 0.25::DOUBLE + {l2}) AS value FROM (
+        SELECT path, COUNT(*) AS n, SUM(g) AS g FROM (SELECT path, g FROM r0 UNION ALL SELECT path, g FROM r1 UNION ALL SELECT path, g FROM r2)
+        GROUP BY path) s LEFT JOIN (SELECT * FROM b0 UNION ALL SELECT * FROM b1) b ON s.path = b.path)""")
+
+
 def oracle_sql() -> dict[str, str]:
     """{query name: DuckDB statement}."""
-    from buyerscope.plans.catalog import RFM_SETS
+    from buyerscope.plans.catalog import FLAGS, RFM_SETS
 
     before = f"o_orderdate < TIMESTAMP '{CUTOFF}'"
     c360_out = ", ".join(
@@ -1116,6 +1143,7 @@ def oracle_sql() -> dict[str, str]:
     out["knn_classify"] = knn_vote("uniform", 2)
     out["knn_classify_distance"] = knn_vote("distance", 1)
     out["smote"] = smote_query()
+    out["boost_levels"] = boost_levels_sql(FLAGS)
     out["soft_vote"] = vote({"recent": 1.0, "often": 1.0, "noise": 1.0})
     out["weighted_vote"] = vote({"recent": 0.6, "often": 0.2, "noise": 0.2})
     areas, groups = weight_areas(), subset_areas()

@@ -5,6 +5,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from buyerscope.models import validation
 from buyerscope.models.learners import AtThreshold, FourierFeatures, Learner, PopulationScaler, learner
 from buyerscope.models.selection import (
     importance_table, linear_attribution, permutation_importance, recursive_elimination, top_features,
@@ -164,11 +165,12 @@ def test_importance_and_selection(spark, data):
 
 
 def test_candidates_that_are_one_model_are_fitted_once(data, monkeypatch):
+    """Solvers that reach the same solution share a model; liblinear, which penalizes the intercept too, has its own."""
     counted = []
-    grid = [{"C": c, "solver": s} for c in (0.1, 1.0) for s in ("liblinear", "saga")]
-    real = Learner._fit
-    monkeypatch.setattr(Learner, "_fit", lambda self, df: counted.append(1) or real(self, df))
+    grid = [{"C": c, "solver": s} for c in (0.1, 1.0) for s in ("lbfgs", "saga", "liblinear")]
+    real = validation.held_out_linear
+    monkeypatch.setattr(validation, "held_out_linear", lambda rows, models, names: counted.append(len(models)) or real(rows, models, names))
     _, params, table = cross_validated_search(data, learner("logistic_regression", "t"), grid)
     rows = {r["candidate"]: r["mean_auc"] for r in table.collect()}
-    assert rows[0] == rows[1] and rows[2] == rows[3] and params["solver"] == "liblinear"
-    assert len(counted) == 2 * 3 + 1
+    assert rows[0] == rows[1] and rows[3] == rows[4] and len(rows) == 6
+    assert counted == [4 * 3] and rows[grid.index(params)] == max(rows.values())
