@@ -1,8 +1,12 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Every tree splits the vectors again and again at the median of a random projection; vectors near a split go to both sides
-(spill). Vectors that meet in a leaf of any tree are compared exactly, and each pair is counted in the first leaf it shares.
-A pair is missed only if every tree parts it: for two vectors at the threshold that is below 1e-8 with the defaults.
+Every tree splits the vectors again and again by a random projection; vectors near a split go to both sides (spill). A node tries a
+few directions and cuts and takes the cut with the least of its sample nearby, so that dense groups are rarely cut through, and it is
+not split at all where its spread is no wider than that of linked pairs. Vectors that meet in a leaf of any tree are compared exactly, and
+each pair is counted in the first leaf it shares.
+
+A pair is missed only if every tree parts it. The number of trees follows from the share of pairs at the threshold that each tree is
+measured to part around every vector of the sample (``MISS``).
 """
 
 from __future__ import annotations
@@ -19,48 +23,106 @@ from buyerscope.llm.common import share, table
 from buyerscope.llm.components import connected_components, merge_links
 from buyerscope.storage import write_once
 
-TREES = 10
 LEAF_ROWS = 1_024  # rows a leaf should hold
 BLOCK_ROWS = 2_048  # leaves above this are compared block by block in several tasks
 SAMPLE_ROWS = (8_192, 262_144)  # bounds of the sample that fits the splits; one row in 64 in between
+SAMPLE_BYTES = 1 << 28  # the sample is smaller where vectors are long
 NODE_SAMPLE = 32  # a node with fewer sample rows is not split
 SPILL = 0.5  # margin on either side of a split, in standard deviations of a threshold pair's projected difference
+LEAST_SPREAD = 1.5  # spread, in the same unit, below which a node is not split
+DIRECTIONS = 4  # directions that the nodes of one level choose from
+CUTS = (0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65)  # quantiles a cut may lie at
+MISS = 1e-10  # share of threshold pairs that all trees together may part, as measured
+TREES = (8, 64)  # bounds of the number of trees
+PROBES = 4_096  # sample vectors around which the parted share is measured
+PARTNERS = 8  # pairs at the threshold per probe and tree
 
 
 class Tree:
-    """Splits of one tree over unit vectors: node -> (direction, threshold); children of n are 2n + 1 and 2n + 2."""
+    """Splits of one tree over unit vectors: node -> (direction, cut); children of n are 2n + 1 and 2n + 2.
+
+    All nodes of a level choose among the same few random directions, so a tree keeps a seed and two numbers per node.
+    """
 
-    def __init__(self, sample: np.ndarray, depth: int, margin: float, seed: int):
-        self.margin, self.splits = margin, {}
-        rng = np.random.default_rng(seed)
-        todo = [(0, sample, 0)]
+    def __init__(self, sample: np.ndarray, depth: int, unit: float, seed: int):
+        self.depth, self.unit, self.seed, self.dim, self.splits = depth, unit, seed, sample.shape[1], {}
+        self.margin = SPILL * unit
+        spread = self.project(sample)
+        todo = [(0, np.arange(len(sample)), 0)]
         while todo:
             node, rows, level = todo.pop()
             if level == depth or len(rows) < NODE_SAMPLE:
                 continue
-            direction = rng.standard_normal(sample.shape[1])
-            direction /= np.linalg.norm(direction)
-            spread = rows @ direction
-            cut = float(np.median(spread))
-            self.splits[node] = (direction, cut)
-            for child, part in ((2 * node + 1, spread <= cut + margin), (2 * node + 2, spread >= cut - margin)):
+            best = None
+            for k in range(level * DIRECTIONS, (level + 1) * DIRECTIONS):
+                values = np.sort(spread[rows, k])
+                if values.std() < LEAST_SPREAD * unit:
+                    continue
+                for q in CUTS:
+                    cut = float(values[int(q * (len(values) - 1))])
+                    near = np.searchsorted(values, cut + unit, "right") - np.searchsorted(values, cut - unit, "left")
+                    if best is None or near < best[0]:
+                        best = (near, k, cut)
+            if best is None:
+                continue
+            _, k, cut = best
+            self.splits[node] = (k, cut)
+            for child, part in ((2 * node + 1, spread[rows, k] <= cut + self.margin), (2 * node + 2, spread[rows, k] >= cut - self.margin)):
                 if part.sum() < len(rows):  # else the split parts nothing
                     todo.append((child, rows[part], level + 1))
 
+    def project(self, vectors: np.ndarray) -> np.ndarray:
+        directions = np.random.default_rng([self.seed, self.dim]).standard_normal((self.dim, max(self.depth, 1) * DIRECTIONS))
+        return vectors @ (directions / np.linalg.norm(directions, axis=0))
+
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that a row reaches."""
+        spread = self.project(vectors)
         out, todo = [], [(0, np.arange(len(vectors)))]
         while todo:
             node, rows = todo.pop()
             if node not in self.splits or not len(rows):
                 out.append((rows, np.full(len(rows), node, dtype=np.int64)))
                 continue
-            direction, cut = self.splits[node]
-            spread = vectors[rows] @ direction
-            todo.append((2 * node + 1, rows[spread <= cut + self.margin]))
-            todo.append((2 * node + 2, rows[spread >= cut - self.margin]))
+            k, cut = self.splits[node]
+            todo.append((2 * node + 1, rows[spread[rows, k] <= cut + self.margin]))
+            todo.append((2 * node + 2, rows[spread[rows, k] >= cut - self.margin]))
         return np.concatenate([r for r, _ in out]), np.concatenate([n for _, n in out])
 
+    def parts(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs of rows share no leaf."""
+        one, two = (set(zip(*map(np.ndarray.tolist, self.leaves(x)), strict=True)) for x in (left, right))
+        out = np.ones(len(left), dtype=bool)
+        out[[r for r, _ in one & two]] = False
+        return out
+
+
+def grow_forest(sample: np.ndarray, depth: int, threshold: float) -> list[Tree]:
+    """Trees until the measured share of missed threshold pairs is at most ``MISS``.
+
+    Around each probe, made-up vectors at exactly the threshold count how often a tree parts such a pair there; a pair is missed if all
+    trees part it, so a probe's share goes down as a power with the number of trees. Probes in dense groups weigh most.
+    """
+    unit = float(np.sqrt((2 - 2 * threshold) / sample.shape[1]))
+    if depth == 0:
+        return [Tree(sample, 0, unit, 0)]
+    rng = np.random.default_rng(11)
+    probes = sample[rng.permutation(len(sample))[:PROBES]]
+    trees, parted = [], np.zeros(len(probes))
+    while len(trees) < TREES[1]:
+        trees.append(Tree(sample, depth, unit, len(trees)))
+        if len(trees) <= TREES[0]:
+            for _ in range(PARTNERS):
+                away = rng.standard_normal(probes.shape)
+                away -= (away * probes).sum(axis=1, keepdims=True) * probes
+                away /= np.linalg.norm(away, axis=1, keepdims=True)
+                parted += trees[-1].parts(probes, threshold * probes + np.sqrt(1 - threshold**2) * away)
+        # One more parted pair than seen, so that nothing counts as impossible.
+        share = (parted + 1) / (PARTNERS * min(len(trees), TREES[0]) + 1)
+        if len(trees) >= TREES[0] and (share ** len(trees)).mean() <= MISS:
+            break
+    return trees
+
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -70,19 +132,23 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def fit_forest(vectors: DataFrame, threshold: float, n_rows: int, trees: int = TREES) -> dict[int, list[Tree]]:
-    """Trees per number of dimensions, fitted on a bounded sample (lowest hashes of the vectors)."""
-    size = min(max(SAMPLE_ROWS[0], n_rows // 64), SAMPLE_ROWS[1])
+def fit_forest(vectors: DataFrame, threshold: float, n_rows: int) -> dict[int, list[Tree]]:
+    """Trees per number of dimensions, fitted on a sample (lowest hashes of the vectors) that is bounded in rows and bytes."""
+    longest = vectors.agg(F.max(F.size("vector"))).first()[0]
+    size = max(1, min(max(SAMPLE_ROWS[0], n_rows // 64), SAMPLE_ROWS[1], SAMPLE_BYTES // (8 * longest)))
     picked = vectors.select("vector").orderBy(F.xxhash64("vector")).limit(size).toPandas()["vector"]
     depth = max(0, int(np.ceil(np.log2(max(n_rows, 1) / LEAF_ROWS) * 1.25)))  # spill makes children larger than halves
     forest = {}
     for dim, rows in picked.groupby(picked.map(len)):
-        sample = _unit(np.stack(rows.to_numpy()).astype(np.float64))
-        margin = SPILL * np.sqrt((2 - 2 * threshold) / dim)
-        forest[int(dim)] = [Tree(sample, depth, margin, seed) for seed in range(trees)]
+        forest[int(dim)] = grow_forest(_unit(np.stack(rows.to_numpy()).astype(np.float64)), depth, threshold)
     return forest
 
 
+def _trees(forest: dict[int, list[Tree]], dim: int) -> list[Tree]:
+    """Trees for a number of dimensions; one that the sample does not know has a single leaf."""
+    return forest.get(dim) or [Tree(np.zeros((0, dim)), 0, 1.0, 0)]
+
+
 def _route(vectors: np.ndarray, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) over all trees, by row; a leaf's number is unique over the forest and grows with the tree."""
     rows, leaves = [], []
@@ -159,7 +225,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, vec_id: str = "vec_i
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, part in _by_dim(batch):
-                _, leaves = _route(_unit(_matrix(part.column("vector"), dim)), forest()[dim])
+                _, leaves = _route(_unit(_matrix(part.column("vector"), dim)), _trees(forest(), dim))
                 leaf, n = np.unique(leaves, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), dim)), pa.array(leaf), pa.array(n)], names=["dim", "leaf", "n"])
 
@@ -174,7 +240,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, vec_id: str = "vec_i
             for dim, part in _by_dim(batch):
                 for start in range(0, part.num_rows, 512):
                     piece = part.slice(start, 512)
-                    row, leaf = _route(_unit(_matrix(piece.column("vector"), dim)), forest()[dim])
+                    row, leaf = _route(_unit(_matrix(piece.column("vector"), dim)), _trees(forest(), dim))
                     bounds = np.searchsorted(row, np.arange(piece.num_rows + 1))
                     vid = piece.column("vid").to_numpy()
                     take, cell, one, two = [], [], [], []
