@@ -30,6 +30,7 @@ class _Bracket:
     low: float | None = None
     high: float | None = None
     value: float | None = None
+    name: str = ""
 
     def member(self) -> Column:
         keep = self.column.isNotNull()
@@ -80,7 +81,7 @@ def exact_quantiles(
                 elif rank >= n - nan - high:
                     fixed[name, rank] = math.inf
                 else:
-                    wanted[name, rank] = _Bracket(finite, rank - low, n - low - high - nan)
+                    wanted[name, rank] = _Bracket(finite, rank - low, n - low - high - nan, name=name)
     while wide := [b for b in wanted.values() if b.value is None and b.inside > bracket_rows]:
         _narrow(df, wide, accuracy)
     _pick(df, [b for b in wanted.values() if b.value is None])
@@ -98,22 +99,30 @@ def _between(values: dict[tuple[str, int], float], name: str, at: float) -> floa
     return a if first == last or a == b else (last - at) * a + (at - first) * b
 
 
+def _shared(brackets: list[_Bracket]) -> list[list[_Bracket]]:
+    """Brackets that are one interval of one column, together: a row meets the interval once, however many ranks lie in it."""
+    groups: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        groups.setdefault((b.name, b.low, b.high), []).append(b)
+    return list(groups.values())
+
+
 def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
-    """Shrink each bracket to the sketch's neighbourhood of its ranks, then count to check it."""
+    """Shrink each bracket to the sketch's neighbourhood of its ranks, then count to check it; one sketch per interval serves all its ranks."""
     slack = 2.0 / accuracy
-    sketch = df.agg(
+    groups = _shared(brackets)
+    brackets = [b for some in groups for b in some]
+
+    def ends(b: _Bracket) -> list[float]:
+        return [max(0.0, (b.rank - b.below) / b.inside - slack), min(1.0, (b.rank - b.below + 1) / b.inside + slack)]
+
+    found = df.agg(
         *[
-            F.percentile_approx(
-                F.when(b.member(), b.column),
-                [
-                    max(0.0, (b.rank - b.below) / b.inside - slack),
-                    min(1.0, (b.rank - b.below + 1) / b.inside + slack),
-                ],
-                accuracy,
-            ).alias(f"s{i}")
-            for i, b in enumerate(brackets)
+            F.percentile_approx(F.when(some[0].member(), some[0].column), [p for b in some for p in ends(b)], accuracy).alias(f"s{i}")
+            for i, some in enumerate(groups)
         ]
     ).first()
+    sketch = [(found[i][2 * k], found[i][2 * k + 1]) for i, some in enumerate(groups) for k in range(len(some))]
     counts = df.agg(
         *[
             c
@@ -159,14 +168,15 @@ def _halve(df: DataFrame, b: _Bracket) -> None:
 
 
 def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Value at each bracket's rank, from running counts over the distinct values of each bracket.
+    """Value at each bracket's rank, from running counts over the distinct values of each interval.
 
-    All brackets share one pass; each holds few rows by now and is sorted on its own.
+    All intervals share one pass and all ranks of an interval its running count; each holds few rows by now and is sorted on its own.
     """
     if not brackets:
         return
+    groups = _shared(brackets)
     cells = F.array(
-        *[F.struct(F.lit(i).alias("b"), F.when(b.member(), b.column).alias("v")) for i, b in enumerate(brackets)]
+        *[F.struct(F.lit(i).alias("b"), F.when(some[0].member(), some[0].column).alias("v")) for i, some in enumerate(groups)]
     )
     counts = (
         df.select(F.inline(cells)).where(F.col("v").isNotNull())
@@ -174,10 +184,17 @@ def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
     )
     order = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     running = counts.withColumn("upto", F.sum("n").over(order))
-    rank = F.get(F.array(*[F.lit(b.rank - b.below) for b in brackets]), F.col("b"))
-    found = running.groupBy("b").agg(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias("v"))
+
+    def rank(k: int) -> Column:
+        """The k-th rank of an interval, counted inside it; null where it has fewer."""
+        inside = [F.lit(some[k].rank - some[k].below if k < len(some) else None).cast("long") for some in groups]
+        return F.get(F.array(*inside), F.col("b"))
+
+    most = max(len(some) for some in groups)
+    found = running.groupBy("b").agg(*[F.min(F.when(F.col("upto") > rank(k), F.col("v"))).alias(f"v{k}") for k in range(most)])
     for r in found.collect():
-        brackets[r["b"]].value = float(r["v"])
+        for k, b in enumerate(groups[r["b"]]):
+            b.value = float(r[f"v{k}"])
 
 
 def medians(df: DataFrame, columns: Sequence[str], **options) -> dict[str, float | None]:
