@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,12 +42,13 @@ from buyerscope.operators.onehot import OneHot
 from buyerscope.operators.quantiles import exact_quantiles
 from buyerscope.operators.smote import oversample
 from buyerscope.operators.splits import down_sample, stratified_folds, stratified_split
-from buyerscope.operators.transform import FillMissing, PowerTransform, StandardScale
+from buyerscope.operators.transform import FillMissing, PowerTransform, StandardScale, column_transformer
 from buyerscope.sources.sinks import fill_template, prediction_table
 from buyerscope.sources.wide import CUTOFF, TABLES, customer_360, table
 from buyerscope.plans.jobs import (
     Prepared, balanced, benchmark, choose_subset, choose_weight, load_scorer, prepare, save_scorer, score, train_final,
 )
+from buyerscope.plans.tuned import TunedStack, lean_stack, raw_stack
 from buyerscope.storage import shared_root, write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -642,6 +643,24 @@ def adaptive_search(spark: SparkSession, folder: str) -> DataFrame:
     return halving_search(training(spark, folder), learner("lightgbm"), points)[2]
 
 
+def _tuned(build: Callable[[DataFrame], TunedStack]) -> Query:
+    """Out-of-fold scores of a tuned stack, one row per customer: (key, label, fold, model, p)."""
+    return lambda spark, folder: build(history(spark, folder)).scores
+
+
+LEAN_STACK = stored("lean_stack", _tuned(lambda rows: lean_stack(rows, as_of=CUTOFF)))
+RAW_STACK = stored("raw_stack", _tuned(lambda rows: raw_stack(rows, as_of_year=YEAR)))
+
+
+def column_transformed(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers imputed and scaled, texts imputed and encoded, read back from the vector that the transformer fills."""
+    rows = wide(spark, folder).select("ID", "Target", "Income", "Recency", "Education")
+    model = column_transformer(["Income", "Recency"], ["Education"]).fit(rows)
+    names = model.stages[-1].feature_names()
+    x = vector_to_array(F.col("features"))
+    return model.transform(rows).select("ID", *[x[i].alias(n) for i, n in enumerate(names)])
+
+
 # Yes-or-no columns whose splits SQL can list.
 FLAGS = {
     "has_kids": "Kidhome > 0", "many_teens": "Teenhome > 1", "long_ago": "Recency > 30", "young": "Year_Birth > 1975",
@@ -799,6 +818,9 @@ def _queries() -> dict[str, Query]:
         "space_search": SPACE,
         "adaptive_search": ADAPTIVE,
         "boost_levels": boost_levels,
+        "lean_stack": LEAN_STACK,
+        "raw_stack": RAW_STACK,
+        "column_transformed": column_transformed,
         "benchmark": model_benchmark,
         "model_oof": model_oof,
         "cv_oversampled": cv_oversampled,

@@ -65,6 +65,11 @@ def oof_rows(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("model", "fold", "label").agg(*_counts())
 
 
+def stack_rows(name: str) -> catalog.Query:
+    """Every customer is scored once by the whole stack, in its own fold."""
+    return lambda spark, folder: catalog.queries()[name](spark, folder).groupBy("model", "fold", "label").agg(*_counts())
+
+
 def vote_mean(spark: SparkSession, folder: str) -> DataFrame:
     """Rows whose vote is the weighted mean of its members' scores."""
     weights = {"logistic_regression": 0.6, "decision_tree": 0.2, "random_forest": 0.2}
@@ -143,6 +148,8 @@ def queries() -> dict[str, catalog.Query]:
         **{f"{name}_rows": scored(name) for name in SCORED},
         **{f"{name}_rows": decided(name) for name in DECIDED},
         "oof_rows": oof_rows,
+        "lean_stack_rows": stack_rows("lean_stack"),
+        "raw_stack_rows": stack_rows("raw_stack"),
         "vote_mean": vote_mean,
         "lr_slope": lr_slope,
         "lr_grid_slopes": lr_grid_slopes,
@@ -187,6 +194,8 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT model, fold, CAST(Target AS DOUBLE) AS label, COUNT(*) AS n, COUNT(DISTINCT ID) AS n_keys, COUNT(*) AS n_valid
             FROM trained, ({models}) GROUP BY ALL""",
         ),
+        **{f"{name}_rows": sql(["folds"], """SELECT 'stack' AS model, fold, CAST(Target AS DOUBLE) AS label, COUNT(*) AS n,
+            COUNT(DISTINCT ID) AS n_keys, COUNT(*) AS n_valid FROM folds GROUP BY ALL""") for name in ("lean_stack", "raw_stack")},
         "vote_mean": sql(["quotas"], "SELECT CAST(t AS DOUBLE) AS label, quota AS n_equal FROM quotas"),
         "lr_slope": "SELECT CAST(0 AS BIGINT) AS n_sloped",
         "lr_grid_slopes": f"SELECT params, CAST(0 AS BIGINT) AS n_sloped FROM ({_listed(grid)})",

@@ -893,6 +893,7 @@ def boost_levels_sql(flags: dict[str, str], rate: float = 0.3, l2: float = 1.0,
 def oracle_sql() -> dict[str, str]:
     """{query name: DuckDB statement}."""
     from buyerscope.plans.catalog import FLAGS, RFM_SETS
+    from buyerscope.schema import EDUCATION_ORDER
 
     before = f"o_orderdate < TIMESTAMP '{CUTOFF}'"
     c360_out = ", ".join(
@@ -1144,6 +1145,11 @@ def oracle_sql() -> dict[str, str]:
     out["knn_classify_distance"] = knn_vote("distance", 1)
     out["smote"] = smote_query()
     out["boost_levels"] = boost_levels_sql(FLAGS)
+    filled = """SELECT ID, COALESCE(CAST(Income AS DOUBLE), (SELECT median(Income) FROM c360)) AS Income, CAST(Recency AS DOUBLE) AS Recency,
+        Education FROM c360"""
+    levels = ", ".join(f"CASE WHEN Education = '{e}' THEN 1.0::DOUBLE ELSE 0.0 END AS \"Education_{e}\"" for e in sorted(EDUCATION_ORDER))
+    out["column_transformed"] = sql(["c360"], f"""SELECT ID, {r6('(Income - mi) / si', 'Income')}, {r6('(Recency - mr) / sr', 'Recency')}, {levels}
+        FROM ({filled}), (SELECT AVG(Income) AS mi, STDDEV_POP(Income) AS si, AVG(Recency) AS mr, STDDEV_POP(Recency) AS sr FROM ({filled}))""")
     out["soft_vote"] = vote({"recent": 1.0, "often": 1.0, "noise": 1.0})
     out["weighted_vote"] = vote({"recent": 0.6, "often": 0.2, "noise": 0.2})
     areas, groups = weight_areas(), subset_areas()
