@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from buyerscope.llm.common import share, table, worker_cache
+from buyerscope.llm.common import free_names, share, table, worker_cache
 from buyerscope.storage import write_once
 
 ORDER = 4
@@ -386,84 +386,119 @@ def chunk_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def fit(labelled: DataFrame) -> StoredModel | None:
-    """Models from ``lang, text`` rows (null in either is ignored); None if there is nothing to learn.
+def learn(labelled: DataFrame) -> StoredModel | None:
+    """Models without limits from ``lang, text`` rows (null in either is ignored); None if there is nothing to learn.
 
     All texts are counted, and the models hold every n-gram.
     """
-    rows = labelled.select("lang", "text").dropna()
-    entries, constants = model_entries(write_once(count_grams(rows), "grams"))
-    if not constants:
-        return None
-    model = StoredModel(entries, constants)
-    calibrate(model, rows)
+    entries, constants = model_entries(write_once(count_grams(labelled.select("lang", "text").dropna()), "grams"))
+    return StoredModel(entries, constants) if constants else None
+
+
+def fit(labelled: DataFrame) -> StoredModel | None:
+    """The same with rejection limits from all distinct texts of ``labelled``."""
+    model = learn(labelled)
+    if model is not None:
+        rows = labelled.select("lang", "text").dropna().distinct()
+        scored = score_rows(rows.withColumn("copy", F.xxhash64("text")), model, "text", ["lang", "copy"])
+        calibrate(model, scored, "lang", "copy")
     return model
 
 
-def calibrate(model: StoredModel, rows: DataFrame) -> None:
-    """Set the rejection limits from the cross-entropy of all distinct training texts, by language and length class."""
+def score_rows(docs: DataFrame, model: StoredModel, text: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of every row with ``totals`` (log probability in each language, in their order) and ``scored`` (characters)."""
+    names = [f"`{c}`" for c in keep]
+    read = free_names(docs.select(*names), "scored_text")[0]
+    rows = docs.select(*names, F.col(f"`{text}`").alias(read))
+    n_languages = len(model.constants)
+
+    def score(m: LanguageModel, batch: pa.RecordBatch, known: dict, matrix: list) -> pa.RecordBatch:
+        total, length = m.score_texts(batch.column(len(keep)).to_pylist(), known, matrix)
+        bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_languages)
+        new = [pa.ListArray.from_arrays(bounds, pa.array(total.ravel())), pa.array(length)]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*keep, *added])
+
+    added = free_names(rows, "totals", "scored")
+    schema = T.StructType([
+        *rows.schema.fields[: len(keep)], T.StructField(added[0], T.ArrayType(T.DoubleType())), T.StructField(added[1], T.LongType()),
+    ])
+    scored = model.apply(rows, read, score, schema)
+    return scored.select(*names, F.col(added[0]).alias("totals"), F.col(added[1]).alias("scored"))
+
+
+def calibrate(model: StoredModel, scored: DataFrame, lang: str, copy: str) -> None:
+    """Set the rejection limits from the cross-entropy of all distinct training texts, by language and length class.
+
+    ``scored`` holds totals and lengths of the training rows, their language, and a hash of the text: copies count once.
+    """
+    languages = sorted(model.constants)
+    own = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col(lang))
+    size = sum((F.when(F.col("scored") >= e, 1).otherwise(0) for e in LENGTH_EDGES), F.lit(0))
     # A language without a single letter in its texts has no model.
-    texts = rows.where(F.col("lang").isin(list(model.constants)))
-    if model.whole is None:
-        texts = texts.distinct()  # copies would share a chunk
-    texts = texts.withColumn("hash", F.xxhash64("text"))
-
-    def entropies(m: LanguageModel, batch: pa.RecordBatch, known: dict, matrix: list) -> pa.RecordBatch:
-        total, length = m.score_texts(batch.column(1).to_pylist(), known, matrix)
-        own = np.array([m.languages.index(x) for x in batch.column(0).to_pylist()], dtype=np.int64)
-        some = length > 0
-        entropy = -total[np.arange(len(own)), own][some] / length[some]
-        size = np.searchsorted(LENGTH_EDGES, length[some], side="right")
-        kept = [batch.column(i).filter(pa.array(some)) for i in (0, 2)]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(size), pa.array(entropy)], names=["lang", "hash", "size", "entropy"])
-
-    schema = T._parse_datatype_string("lang string, hash long, size long, entropy double")
-    scored = model.apply(texts, "text", entropies, schema)
-    # Copies of a text count once.
-    found = scored.groupBy("lang", "hash").agg(F.first("size").alias("size"), F.first("entropy").alias("entropy")).groupBy("lang", "size")
+    texts = scored.where(F.col(lang).isin(languages) & (F.col("scored") > 0)).select(
+        F.col(lang).alias("lang"), F.col(copy).alias("copy"), size.alias("size"),
+        (-F.get("totals", own.cast("int") - 1) / F.col("scored")).alias("entropy"),
+    )
+    found = texts.groupBy("lang", "copy").agg(F.first("size").alias("size"), F.first("entropy").alias("entropy")).groupBy("lang", "size")
     limits = found.agg(F.percentile_approx("entropy", REJECT_QUANTILE, 10_000).alias("q"), F.count("*").alias("n")).collect()
     model.set_limits({(r["lang"], r["size"]): (r["q"], r["n"]) for r in limits})
 
 
+ADDED = ["lang_pred", "score", "cross_entropy", "accepted"]
+
+
+def decide(scored: DataFrame, model: StoredModel) -> DataFrame:
+    """``scored`` with ``ADDED`` in place of totals and lengths; the limits are a small table of languages and length classes."""
+    languages = sorted(model.constants)
+    some, best = F.col("scored") > 0, F.array_max("totals")
+    place = (F.array_position("totals", best) - 1).cast("int")  # the first of equal ones
+    per = F.transform("totals", lambda x: F.exp((x - F.array_max("totals")) / F.greatest(F.col("scored"), F.lit(1)) * 8))
+    entropy = -best / F.greatest(F.col("scored"), F.lit(1))
+    size = sum((F.when(F.col("scored") >= e, 1).otherwise(0) for e in LENGTH_EDGES), F.lit(0))
+    limits = F.array(*[F.array(*[F.lit(float(x)) for x in model.limits[lang]]) for lang in languages])
+    columns = [F.col(f"`{c}`") for c in scored.columns if c not in ("totals", "scored")]
+    return scored.select(
+        *columns, F.when(some, F.get(F.array(*[F.lit(x) for x in languages]), place)).otherwise("und").alias("lang_pred"),
+        F.when(some, F.lit(1.0) / F.aggregate(per, F.lit(0.0), lambda s, x: s + x)).otherwise(0.0).alias("score"),
+        F.when(some, entropy).alias("cross_entropy"), (some & (entropy <= F.get(F.get(limits, place), size))).alias("accepted"),
+    )
+
+
+def _unknown(docs: DataFrame) -> DataFrame:
+    """No model: nothing is identified."""
+    return docs.withColumns(
+        {"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "accepted": F.lit(False)}
+    )
+
+
 def predict(docs: DataFrame, model: StoredModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred, score, cross_entropy, accepted`` (columns of these names are replaced).
+    """``docs`` with ``lang_pred, score, cross_entropy, accepted`` (columns of these names, and ``totals`` and ``scored``, are replaced).
 
     ``lang_pred`` is ``und`` (score 0, cross-entropy null, not accepted) if the text is null, empty or has no letter, or if nothing was
     learned. ``score`` is the winner's share of the probability over all languages, taken per word-sized stretch of the text; ties go to
-    the alphabetically first language. ``accepted`` is false if the cross-entropy exceeds the calibrated limit. Only the text is read.
+    the alphabetically first language. ``accepted`` is false if the cross-entropy exceeds the calibrated limit. Only the text is read, and
+    the whole of it, a part of its words at a time; rows are judged one by one, so repeated rows get equal results.
     """
-    added = ["lang_pred", "score", "cross_entropy", "accepted"]
-    base = docs.drop(*added)
-    if model is None:
-        return base.withColumns(
-            {"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "accepted": F.lit(False)}
-        )
-    position, base_names = base.columns.index(text), base.columns
-
-    def label(m: LanguageModel, batch: pa.RecordBatch, known: dict, matrix: list) -> pa.RecordBatch:
-        names = np.array([*m.languages, "und"], dtype=object)
-        total, length = m.score_texts(batch.column(position).to_pylist(), known, matrix)
-        best, some = total.argmax(axis=1), length > 0
-        per = total / np.maximum(length, 1)[:, None] * 8
-        share = 1 / np.exp(per - per.max(axis=1, keepdims=True)).sum(axis=1)
-        entropy = -total.max(axis=1) / np.maximum(length, 1)
-        limits = np.zeros(len(best))
-        for k in range(len(m.languages)):
-            limits[best == k] = m.limit(k, length[best == k])
-        new = [
-            pa.array(names[np.where(some, best, len(m.languages))], pa.string()), pa.array(np.where(some, share, 0.0)),
-            pa.array(entropy, mask=~some), pa.array(some & (entropy <= limits)),
-        ]
-        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*base_names, *added])
+    base = docs.drop(*ADDED, "totals", "scored")
+    return _unknown(base) if model is None else decide(score_rows(base, model, text, base.columns), model)
 
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string("lang_pred string, score double, cross_entropy double, accepted boolean").fields])
-    return model.apply(base, text, label, schema)
 
+def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Models learned from the labelled documents that are not held out, applied to all documents; columns ``keep`` (all by default).
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Models learned from the labelled documents that are not held out, applied to all documents."""
-    learned = docs.where(~held_out(F.col("doc_id"))).select("lang", "text")
-    return predict(docs, fit(learned))
+    Every text is scored once: the limits are taken from the written scores of the training rows.
+    """
+    base = docs.drop(*ADDED, "totals", "scored")
+    keep = [c for c in (base.columns if keep is None else keep) if c in base.columns]
+    teaching = ~held_out(F.col("doc_id"))
+    model = learn(base.where(teaching).select("lang", "text"))
+    if model is None:
+        return _unknown(base.select(*[F.col(f"`{c}`") for c in keep]))
+    lang, copy = free_names(base, "taught_lang", "taught_copy")
+    marked = base.withColumns({lang: F.when(teaching, F.col("lang")), copy: F.xxhash64("text")})
+    scored = write_once(score_rows(marked, model, "text", [*keep, lang, copy]), "language_scores")
+    calibrate(model, scored, lang, copy)
+    return decide(scored.drop(lang, copy), model)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -473,7 +508,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 def op6_kneser_ney_language(spark, folder: str) -> DataFrame:
     """Language, confidence and acceptance of every document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    model = fit(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
-    found = predict(docs.select("doc_id", "text"), model)
+    found = identify(table(spark, folder, "documents").select("doc_id", "text", "lang"), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
