@@ -353,7 +353,10 @@ def score(scorer: PipelineModel, df: DataFrame, key: str = S.KEY) -> DataFrame:
     """(key, prediction, p) of raw rows; feature stages are part of the scorer."""
     if "key" not in df.columns:
         df = df.withColumn("key", F.col(key))
-    return scorer.transform(df).select(key, "prediction", F.col("score").alias("p"))
+    scored = scorer.transform(df)
+    # Some feature sets drop the raw key; its copy stays.
+    own = F.col(key if key in scored.columns else "key").alias(key)
+    return scored.select(own, "prediction", F.col("score").alias("p"))
 
 
 def score_file(

@@ -166,3 +166,22 @@ def test_model_queries_run_at_full_size(monkeypatch):
     catalog.space_search(None, "")
     assert calls["final_train"] == calls["benchmark"] == ((), {})
     assert calls["space_search"][0][1] == draw_from_space(SPACES["catboost"], 30)
+
+
+def test_tuned_stacks(spark, files):
+    """Lean features with a regression on top and raw records with a network, over small grids: every row out of fold, raw rows scored."""
+    from buyerscope.features.variants import CompactFeatures, LeanFeatures
+    from buyerscope.models.stacking import meta_learner
+    from buyerscope.plans.tuned import tuned_stack
+
+    train, test = read_dated(spark, files[0]), read_dated(spark, files[1], False)
+    bases = {"logistic_regression": {"C": [0.1, 1.0]}, "lightgbm": {"n_estimators": [3, 5], "num_leaves": [4, 8]}}
+    for stage, meta in [
+        (lambda df: LeanFeatures(keep_key=True), meta_learner()),
+        (lambda df: CompactFeatures().fit(df), meta_learner("mlp", "stack", hidden=[4], max_iter=20)),
+    ]:
+        done = tuned_stack(train, stage, bases, meta, n_iter=3, folds=2)
+        assert done.scores.count() == 220 == done.scores.select("key").distinct().count()
+        assert {k: t.count() for k, t in done.searches.items()} == {"logistic_regression": 2, "lightgbm": 3}
+        scored = jobs.score(done.scorer, test)
+        assert scored.count() == 80 and scored.where("p not between 0 and 1").count() == 0
