@@ -7,11 +7,13 @@ the earlier start (the longer last piece). Characters outside the vocabulary bec
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ BLANK = "▁"
 CACHE_UNITS = 400_000  # units a worker remembers, at most
 UNIT_CHARS = 64  # longer units are searched again instead of remembered
 UNKNOWN_PENALTY = 10.0
+LEAST = float("-inf")
+GATHERED = 1_000_000  # ids decoded at a time
 
 
 class Codec:
@@ -55,6 +59,10 @@ class Codec:
                 if len(piece) == 1:
                     self.single.add(piece)
         self.automaton.make_automaton()
+        # Decoding gathers from one run of bytes.
+        self.pool = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.unknown_id, self.unknown = model.unk_id(), lowest - UNKNOWN_PENALTY
         # Text can be cut where no piece reaches across: before a run of blanks, and around characters of no piece.
         cuts = "" if "\n" in letters else r"|\n"
@@ -68,6 +76,8 @@ class Codec:
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation of an escaped text."""
+        if self.single.issuperset(text):
+            return self._viterbi_known(text)
         n = len(text)
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
         done, single, unknown = 0, self.single, self.unknown
@@ -90,63 +100,137 @@ class Codec:
             at -= length
         return [i for part in reversed(out) for i in part]
 
+    def _viterbi_known(self, text: str) -> list[int]:
+        """The same search where every character is a piece of its own, so that each position is reached by pieces."""
+        best, length_at, piece_at = [0.0] + [LEAST] * len(text), [0] * (len(text) + 1), [0] * (len(text) + 1)
+        for last, (length, score, piece) in self.automaton.iter(text):
+            end = last + 1
+            total = best[end - length] + score
+            if total > best[end]:
+                best[end], length_at[end], piece_at[end] = total, length, piece
+        out, at = [], len(text)
+        while at:
+            out.append(piece_at[at])
+            at -= length_at[at]
+        out.reverse()
+        return out
+
+    def packed(self, text: str) -> bytes:
+        """Ids of an escaped text as little-endian 32-bit numbers."""
+        ids = self.viterbi(text)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
     def encode(self, text: str | None, known: dict[str, bytes]) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers."""
         if not text:
             return b""
         escaped = BLANK + text.replace(" ", BLANK)
         if self.units is None:
-            return np.array(self.viterbi(escaped), dtype="<i4").tobytes()
+            return self.packed(escaped)
         units = self.units.findall(escaped)
         for unit in set(units).difference(known):
             if len(unit) <= UNIT_CHARS:
-                known[unit] = np.array(self.viterbi(unit), dtype="<i4").tobytes()
+                known[unit] = self.packed(unit)
         try:
             return b"".join(map(known.__getitem__, units))
         except KeyError:
-            return b"".join([known[u] if u in known else np.array(self.viterbi(u), dtype="<i4").tobytes() for u in units])
+            return b"".join([known[u] if u in known else self.packed(u) for u in units])
+
+    def _gather(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        upto = np.cumsum(sizes)
+        return self.pool[np.repeat(self.starts[ids] - upto + sizes, sizes) + np.arange(upto[-1])].tobytes()
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of several rows: ``ids`` of all rows in turn and where each row ends. The blank before the first word goes."""
+        upto = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        raw = b"".join(self._gather(ids[i : i + GATHERED]) for i in range(0, len(ids), GATHERED))
+        edges = upto[np.concatenate([[0], ends])].tolist()
+        texts = [raw[low:high].decode("utf-8", "replace") for low, high in zip(edges, edges[1:])]
+        return pa.array([x[1:] if x.startswith(" ") else x for x in texts], pa.string())
+
+
+def _encoded(codec: Codec, known: dict[str, bytes], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in turn, and where each text ends."""
+    if len(known) > CACHE_UNITS:
+        known.clear()
+    parts = [codec.encode(x, known) for x in texts.to_pylist()]
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+    return np.frombuffer(b"".join(parts), dtype="<i4"), ends
+
+
+def _codec(model_path: str | None) -> tuple[Codec, dict[str, bytes]]:
+    """The worker's codec; the standard model is looked up where it is used."""
+    path = model_path or default_model()
+    return worker_cache("sentencepiece", path, lambda: (Codec(path), {}))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            yield whole.slice(start, rows)
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
 
+def encode(df: DataFrame, model_path: str | None = None, text: str = "text") -> DataFrame:
+    """``df`` with ``ids`` (array of int; replaced if there is one).
 
-def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` (array of int; replaced if there is one). Null and empty texts have no ids."""
+    Null and empty texts have no ids; a very long text is searched unit by unit as a whole; repeated rows stay repeated and get the
+    same ids; an empty table stays empty.
+    """
     base = df.drop("ids")
     position = base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, known = worker_cache("sentencepiece", model_path, lambda: (Codec(model_path), {}))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(start, 1_000)
-                if len(known) > CACHE_UNITS:
-                    known.clear()
-                parts = [codec.encode(x, known) for x in batch.column(position).to_pylist()]
-                ends = np.cumsum([0] + [len(x) // 4 for x in parts]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+        codec, known = _codec(model_path)
+        for batch in _slices(batches):
+            flat, ends = _encoded(codec, known, batch.column(position))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     return base.mapInArrow(run, base.withColumn("ids", F.array().cast("array<int>")).schema)
 
 
-def decode(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, model_path: str | None = None, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the text of its ids (null ids give null). A blank character U+2581 in the source comes back as a space."""
     base = df.drop("decoded")
     position = base.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, _ = worker_cache("sentencepiece", model_path, lambda: (Codec(model_path), {}))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(start, 1_000)
-                texts = [None if x is None else codec.decode(x) for x in batch.column(position).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        codec, _ = _codec(model_path)
+        for batch in _slices(batches):
+            column = batch.column(position)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            flat = column.flatten().to_numpy(zero_copy_only=False)  # null rows hold no values
+            texts = pc.if_else(column.is_valid(), codec.decode(flat, np.cumsum(sizes, dtype=np.int64)), None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     return base.mapInArrow(run, base.withColumn("decoded", F.lit(None).cast("string")).schema)
 
 
+def round_trip(df: DataFrame, model_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_pieces, ids_crc32, restored``: every whole text is encoded and its ids decoded in one pass over the rows.
+
+    ``ids_crc32`` covers the ids as little-endian 32-bit numbers; ``restored`` says whether decoding gives the text back (a null text counts
+    as empty). Repeated rows stay repeated; an empty table gives none.
+    """
+    used = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, known = _codec(model_path)
+        for batch in _slices(batches):
+            flat, ends = _encoded(codec, known, batch.column(1))
+            same = pc.equal(codec.decode(flat, ends), pc.fill_null(batch.column(1), ""))
+            raw, edges = flat.tobytes(), [0, *(4 * ends).tolist()]
+            sums = [zlib.crc32(raw[low:high]) for low, high in zip(edges, edges[1:])]
+            counts = np.diff(ends, prepend=0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), same], names=[key, "n_pieces", "ids_crc32", "restored"]
+            )
+
+    kind = used.schema["key"].dataType.simpleString()
+    return used.mapInArrow(run, f"`{key}` {kind}, n_pieces long, ids_crc32 long, restored boolean")
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -155,22 +239,4 @@ def default_model() -> str:
 
 def op1_sentencepiece_viterbi(spark, folder: str, model_path: str | None = None) -> DataFrame:
     """Number and checksum of the pieces of every document, and whether decoding restores it."""
-    path = model_path or default_model()
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path), path)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, text, back = (batch.column(batch.schema.get_field_index(c)) for c in ("ids", "text", "decoded"))
-            sums, counts, same = [], [], []
-            for i in range(batch.num_rows):
-                row = ids[i].values.to_numpy(zero_copy_only=False).astype("<u4")
-                counts.append(len(row))
-                sums.append(zlib.crc32(row.tobytes()))
-                same.append((text[i].as_py() or "") == back[i].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same)],
-                names=["doc_id", "n_pieces", "ids_crc32", "restored"],
-            )
-
-    return both.mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, restored boolean")
+    return round_trip(table(spark, folder, "documents"), model_path)
