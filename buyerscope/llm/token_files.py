@@ -17,10 +17,10 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +31,16 @@ END_ID = 1
 BLOCK_IDS = 2_000_000  # a block is closed once it holds so many ids
 ROUNDS = 5
 BROADCAST_BLOCKS = 500_000  # three numbers each: under 20 MB
+SYMBOLS = 1 << 16  # symbols below this number take two bytes
+SLOT_BITS = 20
 MIN_COUNT = 8  # a pair seen less often gets no rule
 CACHE_WORDS = 1_000_000  # words a worker remembers, at most
-RUNS = 32  # letter runs encoded in one text
+RUNS = 512  # letter runs encoded in one text
+SLICE_BYTES = 8_000_000  # text encoded at a time
+GATHERED = 1_000_000  # words or symbols expanded at a time
 WORD_CHARS = 64  # longer words are encoded again instead of remembered
 # Letters whose lower-case form is one letter of the same kind and needs no composition, then marks of which none can join them.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*$%&]*)").fullmatch
+SIMPLE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*$%&]*)|.*)$", re.MULTILINE).findall
 
 
 class WordEncoder:
@@ -89,82 +93,111 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Remember new words. A word of letters and closing marks is the sum of its letter run and its marks."""
-        known, rest, runs = self.known, [], set()
-        plain = []
-        for word in words:
-            parts = SIMPLE(word)
-            if parts is None:
-                rest.append(word)
-            else:
-                low, marks = parts[1].lower(), parts[2]
-                plain.append((word, low, marks))
-                if low not in known:
-                    runs.add(low)
-                if marks not in known:
-                    rest.append(marks)
-        self._learn_runs(list(runs))
+        known, found = self.known, SIMPLE("\n".join(words)) if words else []  # words hold no line feeds
+        parts = [(word, letters.lower(), marks) for word, (letters, marks) in zip(words, found, strict=True) if letters]
+        rest = [word for word, (letters, _) in zip(words, found, strict=True) if not letters]
+        rest += {marks for _, _, marks in parts}.difference(known)
+        self._learn_runs(list({low for _, low, _ in parts}.difference(known)))
         known.update(zip(rest, self._encode(rest), strict=True))
         known[""] = b""
-        for word, low, marks in plain:
+        for word, low, marks in parts:
             known[word] = known[low] + known[marks]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and their number in each text. Every distinct word is looked up once."""
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return self._encode([x or "" for x in texts])
+            found = self._encode(texts.to_pylist())
+            return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        split = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        new = set(chain.from_iterable(split)).difference(known)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in known]
         self._learn([w for w in new if len(w) <= WORD_CHARS])
         long = [w for w in new if len(w) > WORD_CHARS]
         extra = dict(zip(long, self._encode(long), strict=True)) if long else {}
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([known[w] if w in known else extra[w] for w in words]))
-        return out
-
-
-def re_pair(ids: np.ndarray, first_symbol: int, barrier: int = END_ID, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> tuple:
+        parts = [known[w] if w in known else extra[w] for w in words]
+        pool, sizes = np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        places, starts = coded.indices.to_numpy(), np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[places])])
+        ids = [_gather(pool, starts, sizes, places[i : i + GATHERED]) for i in range(0, len(places), GATHERED)]
+        upto = np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
+        return np.concatenate([np.empty(0, "<u4"), *ids]), np.diff(ends[upto], prepend=0)
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The entries of ``pool`` that the given places stand for, one place after the other."""
+    counts = sizes[places]
+    upto = np.cumsum(counts)
+    return pool[np.repeat(starts[places] - upto + counts, counts) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+def _places(joined: np.ndarray, inner: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where one of the pairs stands, and which one. One table of hashes finds nearly all; pairs that lost their slot are searched."""
+    mixed = _slots(joined)
+    table_ = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+    own = _slots(pairs)
+    table_[own] = np.arange(len(pairs))
+    at = np.flatnonzero((table_[mixed] >= 0) & inner)
+    rank = table_[mixed[at]]
+    exact = pairs[rank] == joined[at]
+    lost = np.flatnonzero(table_[own] != np.arange(len(pairs)))
+    if len(lost):
+        order = lost[np.argsort(pairs[lost])]
+        rest = np.flatnonzero(~exact)
+        found = np.minimum(np.searchsorted(pairs[order], joined[at[rest]]), len(order) - 1)
+        rank[rest] = order[found]
+        exact[rest] = pairs[rank[rest]] == joined[at[rest]]
+    return at[exact], rank[exact]
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    if pairs.dtype == np.uint64:
+        return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (pairs * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
+
+
+def re_pair(
+    ids: np.ndarray, first_symbol: int, barrier: int = END_ID, rounds: int | None = ROUNDS, min_count: int = MIN_COUNT, symbols: int = SYMBOLS
+) -> tuple:
     """``(rules, lengths, sequence)`` of a block: rule k stands for symbol ``first_symbol + k`` and names two earlier symbols.
 
-    All symbols stay below 65,536 where the vocabulary allows, so that each takes two bytes.
+    Symbols stay below ``symbols`` where the vocabulary allows: 65,536 gives two bytes each. ``rounds`` shares the symbols out over so many rounds;
+    with None each round replaces the pairs at least half as frequent as the most frequent one, until no pair is left that is seen
+    ``min_count`` times or no symbol is free.
     """
-    room = (1 << 16) - first_symbol if first_symbol < (1 << 16) else 1 << 14
+    room = max(symbols, 1 << 16) - first_symbol if first_symbol < max(symbols, 1 << 16) else 1 << 14
+    wide = first_symbol + room > 1 << 16
     sequence = ids.astype(np.uint32)
     rules = np.empty((0, 2), dtype=np.uint32)
     lengths = np.empty(0, dtype=np.uint32)
-    for left in range(rounds, 0, -1):
+    left = rounds
+    while left is None or left:
         if len(sequence) < 2 or not room:
             break
         a, b = sequence[:-1], sequence[1:]
-        joined = (a.astype(np.uint64) << np.uint64(32) | b) if first_symbol + room > 1 << 16 else a << np.uint32(16) | b
+        joined = (a.astype(np.uint64) << np.uint64(32) | b) if wide else a << np.uint32(16) | b
         inner = (a != barrier) & (b != barrier)
+        # A pair cannot be frequent where its slot is not.
+        mixed = _slots(joined)
+        inner &= (np.bincount(mixed[inner], minlength=1 << SLOT_BITS) >= min_count)[mixed]
         ordered = np.sort(joined[inner])
         if not len(ordered):
             break
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(heads, len(ordered)))
-        frequent = np.flatnonzero(counts >= min_count)
-        take = min(len(frequent), room // left)
+        frequent = np.flatnonzero(counts >= (min_count if left else max(min_count, counts.max() / 2)))
+        take = min(len(frequent), room // (left or 1))
         if not take:
             break
         best = frequent[np.argsort(-counts[frequent], kind="stable")[:take]]
         pairs = ordered[heads[best]]
-        shift = np.uint64(32) if pairs.dtype == np.uint64 else np.uint32(16)
+        shift = np.uint64(32) if wide else np.uint32(16)
         low = (1 << int(shift)) - 1
-        order = np.argsort(pairs)
-        # A small table of hashes rules most positions out before the exact search.
-        coarse = np.zeros(1 << 16, dtype=bool)
-        mixed = lambda x: ((x ^ (x >> shift)) * 0x9E37 >> 3).astype(np.uint32) & np.uint32(0xFFFF)
-        coarse[mixed(pairs)] = True
-        at = np.flatnonzero(coarse[mixed(joined)] & inner)
-        found = np.minimum(np.searchsorted(pairs[order], joined[at]), take - 1)
-        exact = pairs[order][found] == joined[at]
-        at, rank = at[exact], order[found[exact]]
+        at, rank = _places(joined, inner, pairs)
         # Of overlapping places in a row every second one is replaced.
         run = np.concatenate([[True], at[1:] != at[:-1] + 1])
         place = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
@@ -179,15 +212,20 @@ def re_pair(ids: np.ndarray, first_symbol: int, barrier: int = END_ID, rounds: i
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, known[new[:, 0]] + known[new[:, 1]]])
         sequence = sequence[keep]
         room -= take
+        left = left and left - 1
     return rules, lengths, sequence
 
 
 def expand(rules: np.ndarray, sequence: np.ndarray, first_symbol: int) -> np.ndarray:
-    """The ids that a sequence stands for."""
-    table_ = [i.to_bytes(4, "little") for i in range(first_symbol)]
+    """The ids that a sequence stands for, gathered from one table of all expansions."""
+    phrases: list[bytes] = []
+    of = lambda x: phrases[x - first_symbol] if x >= first_symbol else x.to_bytes(4, "little")
     for a, b in rules.tolist():
-        table_.append(table_[a] + table_[b])
-    return np.frombuffer(b"".join(map(table_.__getitem__, sequence.tolist())), dtype="<u4")
+        phrases.append(of(a) + of(b))
+    pool = np.concatenate([np.arange(first_symbol, dtype="<u4"), np.frombuffer(b"".join(phrases), dtype="<u4")])
+    sizes = np.concatenate([np.ones(first_symbol, np.int64), np.fromiter(map(len, phrases), np.int64, len(phrases)) // 4])
+    starts = np.cumsum(sizes) - sizes
+    return np.concatenate([np.empty(0, "<u4"), *(_gather(pool, starts, sizes, sequence[i : i + GATHERED]) for i in range(0, len(sequence), GATHERED))])
 
 
 BLOCK_SCHEMA = (
@@ -196,47 +234,69 @@ BLOCK_SCHEMA = (
 )
 
 
-def _block(part: int, number: int, first_symbol: int, docs: list[tuple]) -> tuple:
-    ids = np.frombuffer(b"".join(x[1] for x in docs), dtype="<u4")
-    rules, lengths, sequence = re_pair(ids, first_symbol)
+def _block(part: int, number: int, first_symbol: int, held: list[tuple], options: dict) -> tuple:
+    """One row of a file from ``(ids of documents, their sizes, their token ids)`` of some runs of documents."""
+    sizes, ids = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+    rules, lengths, sequence = re_pair(ids, first_symbol, **options)
     width = 2 if first_symbol + len(rules) <= 1 << 16 else 4
     pack = lambda x: x.astype(f"<u{width}").tobytes()
     return (
-        part, number, first_symbol, len(docs), len(ids), [x[0] for x in docs], [len(x[1]) // 4 for x in docs], width,
+        part, number, first_symbol, len(sizes), len(ids), [d for x in held for d in x[0]], sizes.tolist(), width,
         pack(rules), lengths.astype("<u4").tobytes(), pack(sequence),
     )
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``SLICE_BYTES`` of text; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(int(np.searchsorted(ends, before + SLICE_BYTES, side="right")), low + 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def write_token_files(
+    docs: DataFrame, tokenizer_path: str | None, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, rounds: int | None = ROUNDS,
+    symbols: int = SYMBOLS,
+) -> None:
     """Encode ``doc_id, text`` and write the ids, an ``end_id`` after each document, to ``path`` in ascending id order.
 
     Null texts count as empty and have the end id alone. Null ids come first; rows that repeat an id follow each other in the order of their texts'
-    hashes, so that one frequent id does not fall to one task. An empty table gives an empty file.
+    hashes, so that one frequent id does not fall to one task. An empty table gives an empty file. ``rounds`` and ``symbols`` go to ``re_pair``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = worker_cache("tokenizer", tokenizer_path, lambda: WordEncoder(tokenizer_path))
+        opened = tokenizer_path or default_tokenizer()  # looked up where it is used
+        encoder = worker_cache("tokenizer", opened, lambda: WordEncoder(opened))
         first_symbol = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        options = {"barrier": end_id, "rounds": rounds, "symbols": symbols}
 
         def rows(found: tuple) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(found, arrow, strict=True)], schema=arrow)
 
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    held.append((doc, ids + tail))
-                    size += len(ids) // 4 + 1
+            for batch in _slices(whole):
+                names = batch.column(0).to_pylist()
+                ids, counts = encoder.encode(batch.column(1))
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id).astype(np.uint32)
+                counts, ends, low = counts + 1, np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]), 0
+                while low < len(names):
+                    # A block ends with the document that fills it.
+                    high = min(int(np.searchsorted(ends, ends[low] + block_ids - size)), len(names))
+                    held.append((names[low:high], counts[low:high], ids[ends[low] : ends[high]]))
+                    size, low = size + int(ends[high] - ends[low]), high
                     if size >= block_ids:
-                        yield rows(_block(part, number, first_symbol, held))
+                        yield rows(_block(part, number, first_symbol, held, options))
                         number, held, size = number + 1, [], 0
         if held:
-            yield rows(_block(part, number, first_symbol, held))
+            yield rows(_block(part, number, first_symbol, held, options))
 
     arrow = pa.schema(
         [
@@ -324,5 +384,5 @@ def default_tokenizer() -> str:
 def op4_repair_token_files(spark, folder: str, tokenizer_path: str | None = None) -> DataFrame:
     """Place, length and checksum of every document, from files that were written and read back."""
     path = f"{shared_root(spark)}/token_files-{uuid.uuid4().hex}"
-    write_token_files(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path or default_tokenizer(), path)
+    write_token_files(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path, path)
     return read_token_files(spark, path, with_ids=False)
