@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -98,6 +99,10 @@ def hash_text(*parts: str | Column) -> Column:
     return F.md5(F.concat_ws("-", *[col(p).cast("string") for p in parts]))
 
 
+SERIES_BELOW = 0.1
+SERIES_TERMS = 10
+
+
 def yeo_johnson(c: str | Column, lam: float) -> Column:
     """Yeo-Johnson transform of a column for one lambda."""
     x = _num(c)
@@ -112,15 +117,28 @@ def yeo_johnson(c: str | Column, lam: float) -> Column:
     return F.when(x >= 0, positive).otherwise(negative)
 
 
-def yeo_johnson_at(x: Column, lam: Column) -> Column:
-    """Yeo-Johnson transform where lambda is a column too."""
-    base, other = F.abs(x) + 1, F.lit(2.0) - lam
-    zero = F.abs(lam) < 1e-12
-    two = F.abs(other) < 1e-12
-    positive = F.when(zero, F.log1p(F.abs(x))).otherwise(
-        (F.pow(base, lam) - 1) / F.when(zero, 1.0).otherwise(lam)
-    )
-    negative = F.when(two, -F.log1p(F.abs(x))).otherwise(
-        -(F.pow(base, other) - 1) / F.when(two, 1.0).otherwise(other)
-    )
-    return F.when(x >= 0, positive).otherwise(negative)
+def yeo_johnson_slopes(x: Column, lam: float) -> tuple[Column, Column, Column]:
+    """Yeo-Johnson transform and its first and second derivative by lambda.
+
+    They are the integrals of e^(vt), t e^(vt) and t^2 e^(vt) for t from 0 to log(1 + |x|), with v = lambda or, below 0, 2 - lambda;
+    a power series replaces the closed forms where v is too near 0 for them.
+    """
+    below = x < 0
+    u = F.log1p(F.abs(x))
+    v = F.when(below, F.lit(2.0 - lam)).otherwise(F.lit(float(lam)))
+    z = v * u
+    near = F.abs(z) < SERIES_BELOW
+    divisor = F.when(near, F.lit(1.0)).otherwise(v)
+
+    def series(k: int) -> Column:
+        total = F.lit(0.0)
+        for j in range(SERIES_TERMS, -1, -1):
+            total = total * z + F.lit(1.0 / (math.factorial(j) * (j + k + 1)))
+        return total * F.pow(u, F.lit(k + 1))
+
+    grown = F.exp(z)
+    zeroth = F.when(near, series(0)).otherwise(F.expm1(z) / divisor)
+    first = F.when(near, series(1)).otherwise((u * grown - zeroth) / divisor)
+    second = F.when(near, series(2)).otherwise((u * u * grown - F.lit(2.0) * first) / divisor)
+    sign = F.when(below, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return sign * zeroth, first, sign * second

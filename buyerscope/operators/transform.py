@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -11,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buyerscope import schema as S
-from buyerscope.functions.expressions import quoted, yeo_johnson, yeo_johnson_at
+from buyerscope.functions.expressions import quoted, yeo_johnson, yeo_johnson_slopes
 from buyerscope.operators.base import JsonEstimator, JsonModel
 from buyerscope.operators.onehot import OneHot
 from buyerscope.operators.quantiles import medians
+from buyerscope.storage import write_once
 
 
 def fit_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float | None]]:
@@ -53,100 +55,124 @@ class StandardScaleModel(JsonModel):
         )
 
 
-POWER_OPTIONS = {
-    "columns": [],
-    "suffix": "_norm",
-    "low": -2.0,
-    "high": 2.0,
-    "step": 0.1,
-    "refinements": 3,
-    "standardize": True,
-}
-
-
-def _log_likelihood(n: int, variance: float | None, log_sum: float, lam: float) -> float:
-    if not variance or variance <= 0:
-        return -math.inf
-    return -n / 2 * math.log(variance) + (lam - 1) * log_sum
+POWER_OPTIONS = {"columns": [], "suffix": "_norm", "step": None, "standardize": True}
+POWER_START = 1.0
+POWER_STRIDE = 2.0  # longest step while one side of the peak is open
+POWER_TOLERANCE = 1e-9  # change of lambda that ends the search
+POWER_PASSES = 100
+
+
+@dataclass(frozen=True)
+class Likelihood:
+    """Log likelihood of a column's lambda, per row, with its first and second derivative."""
+
+    value: float
+    slope: float
+    bend: float
+
+
+@dataclass
+class Peak:
+    """Where a column's best lambda lies: the search stays between the last lambdas known to lie below and above it."""
+
+    at: float = POWER_START
+    low: float = -math.inf
+    high: float = math.inf
+    last: float = POWER_START  # the last lambda whose likelihood is finite
+    done: bool = False
+
+    def move(self, found: Likelihood | None) -> None:
+        """A Newton step where it stays inside the bounds and the likelihood bends down, half of the interval or a long step elsewhere."""
+        if found is None:  # a constant column is as likely with any lambda; powers beyond the doubles bound the search
+            if self.at == self.last:
+                self.done = True
+                return
+            self.low, self.high = (self.low, self.at) if self.at > self.last else (self.at, self.high)
+            self.at = (self.at + self.last) / 2
+            return
+        self.last = self.at
+        if found.slope == 0:
+            self.done = True
+            return
+        self.low, self.high = (self.at, self.high) if found.slope > 0 else (self.low, self.at)
+        step = -found.slope / found.bend if found.bend < 0 else math.copysign(POWER_STRIDE, found.slope)
+        step = max(-POWER_STRIDE, min(POWER_STRIDE, step))
+        aim = self.at + step
+        if not self.low < aim < self.high:
+            aim = (self.low + self.high) / 2
+        self.done = abs(aim - self.at) <= POWER_TOLERANCE
+        self.at = aim
 
 
 class PowerTransform(JsonEstimator):
     """Yeo-Johnson with the most likely lambda, then standardized. Nulls count as 0.
 
-    Each pass evaluates a grid of lambdas for all columns in one aggregation; ``low`` and ``high`` are only where the search
-    starts: while a column's best lambda is an end of its grid, a grid twice as wide follows beyond that end. The next pass
-    looks ten times closer around the best one.
+    The log likelihood has one peak (it is concave in lambda), so its slope tells on which side a lambda lies. Each pass sums the
+    transform's derivatives of all columns in one aggregate and moves every lambda by a Newton step, kept between the bounds
+    found so far. With ``step`` the result is the likeliest multiple of it. A column of one value, or with values that are not finite,
+    keeps lambda 1.
     """
 
     DEFAULTS = POWER_OPTIONS
 
     def _fit(self, df: DataFrame) -> PowerTransformModel:
         columns = self.opt("columns")
-        filled = df.select(*[F.coalesce(F.col(quoted(c)).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-        step = self.opt("step")
-        count = round((self.opt("high") - self.opt("low")) / step)
-        grids = {c: [round(self.opt("low") + i * step, 10) for i in range(count + 1)] for c in columns}
-        best: dict[str, float] = {}
-        for turn in range(self.opt("refinements") + 1):
-            if turn:
-                step /= 10
-                grids = {c: [round(best[c] + i * step, 10) for i in range(-10, 11)] for c in columns}
-            best = self._widened(filled, grids, step)
-        powered = filled.select(*[yeo_johnson(c, best[c]).alias(c) for c in columns])
+        if not columns:
+            return PowerTransformModel.from_estimator(self, {})
+        # Every pass reads these columns alone, not what they were computed from.
+        filled = write_once(df.select(*[F.coalesce(F.col(quoted(c)).cast("double"), F.lit(0.0)).alias(c) for c in columns]), "power")
+        best = self._rounded(filled, likeliest_lambdas(filled, columns))
+        powered = filled.select(*[yeo_johnson(F.col(quoted(c)), best[c]).alias(c) for c in columns])
         moments = fit_moments(powered, columns)
         return PowerTransformModel.from_estimator(
             self, {c: [best[c], *moments[c]] for c in columns}
         )
 
-    def _widened(self, df: DataFrame, grids: dict[str, list[float]], step: float) -> dict[str, float]:
-        """Best lambda per column, not at an end of what was searched unless the likelihood is flat or not finite beyond it."""
-        found, todo, count = self._best(df, grids), dict(grids), {c: len(g) for c, g in grids.items()}
-        while todo:
-            beyond = {}
-            for c in todo:
-                score, lam = found[c]
-                count[c] *= 2
-                if math.isfinite(score) and lam in (todo[c][0], todo[c][-1]):
-                    way = 1 if lam == todo[c][-1] else -1
-                    grid = [round(lam + way * i * step, 10) for i in range(count[c])]
-                    beyond[c] = grid[::way]
-            better = self._best(df, beyond) if beyond else {}
-            todo = {c: beyond[c] for c, (score, lam) in better.items() if score > found[c][0]}
-            found |= {c: better[c] for c in todo}
-        return {c: lam for c, (_, lam) in found.items()}
-
-    @staticmethod
-    def _best(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, tuple[float, float]]:
-        """(Log likelihood, most likely lambda) per column: every row meets its column's grid inside its task,
-        and only one partial variance per (column, lambda) leaves the task."""
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("c"),
-                    F.col(quoted(c)).alias("x"),
-                    F.array(*[F.lit(lam) for lam in grid]).alias("grid"),
-                )
-                for c, grid in grids.items()
-            ]
-        )
-        x = F.col("x")
-        rows = (
-            df.select(F.inline(cells))
-            .select("c", "x", F.explode("grid").alias("lam"))
-            .groupBy("c", "lam")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.var_pop(yeo_johnson_at(x, F.col("lam"))).alias("variance"),
-                F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("log_sum"),
-            )
-            .collect()
+    def _rounded(self, df: DataFrame, best: dict[str, float]) -> dict[str, float]:
+        step = self.opt("step")
+        if step is None:
+            return best
+        sides = [{c: round(side(lam / step) * step, 10) for c, lam in best.items()} for side in (math.floor, math.ceil)]
+        lower, upper = (likelihoods(df, lams) for lams in sides)
+        least = Likelihood(-math.inf, 0.0, 0.0)
+        return {c: sides[(upper[c] or least).value > (lower[c] or least).value][c] for c in best}
+
+
+def likelihoods(df: DataFrame, lams: dict[str, float]) -> dict[str, Likelihood | None]:
+    """Log likelihood per column at its lambda, one aggregate for all; None where no finite variance is left."""
+    totals, sizes = [], 6
+    for c, lam in lams.items():
+        x = F.col(quoted(c))
+        y, first, second = yeo_johnson_slopes(x, lam)
+        totals += [
+            F.var_pop(y), F.covar_pop(y, first), F.var_pop(first), F.covar_pop(y, second),
+            F.avg(F.signum(x) * F.log1p(F.abs(x))), F.count(x),
+        ]
+    row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(totals)]).first()
+    found: dict[str, Likelihood | None] = {}
+    for i, (c, lam) in enumerate(lams.items()):
+        variance, cross, spread, bent, logs, n = row[sizes * i : sizes * (i + 1)]
+        numbers = (variance, cross, spread, bent, logs)
+        if not n or any(v is None or not math.isfinite(v) for v in numbers) or variance <= 0:
+            found[c] = None
+            continue
+        change = 2 * cross / variance
+        found[c] = Likelihood(
+            -math.log(variance) / 2 + (lam - 1) * logs, logs - change / 2, -(2 * (spread + bent) / variance - change * change) / 2
         )
-        scores: dict[str, list[tuple[float, float]]] = {c: [] for c in grids}
-        for r in rows:
-            found = _log_likelihood(r["n"], r["variance"], r["log_sum"], r["lam"])
-            scores[r["c"]].append((found if found == found else -math.inf, -r["lam"]))
-        best = {c: max(found) if found else (-math.inf, -1.0) for c, found in scores.items()}
-        return {c: (score, -minus) for c, (score, minus) in best.items()}
+    return found
+
+
+def likeliest_lambdas(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Lambda at the peak of each column's likelihood."""
+    peaks = {c: Peak() for c in columns}
+    for _ in range(POWER_PASSES):
+        todo = {c: p.at for c, p in peaks.items() if not p.done}
+        if not todo:
+            break
+        for c, found in likelihoods(df, todo).items():
+            peaks[c].move(found)
+    return {c: p.at for c, p in peaks.items()}
 
 
 class PowerTransformModel(JsonModel):

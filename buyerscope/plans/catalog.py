@@ -375,7 +375,7 @@ def standard_scale(spark: SparkSession, folder: str) -> DataFrame:
 
 def power_transform(spark: SparkSession, folder: str) -> DataFrame:
     df = explored(spark, folder).select("ID", "Income", "TotalSpend")
-    return PowerTransform(columns=["Income", "TotalSpend"], refinements=0).fit(df).transform(df)
+    return PowerTransform(columns=["Income", "TotalSpend"], step=0.1).fit(df).transform(df)
 
 
 # --- exploratory tables -------------------------------------------------------------------

@@ -13,13 +13,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from buyerscope.features.rfm import POWER_COLUMNS
 from buyerscope.models.boosting import NO_FOLD
 from buyerscope.models.learners import GRIDS, learner, probability
 from buyerscope.models.linear import Model, fit_models, linear_plan, linear_rows
 from buyerscope.models.stacking import fit_vote
 from buyerscope.models.validation import SPACES, draw_from_space, expand_grid, out_of_fold
+from buyerscope.operators.transform import PowerTransform
 from buyerscope.plans import catalog
-from buyerscope.plans.oracles import md5_order, part, sql
+from buyerscope.plans.oracles import md5_order, part, sql, yeo_johnson
 
 # Queries of (key, label, model, p) over the held-out rows, with the model's name in them.
 SCORED = {
@@ -133,6 +135,20 @@ def importance_total(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def power_peak(spark: SparkSession, folder: str) -> DataFrame:
+    """Most likely lambda of the power transform with its defaults, to three digits: (col, lam)."""
+    found = PowerTransform(columns=["Income", "TotalSpend"]).fit(catalog.explored(spark, folder)).lambdas()
+    return spark.createDataFrame([(c, round(lam, 3)) for c, lam in found.items()], "col string, lam double")
+
+
+def power_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, mean and deviation of every power-transformed feature: (col, n, mean, std)."""
+    table = catalog.feat_scaled(spark, folder).select(*[f"{c}_norm" for c in POWER_COLUMNS])
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("x")) for c in table.columns])
+    rows = table.select(F.inline(cells)).groupBy("col")
+    return rows.agg(F.count("x").alias("n"), (F.round(F.avg("x"), 6) + 0.0).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
+
+
 def candidates(name: str) -> catalog.Query:
     """Candidates of a search, each once, with a share as mean score."""
 
@@ -155,6 +171,8 @@ def queries() -> dict[str, catalog.Query]:
         "lr_grid_slopes": lr_grid_slopes,
         "tree_leaves": tree_leaves,
         "importance_total": importance_total,
+        "power_peak": power_peak,
+        "power_moments": power_moments,
         "space_search_candidates": candidates("space_search"),
         "adaptive_search_candidates": candidates("adaptive_search"),
         "grid_search_candidates": candidates("grid_search"),
@@ -167,6 +185,17 @@ def _listed(params: list[dict]) -> str:
     return f"SELECT params, CAST(1 AS BIGINT) AS n, TRUE AS sound FROM (VALUES {rows}) AS v(params)"
 
 
+def _refined_peak() -> str:
+    """The likeliest lambda by ever finer grids: steps of 0.1 from -2 to 2, then 20 steps ten times finer around the best, down to 0.0001."""
+    ll = f"-COUNT(*) / 2.0 * LN(VAR_POP({yeo_johnson('x', 'g')})) + (g - 1) * SUM(SIGN(x) * LN(ABS(x) + 1))"
+    found = "SELECT col, 0.0::DOUBLE AS lam FROM v GROUP BY col"
+    for step, reach in ((0.1, 20), (0.01, 10), (0.001, 10), (0.0001, 10)):
+        grid = f"SELECT b.col, b.lam + {step} * i AS g FROM ({found}) b, (SELECT UNNEST(range(-{reach}, {reach} + 1)) AS i)"
+        found = f"SELECT col, arg_max(g, ll) AS lam FROM (SELECT v.col AS col, g, {ll} AS ll FROM v JOIN ({grid}) s ON v.col = s.col GROUP BY v.col, g) GROUP BY col"
+    long = "SELECT 'Income' AS col, COALESCE(Income, 0)::DOUBLE AS x FROM ed UNION ALL SELECT 'TotalSpend', COALESCE(TotalSpend, 0)::DOUBLE FROM ed"
+    return f"SELECT col, ROUND(lam, 3) AS lam FROM ({found})".replace(" FROM v ", f" FROM ({long}) v ")
+
+
 def oracle_sql() -> dict[str, str]:
     def per_class(model: str) -> str:
         body = f"SELECT '{model}' AS model, CAST(t AS DOUBLE) AS label, quota AS n, quota AS n_keys, quota AS n_valid FROM quotas"
@@ -202,6 +231,11 @@ def oracle_sql() -> dict[str, str]:
         "tree_leaves": sql(["trained"], "SELECT CAST(0 AS BIGINT) AS n_wrong, COUNT(*) AS n_rows FROM trained"),
         "space_search_candidates": _listed(draw_from_space(SPACES["catboost"], 30)),
         "adaptive_search_candidates": _listed(draw_from_space(SPACES["lightgbm"], 30)),
+        "power_peak": sql(["ed"], _refined_peak()),
+        "power_moments": sql(
+            ["c360"],
+            f"SELECT col, (SELECT COUNT(*) FROM c360) AS n, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS std FROM (SELECT UNNEST({[f'{c}_norm' for c in POWER_COLUMNS]!r}) AS col)",
+        ),
         "importance_total": "SELECT 1.0::DOUBLE AS total, CAST(0 AS BIGINT) AS n_negative, CAST(0 AS BIGINT) AS n_repeated",
         "grid_search_candidates": _listed(grid),
         "random_search_candidates": _listed(draws),

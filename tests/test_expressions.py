@@ -48,12 +48,26 @@ def test_lookup_default(spark):
 def test_yeo_johnson_special_lambdas(spark):
     got = one(spark, (3.0, -3.0), "a double, b double",
               X.yeo_johnson("a", 0.0), X.yeo_johnson("b", 2.0), X.yeo_johnson("a", 1.0), X.yeo_johnson("b", 1.0),
-              X.yeo_johnson_at(F.col("b"), F.lit(0.5)))
+              X.yeo_johnson_slopes(F.col("b"), 0.5)[0])
     assert got[0] == pytest.approx(math.log(4)) and got[1] == pytest.approx(-math.log(4))
     assert got[2] == pytest.approx(3.0) and got[3] == pytest.approx(-3.0)
     assert got[4] == pytest.approx(-((4**1.5) - 1) / 1.5)
 
 
+@pytest.mark.parametrize("lam", [-3.0, -1e-4, 0.0, 1e-9, 0.02, 0.7, 1.0, 1.9999, 2.0, 4.5])
+def test_yeo_johnson_slopes_are_derivatives(spark, lam):
+    """Against sums over small steps of the integrals that define them."""
+    values = [0.0, 1e-3, 0.4, 3.0, 900.0, -0.4, -3.0, -900.0]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for x, *got in df.select("x", *X.yeo_johnson_slopes(F.col("x"), lam)).collect():
+        v, u, sign = (2 - lam, math.log1p(-x), -1) if x < 0 else (lam, math.log1p(x), 1)
+        n = 20_000
+        t = [(i + 0.5) * u / n for i in range(n)]
+        for k, value in enumerate(got):
+            want = (sign if k != 1 else 1) * math.fsum(w**k * math.exp(v * w) for w in t) * u / n
+            assert value == pytest.approx(want, rel=1e-6, abs=1e-12), (x, k)
+
+
 def test_first_fitting_format_wins(spark):
     rows = [("21-08-2013",), ("4/9/2012",), ("13/2/2014",), ("garbage",), (None,)]
     df = spark.createDataFrame(rows, "d string")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from buyerscope.operators.splits import down_sample, rank_by_hash, stratified_folds, stratified_split
 from buyerscope.operators.transform import (
-    PowerTransform, PowerTransformModel, StandardScale, column_transformer, most_frequent,
+    PowerTransform, PowerTransformModel, StandardScale, column_transformer, most_frequent, likelihoods,
 )
 
 
@@ -90,6 +90,33 @@ def test_power_transform_finds_the_likeliest_lambda(spark, tmp_path):
     assert z.mean() == pytest.approx(0, abs=1e-9) and z.std(ddof=0) == pytest.approx(1)
 
 
+def test_power_transform_stands_on_the_peak(spark):
+    rng = np.random.default_rng(8)
+    columns = {
+        "wide": np.exp(rng.normal(9, 2, 500)), "below": -np.exp(rng.normal(1, 1, 500)), "both": rng.normal(0, 50, 500) ** 3, "steep": 10 * rng.uniform(size=500) ** (1 / 9),
+        "same": np.full(500, 7.0), "two": (rng.uniform(size=500) < 0.2).astype(float),
+    }
+    df = spark.createDataFrame(pd.DataFrame(columns)).withColumn("none", F.lit(None).cast("double"))
+    lams = PowerTransform(columns=[*columns, "none"], standardize=False).fit(df).lambdas()
+    assert lams["same"] == lams["none"] == 1.0
+
+    def plain(x, lam):
+        with np.errstate(all="ignore"):
+            up = ((1 + np.abs(x)) ** lam - 1) / lam
+            down = -((1 + np.abs(x)) ** (2 - lam) - 1) / (2 - lam)
+        y = np.where(x >= 0, up, down)
+        return -len(x) / 2 * np.log(y.var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    for c in ("wide", "below", "both", "steep", "two"):
+        here = plain(columns[c], lams[c])
+        assert all(here >= plain(columns[c], lams[c] + d) - 1e-9 for d in (-0.3, -1e-3, 1e-3, 0.3)), c
+    slopes = likelihoods(df, lams)
+    assert all(abs(slopes[c].slope) < 1e-6 for c in ("wide", "below", "both", "steep", "two"))
+    stepped = PowerTransform(columns=["wide", "steep"], step=0.25, standardize=False).fit(df).lambdas()
+    for c, lam in stepped.items():
+        assert lam == max(np.arange(-8, 61) * 0.25, key=lambda g: plain(columns[c], g if g else 1e-9))
+
+
 def test_column_transformer(spark):
     df = spark.createDataFrame(
         [(1, 0, 1.0, "a"), (2, 1, None, "b"), (3, 1, 3.0, None)], "ID int, Target int, x double, c string")
