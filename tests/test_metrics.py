@@ -5,6 +5,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from buyerscope.operators import metrics as M
+from buyerscope.operators import ranking
 from buyerscope.operators.ranking import running_counts
 
 
@@ -51,6 +52,29 @@ def test_ranges_give_the_same_running_counts(spark, sample):
     assert table(rows_per_range=25) == table()
 
 
+@pytest.mark.parametrize("by", [[], ["fold"]])
+def test_ranges_of_ranges_give_the_same_running_counts(spark, monkeypatch, by):
+    """Ranges of about ten rows, three at a time, in several levels; a third of the rows share one score, and a group has no name."""
+    rng = np.random.default_rng(6)
+    p = np.where(np.arange(700) % 3 == 0, 0.25, rng.uniform(size=700) ** 3)
+    labels = (rng.uniform(size=700) < p).astype(int)
+    df = score_frame(spark, labels, p, fold=np.arange(700) % 2).withColumn("fold", F.when(F.col("fold") == 1, 1))
+    monkeypatch.setattr(ranking, "FAN", 3)
+    tied = df.groupBy(*by, "p").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    placed, path = ranking._with_ranges(tied, "p", ranking.score_edges(df, "p", 10), 10)
+    assert len(path) >= 3 and placed.count() == tied.count()
+    assert placed.groupBy(*path).count().agg(F.max("count")).first()[0] <= 15
+    got = [tuple(r) for r in running_counts(df, by, rows_per_range=10).select(*by, "p", "tp", "fp", "n_pos", "n_neg").collect()]
+    groups = [r[0] if by else 0 for r in df.select(*(by or ["p"])).collect()]
+    frame = [(g if by else 0, r["p"], r["label"]) for g, r in zip(groups, df.collect(), strict=True)]
+    want = set()
+    for g, score, _ in frame:
+        own = [(s, y) for h, s, y in frame if h == g]
+        tp, fp = sum(y == 1 for s, y in own if s >= score), sum(y != 1 for s, y in own if s >= score)
+        want.add((*([g] if by else []), score, tp, fp, sum(y == 1 for _, y in own), sum(y != 1 for _, y in own)))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_one_hot_score_among_many(spark):
     # A third of the rows share one score.
     rng = np.random.default_rng(2)
