@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buyerscope.llm.common import table
+from buyerscope.llm.common import free_names, table
 from buyerscope.storage import write_once
 
 LINE = ["h1", "h2"]
@@ -67,15 +67,17 @@ def mark_lines(docs: DataFrame, min_sites: int = 5, text: str = "text", site: st
     ).withColumn("line", F.trim("line")).where("line <> ''")
     lines = write_once(lines.select("doc_id", "text_key", F.col("site").cast("string").alias("site"), "pos", *_hashes(F.col("line"))), "lines")
     found = write_once(boilerplate_lines(lines, min_sites), "boilerplate")
+    left = docs.drop("removed_at")
+    owner, key, own = free_names(left, "line_owner", "line_key", "line_text")
     gone = (
         lines.join(_bounded(found), LINE)
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("_l_id"), F.col("text_key").alias("_l_key"))
+        .groupBy(F.col("doc_id").alias(owner), F.col("text_key").alias(key))
         .agg(F.collect_set("pos").alias("removed_at"))
     )
-    left = docs.drop("removed_at").withColumn("_l_text", F.xxhash64(whole))
-    same = left[doc_id].eqNullSafe(gone["_l_id"]) & (left["_l_text"] == gone["_l_key"])
-    return left.join(gone, same, "left").drop("_l_id", "_l_key", "_l_text")
+    left = left.withColumn(own, F.xxhash64(whole))
+    same = left[doc_id].eqNullSafe(gone[owner]) & (left[own] == gone[key])
+    return left.join(gone, same, "left").drop(owner, key, own)
 
 
 def kept_text(text: Column, removed_at: Column) -> Column:
@@ -85,10 +87,13 @@ def kept_text(text: Column, removed_at: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 5) -> DataFrame:
-    """All documents, in the same columns, with boilerplate lines removed from ``text`` (and ``n_chars`` counted anew)."""
-    marked = mark_lines(docs, min_sites).withColumn("_l_new", kept_text(F.col("text"), F.col("removed_at")))
-    new = {"text": F.col("_l_new"), "n_chars": F.length("_l_new").cast("long")}
-    return marked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    """All documents, in the same columns, with boilerplate lines removed from ``text`` (and ``n_chars`` counted anew). Columns of any name pass through."""
+    own = {c: free_names(docs, "own_marks")[0] for c in docs.columns if c.lower() == "removed_at"}
+    marked = mark_lines(docs.withColumnsRenamed(own), min_sites)
+    fresh = free_names(marked, "fresh_text")[0]
+    marked = marked.withColumn(fresh, kept_text(F.col("text"), F.col("removed_at")))
+    new = {"text": F.col(fresh), "n_chars": F.length(fresh).cast("long")}
+    return marked.select(*[new[c].alias(c) if c in new else F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def op7_line_spread(spark, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buyerscope.llm.common import table
+from buyerscope.llm.common import free_names, table
 from buyerscope.llm.components import connected_components, merge_links
 from buyerscope.storage import write_once
 
@@ -224,13 +224,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -
     An id with different texts in several groups stays once in each group of which it is the smallest.
     """
     found = _grouped(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("_k"), F.col("text_key").alias("_kt"), F.col("component").alias("_c")).distinct()
-    marked = docs.withColumn("_t", F.xxhash64("text"))
+    doc, text, part, own, nameless = free_names(docs, "near_doc", "near_text", "near_part", "near_own", "near_nameless")
+    kept = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(text), F.col("component").alias(part)).distinct()
+    marked = docs.withColumn(own, F.xxhash64("text"))
     # Equal texts have equal fingerprints, so that a row meets one group at most.
-    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_k"]) & (marked["_t"] == kept["_kt"]))
+    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept[doc]) & (marked[own] == kept[text]))
     # Texts with the surviving id belong to one document each; a null id says nothing about that.
-    one = stay.withColumn("_null", F.when(F.col("doc_id").isNull(), F.col("_t"))).dropDuplicates(["_c", "doc_id", "_null"])
-    return one.drop("_t", "_null", "_k", "_kt", "_c")
+    one = stay.withColumn(nameless, F.when(F.col("doc_id").isNull(), F.col(own))).dropDuplicates([part, "doc_id", nameless])
+    return one.drop(doc, text, part, own, nameless)
 
 
 def op8_simhash_gray_index(spark, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buyerscope.llm.common import table
+from buyerscope.llm.common import free_names, table
 
 KEY = ["list_id", "kind", "value"]
 # More specific kinds decide before less specific ones.
@@ -72,6 +72,14 @@ def candidate_keys(url: Column) -> Column:
     )
 
 
+def _by_month(intervals: DataFrame, seen: DataFrame, low: Column, high: Column) -> DataFrame:
+    """The intervals once for every month in which they are active and something was fetched; a single far date adds one month, no more."""
+    active = intervals.where((F.col("valid_from") <= high) & (F.col("valid_to").isNull() | (F.col("valid_to") > low)))
+    active = active.withColumn("fetched", seen.agg(F.collect_set(F.date_trunc("month", "_t"))).scalar())
+    first, last = F.date_trunc("month", "valid_from"), F.coalesce("valid_to", high)
+    return active.withColumn("month", F.explode(F.filter("fetched", lambda m: (m >= first) & (m <= last)))).drop("fetched")
+
+
 def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """``captures`` with ``blocked`` and the deciding entry (``hit_list, hit_kind, hit_value, hit_from``; null if none).
 
@@ -89,13 +97,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
     if span["high"] is None:
         nothing = {c: F.lit(None).cast("string") for c in added[1:4]} | {"hit_from": F.lit(None).cast("timestamp")}
         return left.withColumns({"blocked": F.lit(False), **nothing})
-    low, high = F.lit(span["low"]), F.lit(span["high"])
-    active = list_intervals(entries).where((F.col("valid_from") <= high) & (F.col("valid_to").isNull() | (F.col("valid_to") > low)))
-    last = F.least(F.coalesce("valid_to", high), high)
-    months = F.sequence(
-        F.date_trunc("month", F.greatest("valid_from", low)), F.date_trunc("month", last), F.expr("interval 1 month")
-    )
-    active = active.withColumn("month", F.explode(months))
+    active = _by_month(list_intervals(entries), seen, F.lit(span["low"]), F.lit(span["high"]))
     asked = seen.select(
         "_u", "_t", F.date_trunc("month", "_t").alias("month"), F.explode(F.array_distinct(candidate_keys(F.col("_u")))).alias("k")
     ).select("_u", "_t", "month", "k.kind", "k.value")
@@ -105,15 +107,16 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
         (-rank).alias("rank"), (-F.length("value")).alias("len"), F.when(F.col("action") == "allow", 0).otherwise(1).alias("act"),
         F.col("list_id").alias("list"), "kind", "value", F.col("valid_from").alias("start"),
     )
-    hits = met.groupBy("_u", "_t").agg(F.min(order).alias("_hit"))
-    joined = left.join(hits, (left[url] == hits["_u"]) & (left[fetched_at] == hits["_t"]), "left")
+    u, t, hit = free_names(left, "seen_url", "seen_at", "seen_hit")
+    hits = met.groupBy(F.col("_u").alias(u), F.col("_t").alias(t)).agg(F.min(order).alias(hit))
+    joined = left.join(hits, (left[url] == hits[u]) & (left[fetched_at] == hits[t]), "left")
     return joined.withColumns(
         {
-            "blocked": F.coalesce(F.col("_hit.act") == 1, F.lit(False)),
-            "hit_list": F.col("_hit.list"), "hit_kind": F.col("_hit.kind"), "hit_value": F.col("_hit.value"),
-            "hit_from": F.col("_hit.start"),
+            "blocked": F.coalesce(F.col(f"{hit}.act") == 1, F.lit(False)),
+            "hit_list": F.col(f"{hit}.list"), "hit_kind": F.col(f"{hit}.kind"), "hit_value": F.col(f"{hit}.value"),
+            "hit_from": F.col(f"{hit}.start"),
         }
-    ).drop("_u", "_t", "_hit")
+    ).drop(u, t, hit)
 
 
 # The tables hold no lists and no fetch times; both are derived from the pages themselves, by rules any engine can repeat.

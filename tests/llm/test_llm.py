@@ -187,6 +187,32 @@ def test_only_entries_active_at_fetch_time_count(spark):
     assert url_filter.filter_captures(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_columns_of_any_name_pass_through(spark, odd):
+    """Names that the operators have used for their own columns."""
+    names = ["_u", "_t", "_hit", "seen_url", "SEEN_HIT", "_l_text", "_l_new", "removed_at", "line_key", "fresh_text", "_k", "_kt", "_c", "_null", "near_part"]
+    docs = odd.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    for found in (line_dedup.dedup_lines(docs), simhash.drop_near_duplicates(docs)):
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert rows and all(r[n] == n + ("-" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for n in names)
+    pages = docs.withColumns({"url": F.lit("http://a.test/x"), "fetched_at": F.lit("2024-02-01").cast("timestamp")})
+    entries = spark.createDataFrame([("l", "host", "a.test", "block", "2024-01-01")], "list_id string, kind string, value string, action string, at string")
+    entries = entries.withColumn("effective_at", F.col("at").cast("timestamp"))
+    found = url_filter.filter_captures(pages, entries)
+    assert set(pages.columns) <= set(found.columns) and found.where("blocked").count() == pages.count()
+    assert all(r[n].startswith(n) for r in found.collect() for n in names)
+
+
+def test_a_far_fetch_time_adds_one_month(spark):
+    times = ["2024-01-05", "2024-03-05", "9999-12-31"]
+    seen = spark.createDataFrame([(t,) for t in times], "t string").select(F.lit("u").alias("_u"), F.col("t").cast("timestamp").alias("_t"))
+    spans = [("2023-01-01", None), ("2024-02-01", "2024-03-02"), ("2024-01-20", "2024-02-10"), ("2024-01-31", "2024-03-01")]
+    intervals = spark.createDataFrame(spans, "a string, b string").select(F.col("a").cast("timestamp").alias("valid_from"), F.col("b").cast("timestamp").alias("valid_to"))
+    low, high = (F.lit(x).cast("timestamp") for x in (times[0], times[2]))
+    found = url_filter._by_month(intervals, seen, low, high).groupBy("valid_from").count().collect()
+    assert {str(r["valid_from"])[:10]: r["count"] for r in found} == {"2023-01-01": 3, "2024-02-01": 1, "2024-01-20": 1, "2024-01-31": 2}
+
+
 # --- 4
 
 
