@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from buyerscope.operators import neighbours
 from buyerscope.operators.neighbours import Cells, classify, nearest_neighbours
 from buyerscope.operators.smote import oversample
 
@@ -97,6 +98,27 @@ def test_probes_find_most_neighbours(spark):
     assert np.mean([len(set(got.get(i, [])) & set(w)) / 5 for i, w in want.items()]) >= 0.9
 
 
+def test_a_row_is_sent_once_per_shelf_and_brings_back_only_what_is_within_reach():
+    """Sixty dimensions, where the bounds rule out nothing: what is shuffled does not grow with the number of units."""
+    rng = np.random.default_rng(11)
+    shelves = neighbours.Shelves([900, 1100, 1000, 5000, 800, 1000], 2048)
+    assert shelves.spans == [(0, 2, range(0, 1)), (2, 3, range(1, 2)), (3, 4, range(2, 5)), (4, 6, range(5, 6))]
+    assert neighbours.Shelves([1000] * 4000, neighbours._side(4_000_000, 1024)).spans[-1][2][0] < 4000 / 50
+    at, masks = shelves.visits(np.array([[1, 0, 0, 1, 0, 1], [0, 0, 0, 0, 0, 0]], dtype=bool))
+    assert at == [[0, 2, 3, 4, 5], []] and [m[0] >> 6 for m in masks[0]] == [2, 2, 2, 2, 1]
+    x = np.concatenate([rng.normal(size=(300, 60)) * 1e3 + 1e6, np.full((3, 60), 1e200), np.full((2, 60), np.nan)])
+    found = neighbours._Best(np.arange(305), x, np.full(305, np.inf), np.arange(305), x, 4, 2, True)
+    for start in range(0, 305, 61):
+        found.search(np.arange(305), np.arange(start, start + 61))
+    got = found.rows().groupby("query_id")["base_id"].apply(list).to_dict()
+    want = brute(x[:300], x[:300], 4, 2, range(300), range(300), True)
+    assert got == {**want, 300: [301, 302], 301: [300, 302], 302: [300, 301]}
+    d = np.sort(np.sqrt(((x[:300, None] - x[None, :300]) ** 2).sum(2)), axis=1)
+    near = neighbours._Best(np.arange(300), x[:300], d[:, 2], np.arange(300), x[:300], 4, 2, True)
+    near.search(np.arange(300), np.arange(300))
+    assert (near.rows().groupby("query_id").size() == 2).all()
+
+
 def test_votes(spark):
     base = frame(spark, np.array([[0.0], [1.0], [3.0]]), label=[1, 0, 0])
     asked = frame(spark, np.array([[0.0], [0.9]]), 10)
