@@ -306,3 +306,33 @@ def test_block_order_does_not_matter(binned, block):
     for kind, params in SMALL:
         plan = plan_of(kind, params)
         assert same(boosting.grow(binned.bins, block, plan, (1.0, 2.0), 0.0), boosting.grow(binned.bins, shuffled, plan, (1.0, 2.0), 0.0))
+
+
+@pytest.mark.parametrize("kind, params", [
+    ("random_forest", {"n_estimators": 2}), ("random_forest", {"n_estimators": 2, "class_weight": "balanced_subsample", "criterion": "entropy", "min_samples_split": 5}),
+    ("decision_tree", {}), ("xgboost", {"n_estimators": 2, "max_depth": 8, "colsample_bytree": 0.8, "reg_alpha": 0.1}),
+    ("lightgbm", {"n_estimators": 2, "num_leaves": 40}), ("catboost", {"n_estimators": 2}), ("gradient_boosting", {"n_estimators": 2, "subsample": 0.8}),
+])
+def test_moving_rows_and_sparse_sums_give_the_trees_of_dense_sums(monkeypatch, kind, params):
+    """Only the first look at a tree reads all rows: growing by rows equals growing by the sums of all nodes over all bins."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(3000, 6)), rng.integers(0, 3, size=(3000, 5))])
+    bins = trees.Bins([sorted(set(np.quantile(c, np.linspace(0, 1, 65))))[:-1] for c in x.T])
+    label = (rng.uniform(size=3000) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    block = trees.Block(bins.cut(x), label, np.zeros(3000, dtype=int), rng.integers(0, 1 << 62, 3000).astype(np.uint64))
+    plan, classes = boosting.plan_of(kind, params), (0.7, 1.6)
+    margin = np.zeros(3000)
+    monkeypatch.setattr(trees, "_KEPT", 64)
+    grown = boosting.grow(bins, block, plan, classes, 0.0)
+    for number in range(plan.rounds):
+        cut = trees.mvs_threshold(trees.size_counts(block, margin, plan, classes), plan.row_share) if plan.bootstrap == "mvs" else None
+        sample, tree = trees.gradients(block, margin, plan, number, classes, cut), trees.Growth(plan, number, 11, classes)
+        while not tree.done:
+            sums = trees.node_sums(bins, block, sample, tree.partial().places(block.bins), tree.wanted, tree.features)
+            tree.take(trees.best_splits(bins, sums, [tree.path[n] for n in tree.wanted], plan, tree.classes, tree.features, number))
+        for name in trees.Tree.FIELDS:
+            np.testing.assert_array_equal(getattr(grown.trees[number], name), getattr(tree.finish(), name))
+        margin = margin + (grown.trees[number].scores(block.bins) if plan.boosted else 0.0)
+    if not plan.boosted and plan.rounds > 1:
+        (part,) = boosting.grow(bins, block, plan, classes, 0.0, range(1, 2)).trees
+        np.testing.assert_array_equal(part.feature, grown.trees[1].feature)
