@@ -12,6 +12,7 @@ from buyerscope.models.boosting import Reading, Trial, plan_of
 from buyerscope.models.learners import GRIDS, LINEAR, TREES, learner
 from buyerscope.models.linear import Model, linear_plan
 from buyerscope.models.validation import SPACES, cross_validated_search, draw_from_space, expand_grid, halving_search, out_of_fold
+from buyerscope.plans import identities
 from buyerscope.storage import write_once
 
 D = 7
@@ -336,3 +337,16 @@ def test_moving_rows_and_sparse_sums_give_the_trees_of_dense_sums(monkeypatch, k
     if not plan.boosted and plan.rounds > 1:
         (part,) = boosting.grow(bins, block, plan, classes, 0.0, range(1, 2)).trees
         np.testing.assert_array_equal(part.feature, grown.trees[1].feature)
+
+
+def test_slopes_are_summed_by_task_and_not_by_cell():
+    """One row per candidate and column leaves a task, whatever its rows; an empty task sends none."""
+    rng = np.random.default_rng(9)
+    x, y, thetas, weights = rng.normal(size=(500, 3)), rng.integers(0, 2, 500).astype(float), rng.normal(size=(2, 4)), np.array([[1.0, 1.0], [0.6, 1.7]])
+    design = linear.Design(x.mean(axis=0), 1 / x.std(axis=0))
+    batches = [pa.RecordBatch.from_arrays([pa.array(y[s]), pa.array(x[s].tolist())], names=["label", "x"]) for s in (slice(0, 120), slice(120, 120), slice(120, 500))]
+    (found,) = identities._slopes(design, thetas, weights)(iter(batches))
+    z = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones(500)])
+    want = [[sum((1 / (1 + np.exp(-z[r] @ t)) - y[r]) * w[int(y[r])] * z[r, j] for r in range(500)) for j in range(4)] for t, w in zip(thetas, weights, strict=True)]
+    assert found.num_rows == 8 and np.allclose(np.array(found.column("s")).reshape(2, 4), want)
+    assert not list(identities._slopes(design, thetas, weights)(iter(batches[1:2])))
