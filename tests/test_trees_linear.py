@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 
-from buyerscope.models import boosting, linear, trees
+from buyerscope.models import boosting, linear, selection, trees
 from buyerscope.models.boosting import Reading, Trial, plan_of
 from buyerscope.models.learners import GRIDS, LINEAR, TREES, learner
 from buyerscope.models.linear import Model, linear_plan
@@ -350,3 +350,65 @@ def test_slopes_are_summed_by_task_and_not_by_cell():
     want = [[sum((1 / (1 + np.exp(-z[r] @ t)) - y[r]) * w[int(y[r])] * z[r, j] for r in range(500)) for j in range(4)] for t, w in zip(thetas, weights, strict=True)]
     assert found.num_rows == 8 and np.allclose(np.array(found.column("s")).reshape(2, 4), want)
     assert not list(identities._slopes(design, thetas, weights)(iter(batches[1:2])))
+
+
+def test_features_counted_together_give_the_sums_of_each(monkeypatch):
+    """Features share cells of at most ``_CELLS`` combinations; sums by node and bin are those of one feature at a time."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=(2000, 4)), rng.integers(0, 2, size=(2000, 9)), np.ones(2000)])
+    bins = trees.Bins([sorted(set(np.quantile(c, np.linspace(0, 1, 65))))[:-1] for c in x.T])
+    assert sorted(j for g in bins.groups for j in g) == list(range(14)) and len(bins.groups) <= 4
+    assert all(np.prod(bins.sizes[g]) <= trees._CELLS for g in bins.groups)
+    block = trees.Block(bins.cut(x), (x[:, 0] > 0).astype(float), np.zeros(2000, dtype=int), np.arange(2000).astype(np.uint64))
+    at = rng.integers(0, 3, 2000)
+    for kind, params in SMALL:
+        sample = trees.gradients(block, rng.normal(size=2000), plan_of(kind, params), 0, (1.0, 1.0))
+        found = []
+        for dense in (1, 10**6):
+            monkeypatch.setattr(trees, "_DENSE", dense)
+            found.append(trees.node_sums(bins, block, sample, at, [1, 2], np.arange(14)))
+        np.testing.assert_array_equal(*found)
+        rows, g, _, n = sample
+        first = bins.starts[5]
+        want = [[w[(at[rows] == 2) & (block.bins[rows, 5] == b)].sum() for b in (0, 1)] for w in (g, n)]
+        np.testing.assert_array_equal(found[0][[0, 2], 1, first : first + 2], want)
+
+
+def test_nodes_at_the_depth_limit_are_known_from_their_parents(binned, block):
+    plan = plan_of("gradient_boosting", {"max_depth": 2})
+    tree, passes = trees.Growth(plan, 0, D, (1.0, 1.0)), 0
+    sample = trees.gradients(block, np.zeros(len(block.label)), plan, 0, (1.0, 1.0))
+    while not tree.done:
+        sums = trees.node_sums(binned.bins, block, sample, tree.partial().places(block.bins), tree.wanted, tree.features)
+        tree.take(trees.best_splits(binned.bins, sums, [tree.path[n] for n in tree.wanted], plan, tree.classes, tree.features, 0))
+        passes += 1
+    assert passes == 2 and len(tree.finish().feature) == 7
+
+
+def test_margins_of_a_table_in_place_are_not_written_every_round(binned, monkeypatch):
+    written = []
+    monkeypatch.setattr(boosting, "write_once", lambda df, name: written.append(name) or write_once(df, name))
+    monkeypatch.setattr(boosting, "PENDING", 3)
+    trial = Trial(plan_of("gradient_boosting", {"n_estimators": 7, "max_depth": 2}))
+    (level,) = boosting.fit_ensembles(binned, [trial], block_rows=10)
+    assert written == ["packed", "margins", "margins"]
+    assert same(level, boosting.fit_ensembles(binned, [trial])[0])
+
+
+def test_elimination_and_permutation_of_trees_equal_those_of_any_learner(frame, monkeypatch):
+    """Rows are binned once for all steps, and swapped rows are scored without copies; results are those of separate fits and scorings."""
+    names, base, calls = [f"f{i}" for i in range(D)], learner("decision_tree", "m", max_depth=3), []
+    monkeypatch.setattr(selection, "bin_rows", lambda *a: calls.append(a) or boosting.bin_rows(*a))
+
+    def both():
+        kept, table = selection.recursive_elimination(frame, base, names, min_features=4)
+        model = base.fit(frame)
+        return kept, table.collect(), selection.permutation_importance(model, "m", frame, names, repeats=2).collect()
+
+    monkeypatch.setattr(selection, "slice_features", None)
+    found = both()
+    monkeypatch.undo()
+    assert len(calls) == 1
+    monkeypatch.setattr(selection, "_tree_steps", lambda *a: None)
+    monkeypatch.setattr(selection, "TreesModel", int)
+    assert found == both()
