@@ -91,17 +91,24 @@ class WordEncoder:
             else:
                 self.known.update(zip(part, self._encode(part), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember new words. A word of letters and closing marks is the sum of its letter run and its marks."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Remember new words and return their ids. A word of letters and closing marks is the sum of its letter run and its marks."""
         known, found = self.known, SIMPLE("\n".join(words)) if words else []  # words hold no line feeds
-        parts = [(word, letters.lower(), marks) for word, (letters, marks) in zip(words, found, strict=True) if letters]
-        rest = [word for word, (letters, _) in zip(words, found, strict=True) if not letters]
-        rest += {marks for _, _, marks in parts}.difference(known)
-        self._learn_runs(list({low for _, low, _ in parts}.difference(known)))
+        lows = [letters.lower() for letters, _ in found]
+        rest = [word for word, low in zip(words, lows, strict=True) if not low]
+        rest += {marks for letters, marks in found if letters}.difference(known)
+        self._learn_runs(list(set(lows).difference(known, ("",))))
         known.update(zip(rest, self._encode(rest), strict=True))
         known[""] = b""
-        for word, low, marks in parts:
-            known[word] = known[low] + known[marks]
+        out = []
+        for word, low, (_, marks) in zip(words, lows, found, strict=True):
+            ids = known[low or word]
+            if marks:
+                ids += known[marks]
+            if marks or low != word:
+                known[word] = ids
+            out.append(ids)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and their number in each text. Every distinct word is looked up once."""
@@ -114,12 +121,14 @@ class WordEncoder:
         known = self.known
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in known]
-        self._learn([w for w in new if len(w) <= WORD_CHARS])
-        long = [w for w in new if len(w) > WORD_CHARS]
-        extra = dict(zip(long, self._encode(long), strict=True)) if long else {}
-        parts = [known[w] if w in known else extra[w] for w in words]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = list(map(known.get, words))
+        new = [i for i, ids in enumerate(parts) if ids is None]
+        short = [i for i in new if len(words[i]) <= WORD_CHARS]
+        long = [i for i in new if len(words[i]) > WORD_CHARS]
+        for some, learn in ((short, self._learn), (long, self._encode)):
+            for i, ids in zip(some, learn([words[i] for i in some]) if some else [], strict=True):
+                parts[i] = ids
         pool, sizes = np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         places, starts = coded.indices.to_numpy(), np.cumsum(sizes) - sizes
         ends = np.concatenate([[0], np.cumsum(sizes[places])])
@@ -181,9 +190,6 @@ def re_pair(
         a, b = sequence[:-1], sequence[1:]
         joined = (a.astype(np.uint64) << np.uint64(32) | b) if wide else a << np.uint32(16) | b
         inner = (a != barrier) & (b != barrier)
-        # A pair cannot be frequent where its slot is not.
-        mixed = _slots(joined)
-        inner &= (np.bincount(mixed[inner], minlength=1 << SLOT_BITS) >= min_count)[mixed]
         ordered = np.sort(joined[inner])
         if not len(ordered):
             break

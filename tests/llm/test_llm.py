@@ -589,3 +589,36 @@ def test_pipeline_stages_keep_the_columns(spark, folder):
     assert counts[0] > counts[1] >= counts[2] == counts[3] > counts[4] > 0
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == counts[4]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "line dedup", "SimHash near-dedup", "best-fit packing"]
+
+
+def test_token_files_look_each_distinct_word_up_once():
+    """A known word costs one look-up a slice, and new words come back in their order with the ids of whole texts."""
+    import pyarrow as pa
+
+    from buyerscope.llm import token_files
+
+    class Counting(dict):
+        asked = 0
+
+        def __contains__(self, word):
+            self.asked += 1
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+        def get(self, word, default=None):
+            self.asked += 1
+            return super().get(word, default)
+
+    encoder = token_files.WordEncoder(token_files.default_tokenizer())
+    texts = ["Ab ab, AB. ab", "", None, "x1 " + "long" * 30 + " ...", "über Ab\nab ,"]
+    whole = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, counts = encoder.encode(pa.array(texts))
+        assert ids.tolist() == [i for w in whole for i in w] and counts.tolist() == [len(w) for w in whole]
+    encoder.known = known = Counting(encoder.known)
+    words = {w for t in texts for w in (t or "").replace("\n", " ").split(" ")}
+    encoder.encode(pa.array(texts))
+    assert known.asked <= len(words)
