@@ -412,3 +412,29 @@ def test_elimination_and_permutation_of_trees_equal_those_of_any_learner(frame,
     monkeypatch.setattr(selection, "_tree_steps", lambda *a: None)
     monkeypatch.setattr(selection, "TreesModel", int)
     assert found == both()
+
+
+def test_forests_are_dealt_by_their_trees_and_their_scores_stay(binned, monkeypatch):
+    plans = [plan_of("random_forest", {"n_estimators": 9, **p}) for p in ({}, {"max_depth": 3}, {"class_weight": "balanced_subsample"})]
+    trials = [*boosting.families(plans, [0, 1, 2]), Trial(plan_of("decision_tree", {"max_depth": 3}), 1, (Reading(3, 1),))]
+    dealt = []
+    own = boosting._each_trial
+    monkeypatch.setattr(boosting, "_each_trial", lambda table, some, use, schema, parts=None: dealt.append(len(parts or some)) or own(table, some, use, schema, parts))
+    by_trees = sorted(map(tuple, boosting.held_out_scores(binned, trials).collect()))
+    assert max(dealt) > len(trials)  # more tasks than forests
+    monkeypatch.setattr(boosting, "TREES", 100)
+    assert by_trees == sorted(map(tuple, boosting.held_out_scores(binned, trials).collect()))
+
+
+def test_trees_of_a_forest_grow_from_counted_rows(block, binned, monkeypatch):
+    """Rows drawn a few times are counted along with their bins; other weights take the general way to the same tree."""
+    plan = plan_of("random_forest", {"class_weight": "balanced_subsample", "max_depth": 6, "min_samples_leaf": 2})
+    sample = trees.gradients(block, None, plan, 0, (1.0, 1.0))
+    growth = lambda: trees.Growth(plan, 0, len(binned.bins.edges), (1.0, 1.0))
+    general, scores = trees.grow_tree(binned.bins, block, (sample[0], *[w * 16.0 for w in sample[1:]]), growth())
+    monkeypatch.setattr(trees, "sparse_splits", None)
+    counted, own = trees.grow_tree(binned.bins, block, sample, growth())
+    assert len(counted.feature) > 9 and not any(counted.gain[counted.feature < 0])
+    rows = block.bins[sample[0]]
+    np.testing.assert_array_equal(own, counted.scores(rows))
+    assert counted.rows[0] == sample[3].sum() and general.rows[0] == 16 * counted.rows[0]
