@@ -438,3 +438,12 @@ def test_trees_of_a_forest_grow_from_counted_rows(block, binned, monkeypatch):
     rows = block.bins[sample[0]]
     np.testing.assert_array_equal(own, counted.scores(rows))
     assert counted.rows[0] == sample[3].sum() and general.rows[0] == 16 * counted.rows[0]
+
+
+@pytest.mark.parametrize("kind, params", [("xgboost", {"reg_alpha": 0.5}), ("lightgbm", {"reg_lambda": 0.0}), ("random_forest", {}), ("decision_tree", {"class_weight": "balanced"})])
+def test_values_of_many_leaves_are_those_of_each(kind, params):
+    plan = plan_of(kind, params)
+    n = np.random.default_rng(2).integers(0, 9, 50).astype(float)
+    sums = np.stack([np.floor(n / 2), n, n], axis=1) * (trees.SCALE if plan.boosted else 1.0)
+    found = trees.leaf_values(sums, plan, (0.7, 1.9))
+    assert (n == 0).any() and found.tolist() == [trees.leaf_value(s, plan, (0.7, 1.9)) for s in sums]
