@@ -1,10 +1,13 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from buyerscope.operators import cleaning
 from buyerscope.operators import quality as Q
 from buyerscope.operators.cleaning import Cleaner, CleanerModel, keep_first
+from buyerscope.operators.quantiles import medians
 from buyerscope.operators.transform import FillMissing
 
 COLUMNS = ("ID int, Year_Birth int, Education string, Income double, Dt_Customer date, Recency int, MntWines double, "
@@ -97,3 +100,25 @@ def test_quality_reports(spark, raw):
     assert Q.append_rows(raw.select("ID"), raw.select("pos")).columns == ["ID", "pos"]
     assert Q.zero_fill(raw, ["Income"]).where("ID = 2").first()["Income"] == 0.0
     assert Q.columns_with_prefix(raw, "Mnt") == ["MntWines"]
+
+
+def _exchanges(df):
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+
+
+def test_a_row_that_is_its_own_order_travels_once(spark):
+    df = spark.createDataFrame([(1, 2, None), (1, 1, "b"), (1, None, "c"), (2, 5, "d"), (None, 7, "e"), (None, 6, "f")], "k int, a int, b string")
+    got = keep_first(df.repartition(3), ["k"], ["a", "b"])
+    assert len(_exchanges(keep_first(df, ["k"], ["a", "b"]))[0].split(", ")) == 2
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, None, "c"), (2, 5, "d"), (None, 6, "f")], key=str)
+
+
+def test_medians_read_rows_that_were_reduced_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(cleaning, "medians", lambda df, names: read.append((_exchanges(df), names)) or medians(df, names))
+    # The second row of key 1 is dropped: only "a" still holds a null, and the median is that of the other rows.
+    df = spark.createDataFrame([(1, 1, 1), (1, 9, None), (2, None, 2), (3, 3, 3), (4, 4, 4)], "ID int, a int, b int")
+    model = Cleaner().fit(df)
+    assert read == [([], ["a"])]
+    assert model.state()["residual"] == {"a": 3.0}

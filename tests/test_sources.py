@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from buyerscope import schema as S
@@ -71,6 +73,20 @@ def test_one_row_per_order_whatever_the_skew(spark):
     assert tuple(got) == (100, 300 * 9 * 10_000, 300)
 
 
+def test_lines_are_shuffled_narrow_and_sums_are_not(spark):
+    lines = spark.createDataFrame(
+        [(1, 1, 10.0, 0.1), (1, 2, 20.0, None), (1, 3, None, 0.0), (2, 3, 5.0, 0.0), (2, 9, 7.0, 0.1), (None, 1, 1.0, 0.0)],
+        "l_orderkey long, l_partkey long, l_extendedprice double, l_discount double",
+    )
+    parts = spark.createDataFrame([(1, "ECONOMY"), (2, "LARGE"), (3, "other"), (3, None)], "p_partkey long, p_type string")
+    got = order_lines(lines, parts)
+    text = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    by_order = [c for c in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(l_orderkey", text)]
+    assert len(by_order) == 1 and len(by_order[0].split(", ")) == 4
+    found = {r["l_orderkey"]: (r["MntWines_high"], r["MntWines_low"], r["MntFruits_low"], r["deals"]) for r in got.collect()}
+    assert found == {1: (0, 90_000, None, 1), 2: (None, None, None, 0), None: (0, 10_000, None, 0)}
+
+
 def test_sinks_round_trip(spark, tmp_path):
     scored = spark.createDataFrame([(1, 1.0, 0.9), (2, 0.0, 0.2)], "ID int, prediction double, p double")
     table_ = sinks.prediction_table(scored, probability="p")

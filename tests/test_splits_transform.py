@@ -1,9 +1,11 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from buyerscope.operators.splits import down_sample, rank_by_hash, stratified_folds, stratified_split
+from buyerscope.operators.splits import down_sample, rank_by_hash, split_with_folds, stratified_folds, stratified_split
 from buyerscope.operators.transform import (
     PowerTransform, PowerTransformModel, StandardScale, column_transformer, most_frequent, likelihoods,
 )
@@ -56,6 +58,31 @@ def test_folds_are_disjoint_and_balanced(rows):
         (f, t): n for f in range(5) for t, n in ((0, 140), (1, 60))}
 
 
+def shuffled(df):
+    """The columns of every shuffle in the plan."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+
+
+@pytest.mark.parametrize("mark", [stratified_split, stratified_folds, split_with_folds])
+def test_whole_rows_are_shuffled_once(spark, rows, mark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = shuffled(mark(rows.withColumn("wide", F.rand(1))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum("wide#" in columns for columns in found) == 1
+
+
+def test_split_and_folds_from_one_ranking(spark):
+    pairs = [(i, None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i % 7 < 2)) for i in range(700)]
+    df = spark.createDataFrame([*pairs, (None, 1.0), (None, None)], "ID int, Target double")
+    one, two = split_with_folds(df, k=3), stratified_folds(stratified_split(df), k=3)
+    assert one.columns == two.columns == ["ID", "Target", "split", "fold"]
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_null_stratum_is_kept(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, 1)], "ID int, Target int")
     assert stratified_folds(df, k=2).count() == 3
