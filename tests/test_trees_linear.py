@@ -447,3 +447,39 @@ def test_values_of_many_leaves_are_those_of_each(kind, params):
     sums = np.stack([np.floor(n / 2), n, n], axis=1) * (trees.SCALE if plan.boosted else 1.0)
     found = trees.leaf_values(sums, plan, (0.7, 1.9))
     assert (n == 0).any() and found.tolist() == [trees.leaf_value(s, plan, (0.7, 1.9)) for s in sums]
+
+
+def test_a_table_of_a_million_rows_is_dealt_whole(spark, monkeypatch):
+    """140,000 rows stay one task's work, in packs; no job per level."""
+    monkeypatch.setattr(boosting, "_grow_by_level", None)
+    df = spark.range(140_000).selectExpr("id as key", "cast(id % 3 = 0 as double) as label", "array(cast(id % 3 as double), cast(id % 7 as double)) as a")
+    df = df.withColumn("features", array_to_vector("a"))
+    model = boosting.fit_trees(df, plan_of("random_forest", {"n_estimators": 4, "max_depth": 4}), "m")
+    assert set(model.transform(df.limit(50)).selectExpr("pred_m = label").distinct().toPandas().iloc[:, 0]) == {True}
+    assert "parts" in model.state()["ensemble"] and "gain" not in model.scoring()["ensemble"]["parts"][0]
+
+
+def test_a_wide_table_is_not_dealt_whole(binned, monkeypatch):
+    assert binned.fits() and not binned.fits(10)
+    monkeypatch.setattr(boosting, "BLOCK_BYTES", D * 300 - 1)
+    assert not binned.fits()
+
+
+def test_packs_hold_the_rows_of_the_table(binned, block):
+    for some, want in ((binned, block), (binned.only([4, 1]), None)):
+        found = boosting._unpacked(some.packs().toArrow().to_batches(), len(some.bins.edges))
+        np.testing.assert_array_equal(found.bins, block.bins if want else block.bins[:, [4, 1]])
+        assert found.bins.flags.f_contiguous and found.key.equals(block.key)
+        for name in ("label", "fold", "mark"):
+            np.testing.assert_array_equal(getattr(found, name), getattr(block, name))
+        part = found.take(np.array([5, 2, 2]))
+        np.testing.assert_array_equal(part.by_row.reshape(3, -1), found.bins[[5, 2, 2]])
+
+
+def test_rows_are_placed_by_number_and_in_either_layout(binned, block):
+    (tree,) = boosting.grow(binned.bins, block, plan_of("random_forest", {"n_estimators": 1}), (1.0, 1.0), 0.0).trees
+    some, columns = np.array([7, 3, 250]), np.asfortranarray(block.bins)
+    for limits in ({}, {"depth": 2}, {"min_split": 20}):
+        want = tree.places(np.ascontiguousarray(block.bins), **limits)
+        np.testing.assert_array_equal(tree.places(columns, **limits), want)
+        np.testing.assert_array_equal(tree.places(columns, some=some, **limits), want[some])
