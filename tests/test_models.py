@@ -1,11 +1,15 @@
+from multiprocessing.pool import ThreadPool
+from threading import Barrier
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from buyerscope.models import validation
+from buyerscope.models import stacking, validation
 from buyerscope.models.learners import AtThreshold, FourierFeatures, Learner, PopulationScaler, learner
 from buyerscope.models.selection import (
     importance_table, linear_attribution, permutation_importance, recursive_elimination, top_features,
@@ -16,6 +20,7 @@ from buyerscope.models.validation import (
 )
 from buyerscope.operators import metrics as M
 from buyerscope.operators.splits import stratified_folds
+from buyerscope.plans import jobs
 from buyerscope.plans.jobs import balanced
 from buyerscope.storage import write_once
 
@@ -174,3 +179,25 @@ def test_candidates_that_are_one_model_are_fitted_once(data, monkeypatch):
     rows = {r["candidate"]: r["mean_auc"] for r in table.collect()}
     assert rows[0] == rows[1] and rows[3] == rows[4] and len(rows) == 6
     assert counted == [4 * 3] and rows[grid.index(params)] == max(rows.values())
+
+
+def test_tasks_run_side_by_side_inside_a_thread_without_a_session(spark):
+    inner = lambda i: validation.in_parallel([lambda j=j: spark.range(i + j + 1).count() for j in range(2)])
+    with ThreadPool(1) as pool:
+        assert pool.apply(lambda: validation.in_parallel([lambda i=i: inner(i) for i in range(2)])) == [[1, 2], [2, 3]]
+
+
+def test_outer_folds_and_searches_run_side_by_side(spark, monkeypatch):
+    """Each waits until the others have begun too."""
+    rows = [(i, float(i % 2), i % 3, float(i)) for i in range(60)]
+    df = VectorAssembler(inputCols=["a"], outputCol="features").transform(spark.createDataFrame(rows, "key long, label double, fold int, a double"))
+    own, together = stacking.fit_stack, Barrier(3)
+    monkeypatch.setattr(stacking, "fit_stack", lambda *a, **k: together.wait(60) is None or own(*a, **k))
+    bases = [learner("decision_tree", max_depth=2), learner("logistic_regression")]
+    scored = stacking.stack_out_of_fold(df, bases, stacking.meta_learner(), inner_folds=2).collect()
+    assert sorted((r["key"], r["fold"]) for r in scored) == [(i, i % 3) for i in range(60)]
+    search, two = jobs.cross_validated_search, Barrier(2)
+    monkeypatch.setattr(jobs, "cross_validated_search", lambda *a, **k: two.wait(60) is None or search(*a, **k))
+    grids = {"decision_tree": {"max_depth": [1, 2]}, "logistic_regression": {"C": [1.0]}}
+    found = jobs.benchmark(df.drop("fold"), grids=grids, folds=2)
+    assert [r["error"] for r in found.table.collect()] == [None, None] and list(found.models) == list(found.searches) == list(grids)
