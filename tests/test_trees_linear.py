@@ -483,3 +483,25 @@ def test_rows_are_placed_by_number_and_in_either_layout(binned, block):
         want = tree.places(np.ascontiguousarray(block.bins), **limits)
         np.testing.assert_array_equal(tree.places(columns, **limits), want)
         np.testing.assert_array_equal(tree.places(columns, some=some, **limits), want[some])
+
+
+def test_boosting_goes_on_from_the_trees_that_are_there(binned, monkeypatch):
+    """Longer ensembles that begin with the trees of shorter ones score as those grown at once, and only the new trees are grown."""
+    kinds = [("lightgbm", {"num_leaves": 6, "subsample": 0.7}), ("catboost", {"depth": 3}), ("xgboost", {"max_depth": 3})]
+
+    def trials(rounds, order):
+        plans = [plan_of(kinds[i][0], {**kinds[i][1], "n_estimators": rounds + i}) for i in order]
+        return boosting.families(plans, [0, 1, 2])
+
+    short, whole = trials(2, [0, 1, 2]), trials(5, [2, 0])
+    first = write_once(boosting.grown_scores(binned, short), "grown")
+    assert first.where("packed is not null").count() == 9
+    again = boosting.grown_scores(binned, whole, (first.where("packed is not null").select("place", "packed"), short)).toPandas()
+    want = sorted(map(tuple, boosting.held_out_scores(binned, whole).collect()))
+    rows = again[again.packed.isna()][["candidate", "fold", "key", "label", "p"]]
+    assert sorted(map(tuple, rows.itertuples(index=False))) == want and len(want) == 600
+    block, plan = boosting._unpacked(binned.packs().toArrow().to_batches(), D), whole[0].plan
+    grown, asked = boosting.grow(binned.bins, block, plan, (1.0, 1.0), 0.0), []
+    own = trees.grow_tree
+    monkeypatch.setattr(trees, "grow_tree", lambda *a: asked.append(a) or own(*a))
+    assert same(boosting.grow(binned.bins, block, plan, (1.0, 1.0), 0.0, known=grown.trees[:3]), grown) and len(asked) == plan.rounds - 3
